@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import warc
 
@@ -27,6 +28,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, word_count
+
+    mixed = mix(table(spark, sf_dir, "documents"), F.array("source"), word_count(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls, seed_urls
 
@@ -36,6 +44,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_packing": op2_packing,
+    "op5_source_mixing": op5_source_mixing,
     "op9_url_filter": op9_url_filter,
 }
 SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL}
