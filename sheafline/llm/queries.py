@@ -41,10 +41,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), seed_urls(spark))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_packing": op2_packing,
     "op5_source_mixing": op5_source_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL}
