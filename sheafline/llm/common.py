@@ -92,6 +92,14 @@ def utf8_column(array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
+def hashed_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the slices of ``data``, each by its bytes and length alone."""
+    up, down = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the rows, and where each row's words begin.
 
@@ -113,11 +121,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> t
             ends = inside.copy()
             ends[:-1] &= ~inside[1:] | cut[1:-1]
             s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-            up, down = _powers_to(hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum(((_FOLD[part] if fold else part).astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
-            words = (sums[e] - sums[s]) * down[s]
-            found.append(mix64(words + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            found.append(hashed_slices(_FOLD[part] if fold else part, s, e))
             counts[row + 1 : end + 1] = np.diff(np.searchsorted(s, offsets[row : end + 1] - lo))
         row = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64), np.cumsum(counts)

@@ -41,6 +41,12 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz import fingerprints_with_next
+
+    return fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls, seed_urls
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_source_mixing": op5_source_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_lz_fingerprints": op7_lz_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
