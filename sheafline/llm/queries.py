@@ -47,6 +47,12 @@ def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls, seed_urls
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_lz_fingerprints": op7_lz_fingerprints,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
