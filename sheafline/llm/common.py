@@ -100,6 +100,17 @@ def hashed_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each slice of ``words`` (hashes of words), together 128 bits of its sequence."""
+    up, down = _powers_to(len(words) + 1)
+    out = []
+    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(mix64(words ^ np.uint64(salt)) * up[: len(words)], out=sums[1:])
+        out.append(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return out[0], out[1]
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the rows, and where each row's words begin.
 

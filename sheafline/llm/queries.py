@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, word_count
 
@@ -68,6 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_lz_fingerprints": op7_lz_fingerprints,
@@ -75,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL}
+SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL, "op3_substring_dedup": substring.SQL}
