@@ -147,6 +147,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInPandas(judge, "doc_id long, lang_pred string, score double")
 
 
+def language_of(docs: DataFrame, model: LanguageModel) -> Column:
+    """struct(lang_pred, score) of the text of a row of ``docs``, as ``identify`` has it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(text) for text in texts], columns=["lang_pred", "score"])
+
+    return judge(docs["text"].cast("string"))
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Learn from the documents outside the held-out fold, predict all: doc_id, held_out, lang_pred, score."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hashed_words, known_id, null_id_back, saved, sequence_hashes, utf8_column
 
@@ -135,7 +136,7 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
     return copies.unionByName(single)
 
 
-def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a k-mer that also starts earlier: doc_id, n_words, n_removed, kept, kept_sha256.
 
     Earlier means a smaller doc_id, or the same one and an earlier start; k-mers
@@ -148,12 +149,12 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
     equal texts are not earlier than one another and fare alike; of those with
     different texts a k-mer is repeated if it starts later in its text than in
     another. Texts of fewer than k words stay. An empty table gives no rows. Only
-    doc_id and text are read; whole texts are.
+    doc_id, text and the columns of ``carry``, which follow unchanged, are read.
     """
-    rows = docs.select(known_id("doc_id").alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(2**TEXT_BITS - 1)))
-    # each text is dealt out once: for the k-mers of branches and for the removal
-    spans = repeated_spans(rows, k, sub).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
+    full = docs.select(known_id("doc_id").alias("doc"), F.col("text").cast("string").alias("text"), *rest)
+    full = full.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(2**TEXT_BITS - 1)))
+    spans = repeated_spans(full.select("doc", "th", "text"), k, sub).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -176,11 +177,15 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
                 kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
-                yield pa.RecordBatch.from_arrays([block.column("doc"), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["doc", "n_words", "n_removed", "kept", "kept_sha256"])
-
-    joined = rows.join(spans, ["doc", "th"], "left").select("doc", "th", "text", "spans")
-    cut_rows = joined.mapInArrow(cut, "doc long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return cut_rows.select(null_id_back("doc").alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
+                made = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([block.column(c) for c in same] + made, [*same, "n_words", "n_removed", "kept", "kept_sha256"])
+
+    same = ["doc", "rest"] if carry else ["doc"]
+    joined = full.join(spans, ["doc", "th"], "left").select("text", "spans", *same)
+    made = T.StructType.fromDDL("n_words long, n_removed long, kept string, kept_sha256 string")
+    cut_rows = joined.mapInArrow(cut, T.StructType([full.schema[c] for c in same] + made.fields))
+    carried = [F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)]
+    return cut_rows.select(null_id_back("doc").alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256", *carried)
 
 
 SQL = """
