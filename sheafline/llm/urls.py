@@ -61,8 +61,8 @@ def ngram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
 
     def grams(text: Column, n: int) -> Column:
         return F.when(
-            F.length(text) >= n + 2,
-            F.transform(F.sequence(F.lit(3), F.length(text) - n + 1), lambda i: F.concat(F.substring(text, 1, 1), F.substring(text, i - 1, F.lit(n)))),
+            F.length(text) >= n + 1,
+            F.transform(F.sequence(F.lit(3), F.length(text) - n + 2), lambda i: F.concat(F.substring(text, 1, 1), F.substring(text, i - 1, F.lit(n)))),
         ).otherwise(F.array().cast("array<string>"))
 
     all_grams = F.flatten(F.transform(marked, lambda text: F.concat(*[grams(text, n) for n in (3, 4, 5)])))
