@@ -31,7 +31,7 @@ ORDER = 2
 MASS = (0.0, 100.0, 50.0, 25.0)
 FOLDS, HELD_FOLD = 7, 2
 #: Rows of documents in a block.
-BLOCK = 4096
+BLOCK = 2048
 #: Requests are split by hash into so many parts at least, and into one part more for each 16 blocks.
 PARTS = 64
 
