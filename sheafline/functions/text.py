@@ -60,14 +60,14 @@ def line_after(text: Column, label: str) -> Column:
     """The line after the first one that is the label (any case)."""
     rows = lines(text)
     at = F.array_position(F.transform(rows, F.lower), F.lit(label.lower()))
-    return F.when(at > 0, F.try_element_at(rows, at + 1))
+    return F.when(at > 0, F.try_element_at(rows, (at + 1).cast("int")))
 
 
 def line_before(text: Column, part: str) -> Column:
     """The line before the first one that holds the part (any case)."""
     rows = lines(text)
     at = F.array_position(F.transform(rows, lambda line: F.contains(F.lower(line), F.lit(part.lower()))), F.lit(True))
-    return F.when(at > 1, F.try_element_at(rows, at - 1))
+    return F.when(at > 1, F.try_element_at(rows, (at - 1).cast("int")))
 
 
 def table_rows(text: Column, cells: int) -> Column:
