@@ -153,7 +153,9 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str
     """
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
     full = docs.select(known_id("doc_id").alias("doc"), F.col("text").cast("string").alias("text"), *rest)
-    full = full.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(2**TEXT_BITS - 1)))
+    th = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(2**TEXT_BITS - 1)).alias("th")
+    # the columns' order is that of repeated_spans, so that Spark deals the texts out once for both
+    full = full.select("doc", th, "text", *(["rest"] if carry else []))
     spans = repeated_spans(full.select("doc", "th", "text"), k, sub).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
