@@ -200,3 +200,16 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         F.when(component != -(2**63), component).alias("component_id"),
         (component == F.col("vec_id")).alias("kept"),
     )
+
+
+#: The exact result by brute force, which the buckets must reach.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (
+    SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN least ON v.vec_id = least.x LEFT JOIN counts ON v.vec_id = counts.x"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring, warc
+from . import embeddings, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL, "op3_substring_dedup": substring.SQL}
+SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL, "op3_substring_dedup": substring.SQL, "op8_embedding_dedup": embeddings.SQL}
