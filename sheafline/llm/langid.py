@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -41,49 +42,54 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_FOLD) -> Colum
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")) % folds == fold
 
 
+class Frequencies:
+    """Log frequencies by language of a list of words or n-grams, from a table of counts (a row for each)."""
+
+    def __init__(self, names: list[str], counts: np.ndarray):
+        self.place = {name: i for i, name in enumerate(names)}
+        table = counts.astype(np.float64) + SMOOTHING
+        self.logs = np.log(table / table.sum(axis=0)).astype(np.float32) if len(names) else table
+
+
 class LanguageModel:
-    """Log frequencies by language, and what a text scores under them."""
-
-    def __init__(self, languages: list[str], words: dict[str, list[float]], grams: dict[str, list[float]]):
-        self.languages, self.longest = languages, LONGEST_GRAM
-        self.words = self._logs(words) if languages else {}
-        self.grams: dict[str, np.ndarray] = {}
-        for n in range(1, self.longest + 1):
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == n})
-        self.unseen: dict[str, np.ndarray] = {}
+    """Frequencies of words and of n-grams (by length, from 1), and what a text scores under them."""
 
-    def _logs(self, counts: dict[str, list[float]]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        table = np.array(list(counts.values()), dtype=np.float64) + SMOOTHING
-        return dict(zip(counts, np.log(table / table.sum(axis=0)), strict=True))
+    def __init__(self, languages: list[str], words: Frequencies | None = None, grams: list[Frequencies] | None = None):
+        self.languages, self.words, self.grams = languages, words, grams or []
+        self.unseen: dict[str, np.ndarray] = {}
 
     def backed_off(self, word: str) -> np.ndarray:
         """Mean log frequency of the word's known n-grams of the greatest length that has any."""
         marked = f" {word} "
-        for n in range(self.longest, 0, -1):
-            known = [x for i in range(len(marked) - n + 1) if (x := self.grams.get(marked[i : i + n])) is not None]
+        for n in range(len(self.grams), 0, -1):
+            place = self.grams[n - 1].place
+            known = [x for i in range(len(marked) - n + 1) if (x := place.get(marked[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+                return self.grams[n - 1].logs[known].mean(axis=0)
+        return np.zeros(len(self.languages), dtype=np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the score, from 0 to 1."""
         counts = Counter(_WORD.findall(text.lower())) if text else {}
         if not self.languages or not any(c.isalpha() for word in counts for c in word):
             return UNKNOWN, 0.0
-        rows = []
-        for word in counts:
-            row = self.words.get(word)
-            if row is None and (row := self.unseen.get(word)) is None:
-                if len(self.unseen) >= CACHE:
-                    self.unseen.clear()
-                row = self.unseen[word] = self.backed_off(word)
-            rows.append(row)
+        place = self.words.place.get
+        at = np.fromiter((place(word, -1) for word in counts), dtype=np.int64, count=len(counts))
         times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        known = at >= 0
+        total = times[known] @ self.words.logs[at[known]]
+        if not known.all():
+            rows = []
+            for word in compress(counts, ~known):
+                row = self.unseen.get(word)
+                if row is None:
+                    if len(self.unseen) >= CACHE:
+                        self.unseen.clear()
+                    row = self.unseen[word] = self.backed_off(word)
+                rows.append(row)
+            total = total + times[~known] @ np.array(rows)
         n = times.sum()
-        mean = times @ np.array(rows) / n
-        likely = np.exp((mean - mean.max()) * min(n, EVIDENCE))
+        likely = np.exp((total - total.max()) / n * min(n, EVIDENCE))
         best = int(np.argmax(likely))
         return self.languages[best], float(likely[best] / likely.sum())
 
@@ -100,30 +106,24 @@ def fit(labelled: DataFrame) -> LanguageModel:
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return LanguageModel([], {}, {})
+        return LanguageModel([])
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, DOCUMENTS_PER_LANGUAGE / r["count"]))])
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.coalesce("doc_id", F.lit(-1))), 11) / float(2**53)
     sample = labelled.where(draw < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("x"))
     words = words.groupBy("x", "lang").agg(F.count("*").alias("n"))
 
-    def table(counts: DataFrame, most: int) -> dict[str, list[float]]:
-        top = counts.groupBy("x").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        top = top.where(F.col("total") >= LEAST_COUNT).orderBy(F.desc("total"), "x").limit(most)
-        place = {lang: i for i, lang in enumerate(languages)}
-        found = {}
-        for row in top.collect():
-            found[row["x"]] = [0.0] * len(languages)
-            for by in row["by"]:
-                found[row["x"]][place[by["lang"]]] = float(by["n"])
-        return found
+    def table(counts: DataFrame, most: int) -> Frequencies:
+        top = counts.groupBy("x").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
+        top = top.where(F.col("total") >= LEAST_COUNT).orderBy(F.desc("total"), "x").limit(most).drop("total").toArrow()
+        return Frequencies(top.column("x").to_pylist(), np.stack([top.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1))
 
     marked = words.select("lang", "n", F.concat(F.lit(" "), "x", F.lit(" ")).alias("x"))
-    grams = {}
+    grams = []
     for n in range(1, LONGEST_GRAM + 1):
         cut = F.transform(F.sequence(F.lit(1), F.length("x") - n + 1), lambda i: F.substring("x", i, F.lit(n)))  # noqa: B023
         counted = marked.where(F.length("x") >= n).select("lang", "n", F.explode(cut).alias("x")).groupBy("x", "lang").agg(F.sum("n").alias("n"))
-        grams |= table(counted, MOST_GRAMS)
+        grams.append(table(counted, MOST_GRAMS))
     return LanguageModel(languages, table(words, MOST_WORDS), grams)
 
 

@@ -288,4 +288,4 @@ def test_languages_are_told(docs, none, spark):
     messy = langid.predict_languages(docs).collect()
     assert len(messy) == docs.count() and all((r["lang_pred"] == "und") == (r["score"] == 0) for r in messy)
     assert langid.predict_languages(none).count() == 0
-    assert langid.LanguageModel([], {}, {}).predict("words") == ("und", 0.0)
+    assert langid.LanguageModel([]).predict("words") == ("und", 0.0)
