@@ -26,7 +26,7 @@ WINDOW = 4096
 #: Rests are cut to at most this many tokens before packing.
 LONGEST_REST = 2048
 #: Rests in one packing group, on average.
-GROUP = 2048
+GROUP = 1024
 #: Entries of the word cache in each Python worker.
 CACHE = 700_000
 END_ID = 2
