@@ -42,6 +42,7 @@ ARTICLES = ("the ", "a ", "an ")
 TAILS = (" segment", " division", " scope", " sector", " category", " works", " piece", " side")
 # Words of a question that name no project.
 PLAIN_WORDS = ("days", "actually", "elapsed", "before", "project", "wrapped", "issued", "back", "march", "pretty", "sure")
+# Patterns of the phrases that name an excluded term, a threshold and a target.
 EXCLUDED = r"(?i)(?:excluding|remove|minus)\s+([A-Za-z0-9_\s]+?)(?:,|\s+what|\s+before|\s+so|\s*;|\s*—|\s*-|\s*\?|\s*:|\s*\.|\s*$)"
 THRESHOLD = r"(?i)(?:clear the|cutoff|limit|at or over the|exceed the|crossing the|hitting the|above|meet or exceed)\s+(?:against the\s+)?([A-Za-z0-9.\-\s]+?)(?:mark|cutoff|limit|line|threshold|$|,)"
 TARGET = r"(?i)(?:target of|target|bar|hit the|reach the)\s*(?:INR|Rs\.?)?\s*([\d,]+(?:\.\d+)?|\w+)\s*(Cr|Crore|Lakh|mark)?"
