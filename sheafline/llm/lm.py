@@ -74,6 +74,16 @@ def _check(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(keys)) >> 1
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values' lowest bytes, then the next ones, and so on: small and sorted values compress well like this."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    """The reverse of ``_planes``."""
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int = HELD_FOLD, block: int = BLOCK) -> DataFrame:
     """Score all documents by a model of those outside the held-out fold.
 
@@ -107,7 +117,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
             for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
                 keys, at = np.unique(gram, return_inverse=True)
                 counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<i4")
-                sent = [(p, n, block_id, keys[own].tobytes(), counts[own].tobytes()) for p, own in _dealt(keys, parts)]
+                sent = [(p, n, block_id, _planes(keys[own]), _planes(counts[own])) for p, own in _dealt(keys, parts)]
                 kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sent, strict=True), kinds, strict=True)], ["part", "n", "block", "keys", "counts"])
 
@@ -130,12 +140,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
     asked = rows.select("block", "held", "text").mapInArrow(request, asking)
 
     def add_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, "<u8") for x in group["keys"]]
+        keys = [_from_planes(x, "<u8") for x in group["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(x, "<i4") for x in group["counts"]]), minlength=len(every))
+        total = np.bincount(at, weights=np.concatenate([_from_planes(x, "<i4") for x in group["counts"]]), minlength=len(every))
         cuts = np.cumsum([0, *map(len, keys)])
         found = total[at].astype("<i8")
-        out = group[["part", "n", "block"]].assign(counts=[found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        out = group[["part", "n", "block"]].assign(counts=[_planes(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         out["check"] = [_check(x) for x in keys]
         # the sums of the part stand in its first row
         out["total"] = [int(total.sum())] + [0] * (len(out) - 1)
@@ -162,7 +172,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
                 values, check = got[p, n]
                 if len(values) != 8 * len(own) or check != _check(keys[own]):
                     raise RuntimeError("the documents came out differently when read again")
-                counts[own] = np.frombuffer(values, "<i8")
+                counts[own] = _from_planes(values, "<i8")
             seen = counts[at]
             if n == 1:
                 single = seen
