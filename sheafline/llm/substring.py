@@ -26,8 +26,6 @@ from .common import hashed_words, known_id, null_id_back, saved, sequence_hashes
 K = 20
 #: Words of a sub-window.
 SUB = 8
-#: Rows of a document's spans are joined by its id and this many bits of a hash of its text, which tell rows that repeat an id apart.
-TEXT_BITS = 24
 
 
 def _minimizer_runs(words: np.ndarray, offsets: np.ndarray, k: int, sub: int) -> tuple[np.ndarray, ...]:
@@ -65,7 +63,7 @@ def _blocks(batch, rows: int = 512) -> Iterator:
 
 
 def _runs(docs: DataFrame, k: int, sub: int, places: bool) -> DataFrame:
-    """docs (doc, th, text) to rows (minimizer, content, doc, place) or, without places, to (minimizer, n)."""
+    """docs (doc, th, text) to rows (minimizer, content, doc, th, place) or, without places, to (minimizer, n)."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -75,22 +73,22 @@ def _runs(docs: DataFrame, k: int, sub: int, places: bool) -> DataFrame:
                 words, offsets = hashed_words(*utf8_column(block.column("text")))
                 row, start, count, minimizer, content = _minimizer_runs(words, offsets, k, sub)
                 if places:
-                    th = block.column("th").to_numpy(zero_copy_only=False)[row]
-                    doc = block.column("doc").to_numpy(zero_copy_only=False)[row]
-                    columns = [minimizer, content, doc, (th << 40) | (start << 6) | count]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["minimizer", "content", "doc", "place"])
+                    doc, th = (block.column(x).to_numpy(zero_copy_only=False)[row] for x in ("doc", "th"))
+                    columns = [minimizer, content, doc, th, (start << 6) | count]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["minimizer", "content", "doc", "th", "place"])
                 else:
                     value, times = np.unique(minimizer, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times)], ["minimizer", "n"])
 
-    schema = "minimizer long, content long, doc long, place long" if places else "minimizer long, n long"
+    schema = "minimizer long, content long, doc long, th long, place long" if places else "minimizer long, n long"
     return docs.select("doc", "th", "text").mapInArrow(cut, schema)
 
 
 def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
     """All k-mers that also start earlier, as spans: doc, th, start (word), n (k-mers), source_doc, source_start.
 
-    docs: doc (a long), th, text. Earlier is a smaller doc, or the same one and
+    docs: doc (a long), th (64 bits of a hash of the text, which tell rows that
+    repeat a doc apart), text. Earlier is a smaller doc, or the same one and
     an earlier start. The source is the first occurrence of the span's words.
     """
     if k - sub + 1 >= 64 or sub > k:
@@ -98,8 +96,8 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
     counts = _runs(docs, k, sub, False).groupBy("minimizer").agg(F.sum("n").alias("n"))
     repeated = saved(counts.where("n > 1").select("minimizer"))
     runs = saved(_runs(docs, k, sub, True).join(repeated, "minimizer", "left_semi"))
-    start, n, th = F.expr("shiftrightunsigned(place, 6) & 17179869183"), F.expr("place & 63"), F.expr("shiftrightunsigned(place, 40)")
-    runs = runs.select("minimizer", "content", "doc", start.alias("start"), n.alias("n"), th.alias("th"))
+    start, n = F.shiftrightunsigned("place", 6), F.expr("place & 63")
+    runs = runs.select("minimizer", "content", "doc", start.alias("start"), n.alias("n"), "th")
     paths = saved(runs.groupBy("minimizer", "content").agg(F.min(F.struct("doc", "start", "th", "n")).alias("first")))
     first = F.struct(F.col("first.doc"), F.col("first.start"))
     later = F.struct("doc", "start") > first
@@ -153,7 +151,7 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str
     """
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
     full = docs.select(known_id("doc_id").alias("doc"), F.col("text").cast("string").alias("text"), *rest)
-    th = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(2**TEXT_BITS - 1)).alias("th")
+    th = F.xxhash64("text").alias("th")
     # the columns' order is that of repeated_spans, so that Spark deals the texts out once for both
     full = full.select("doc", th, "text", *(["rest"] if carry else []))
     spans = repeated_spans(full.select("doc", "th", "text"), k, sub).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

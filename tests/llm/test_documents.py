@@ -110,6 +110,22 @@ def test_repeated_spans_are_removed(docs, none, k, sub):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_all_of_their_text(spark):
+    """Rows under one id whose texts' hashes share their low 24 bits: each is cut by its own spans alone."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    seen, alike = {}, []
+    for i in range(60_000):
+        text = f"{passage} {i} " + "tail " * (i % 2 * 40) if i % 2 else f"a{i} " * 5
+        low = xxhash.xxh64_intdigest(text.encode(), 42) % 2**24
+        if low in seen and len(split(seen[low])) != len(split(text)):
+            alike += [seen[low], text]
+        seen[low] = text
+    assert len(alike) >= 20
+    made = spark.createDataFrame([(None, t) for t in alike] + [(-1, "x y " + passage), (5, "z " + passage)], "doc_id long, text string")
+    found = substring.remove_repeats(made).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == removed_by_force(made.collect(), 20)
+
+
 def simhash_of(text):
     w = (text or "").encode().lower().split()
     parts = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [b" ".join(w)] if w else []
