@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafline.llm import langid, mixing, packing, simhash, substring
-from sheafline.llm.common import saved
+from sheafline.llm.common import known_id, saved
 
 #: A document is rejected if its language is predicted with less than this score.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -26,10 +26,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; of rows that share doc_id and text, one."""
-    labels = simhash.near_duplicates(docs)
-    kept = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Of each group of near-duplicates the row with the smallest doc_id (null before all others), and of those the one with the smallest hash of its text."""
+    kept = simhash.first_of_groups(docs).select(F.col("doc").alias("_kept"), F.col("th").alias("_text"))
+    stay = docs.join(kept, (known_id("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_text")), "left_semi")
     alike = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ("lang", "source")])
     return stay.withColumn("_nth", F.row_number().over(alike)).where("_nth = 1").select(*docs.columns)
 

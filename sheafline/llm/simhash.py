@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import known_id, null_id_back, saved
 from .components import connected
@@ -40,8 +41,8 @@ def _majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (a long with the 64 bits) of every document.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (a long with the 64 bits) of every document, then the columns of ``carry``.
 
     Words of the text with A-Z lower-cased; shingles of ``shingle`` words joined
     by a space, repeats included, hashed by XXH64. A text with fewer words has
@@ -75,9 +76,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                     close()
             close()
             fp = np.concatenate(done).view(np.int64) if done else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
+    made = T.StructType.fromDDL("doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry).mapInArrow(hashed, T.StructType(made.fields + [docs.schema[c] for c in carry]))
 
 
 def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
@@ -130,3 +132,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected(first.select(F.col("fp").alias("node"), "least"), links(first.select("fp")))
     out = prints.join(labels.withColumnRenamed("node", "fp"), "fp")
     return out.select(null_id_back("doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id_back("least").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """doc (a long, ``NULL_ID`` for null) and th (``xxhash64`` of the text) of one row of each group of near-duplicates.
+
+    Groups are those of ``near_duplicates``, told apart by their fingerprints: the
+    row is the one with the smallest doc_id of the group and, of rows that share
+    that, with the smallest th. Only exact copies under one doc_id share both.
+    """
+    prints = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), carry=("th",)).select(F.col("fp").alias("node"), F.struct(known_id("doc_id").alias("doc"), "th").alias("row"))
+    first = saved(prints.groupBy("node").agg(F.min("row").alias("least")))
+    labels = connected(first, links(first.select(F.col("node").alias("fp"))))
+    return labels.select("least.doc", "least.th").distinct()

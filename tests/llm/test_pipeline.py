@@ -60,3 +60,26 @@ def test_stages_on_an_empty_table(spark):
         out = stage(spark, docs, "")
         assert out.count() == 0
         docs = docs if out.columns != docs.columns else spark.createDataFrame(out.collect(), SCHEMA)
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    """Rows with null ids and with one id for different texts: groups are those of the fingerprints, not of the ids."""
+    import random
+
+    random.seed(5)
+    text = lambda: " ".join(random.choices([f"w{i}" for i in range(400)], k=1500))
+    base = [text() for _ in range(6)]
+    made = [(None, base[0] + " x" * i) for i in range(12)] + [(None, base[1]), (None, base[1]), (4, base[1]), (None, base[2])]
+    made += [(1, base[3]), (1, base[4] + " y"), (0, base[4]), (9, base[3] + " y"), (7, base[5]), (None, None), (None, ""), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s0", 0, None) for d, t in made], SCHEMA)
+    prints = [r["fp"] for r in simhash.fingerprints(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    group = list(range(len(made)))
+    for _ in made:
+        group = [min(group[j] for j in range(len(made)) if bin((prints[i] ^ prints[j]) % 2**64).count("1") <= 3) for i in range(len(made))]
+    assert len(set(group)) == 7
+    stay = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect()
+    found = sorted(group[made.index((r["doc_id"], r["text"]))] for r in stay)
+    assert found == sorted(set(group))
+    for r in stay:
+        ids = [d for (d, _), g in zip(made, group, strict=True) if g == group[made.index((r["doc_id"], r["text"]))]]
+        assert r["doc_id"] == min(ids, key=lambda d: -(2**63) if d is None else d)
