@@ -42,14 +42,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a document taken twice stands twice, one taken in part has its first words.
-
-    Rows that share doc_id and size are taken alike.
-    """
-    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    taken = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_of")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
-    mixed = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")))
+    """The words that the mix takes: a document taken twice stands twice, one taken in part has its first words."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    mixed = mixing.mix(rows, F.array("source"), mixing.word_count(F.col("text")), carry=("_row",)).where("taken > 0")
+    mixed = mixed.select("_row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     passes = F.transform(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("_size")).cast("int")), lambda i: F.least("_size", F.col("_taken") - i * F.col("_size")))
     mixed = mixed.withColumn("_words", F.explode(passes))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))

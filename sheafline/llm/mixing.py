@@ -154,8 +154,8 @@ def _part_pass(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rest.unionByName(at_edge).drop("rest", "left", "prefix", "_state")
 
 
-def mix(docs: DataFrame, memberships: Column, size: Column, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
-    """What a mix takes of every document: doc_id, sources, size, source_size, target, taken.
+def mix(docs: DataFrame, memberships: Column, size: Column, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What a mix takes of every document: doc_id, sources, size, source_size, target, taken, then the columns of ``carry``.
 
     memberships: an array of the document's sources (a null source is one of
     its own, sorted last; a null or empty array: none, and nothing is taken).
@@ -166,18 +166,23 @@ def mix(docs: DataFrame, memberships: Column, size: Column, weights: Sequence[fl
     a source's words equal its target but for rounding wherever the flow fills
     it; ``taken`` never exceeds ``passes`` times the size.
 
-    Order of the documents, and so every tie, goes by a seeded hash of doc_id,
-    then doc_id, then size; rows that repeat in all of these are alike, and which
-    of them stands at the edge does not show. A null doc_id hashes as such. An
-    empty text has size 0 and takes 0. An empty table gives no rows. Columns
-    besides those named are not read. The driver gets a row for each pattern.
+    Order of the documents, and so every tie, goes by a seeded hash of doc_id and
+    text, then doc_id, then size; rows that repeat in all of these are alike, and
+    which of them stands at the edge shows only in the columns of ``carry``. Those
+    at the edge are summed in one task, so many exact copies under one doc_id (a
+    null one included) weigh on it. A null doc_id hashes as such. An empty text
+    has size 0 and takes 0. An empty table gives no rows. Columns besides those
+    named and text are not read. The driver gets a row for each pattern.
     """
     ids = F.col("doc_id").cast("long")
+    rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("_rest")] if carry else []
+    kept = ["_rest"] if carry else []
     sized = docs.select(
         ids.alias("doc_id"),
         F.array_sort(F.array_distinct(F.coalesce(memberships, F.array().cast("array<string>")))).alias("sources"),
         size.cast("long").alias("_size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(ids, F.lit(-1)), ids.isNull()), 2).alias("_hash"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(ids, F.lit(-1)), ids.isNull(), F.col("text").cast("string")), 2).alias("_hash"),
+        *rest,
     )
     sized = sized.withColumn("_pattern", F.to_json(F.struct(F.col("sources")), {"ignoreNullFields": "false"}))
     sized = saved(sized)
@@ -197,8 +202,8 @@ def mix(docs: DataFrame, memberships: Column, size: Column, weights: Sequence[fl
     plan = [(r["_pattern"], sum(f.values()) // r["words"] if r["words"] else 0, sum(f.values()) % r["words"] if r["words"] else 0) for r, f in zip(patterns, flows, strict=True)]
     plan_rows = spark.createDataFrame(plan, "_pattern string, whole long, rest long")
     taken = _part_pass(sized, plan_rows.select("_pattern", "rest")).join(F.broadcast(plan_rows.drop("rest")), "_pattern")
-    taken = taken.select("_pattern", "doc_id", "sources", F.col("_size").alias("size"), (F.col("whole") * F.col("_size") + F.col("part")).alias("taken"))
+    taken = taken.select("_pattern", "doc_id", "sources", F.col("_size").alias("size"), (F.col("whole") * F.col("_size") + F.col("part")).alias("taken"), *kept)
     about = spark.createDataFrame([(i, words[i], float(targets[i])) for i in place.values()], "_place int, source_size long, target double")
     ranks = spark.createDataFrame([(r["_pattern"], place[r["sources"][0]] if r["sources"] else None) for r in patterns], "_pattern string, _place int")
     ranks = ranks.join(F.broadcast(about), "_place", "left").drop("_place")
-    return taken.join(F.broadcast(ranks), "_pattern").select("doc_id", "sources", "size", "source_size", "target", "taken")
+    return taken.join(F.broadcast(ranks), "_pattern").select("doc_id", "sources", "size", "source_size", "target", "taken", *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(carry)])

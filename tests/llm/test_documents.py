@@ -278,6 +278,17 @@ def test_mixing_meets_its_targets(docs, none, spark):
     assert mixing.mix(none, F.array("source"), mixing.word_count(F.col("text"))).count() == 0
 
 
+def test_mixing_orders_rows_of_one_id_by_their_texts(spark):
+    """The rows of a part pass are spread over the hash, not the smallest ones first."""
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([(None, " ".join(f"w{k}" for k in range(i))) for i in range(1, 60)], "doc_id long, text string")
+    got = mixing.mix(made, F.array(F.lit("s")), mixing.word_count(F.col("text")), carry=("text",)).collect()
+    assert sum(r["taken"] for r in got) == 1.5 * sum(range(60)) and all(r["size"] == len(r["text"].split()) for r in got)
+    twice = sorted(r["size"] for r in got if r["taken"] == 2 * r["size"])
+    assert twice != list(range(1, len(twice) + 1))
+
+
 def test_flow_is_the_cheapest_for_overlapping_sources():
     """Against all flows of a small network."""
     patterns, quotas = [(4, [0]), (3, [0, 1]), (2, [1])], [6, 6]

@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from sheafline.llm import langid, simhash, substring
+from sheafline.llm import langid, mixing, simhash, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -83,3 +83,16 @@ def test_one_row_of_each_group_of_near_duplicates_stays(spark):
     for r in stay:
         ids = [d for (d, _), g in zip(made, group, strict=True) if g == group[made.index((r["doc_id"], r["text"]))]]
         assert r["doc_id"] == min(ids, key=lambda d: -(2**63) if d is None else d)
+
+
+def test_mixing_takes_rows_that_share_id_and_size_one_by_one(spark):
+    """All rows have a null doc_id and 30 words: each source still gets its target."""
+    made = [(None, " ".join(f"w{i // 2}x{k}" for k in range(30)), "en", f"s{i % 3}", 0, "e") for i in range(90)]
+    docs = spark.createDataFrame(made, SCHEMA)
+    four = dict(corpus_pipeline.STAGES)["mixing sources"](spark, docs, "")
+    assert four.columns == docs.columns
+    words = collections.Counter()
+    for r in four.collect():
+        words[r["source"]] += len(r["text"].split())
+    targets = mixing.capped_targets([900] * 3, mixing.WEIGHTS)
+    assert all(abs(words[f"s{i}"] - targets[i]) <= 1 for i in range(3))
