@@ -26,7 +26,7 @@ WINDOW = 4096
 #: Rests are cut to at most this many tokens before packing.
 LONGEST_REST = 2048
 #: Rests in one packing group, on average.
-GROUP = 1024
+GROUP = 2048
 #: Entries of the word cache in each Python worker.
 CACHE = 700_000
 END_ID = 2
@@ -158,27 +158,31 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, l
 
     A null or empty text is its end token alone. A null doc_id stays null.
     Repeated rows are packed each by itself. An empty table gives no rows.
-    Columns besides doc_id and text are ignored. Pieces go to packing groups by
+    Columns besides doc_id and text are ignored. Rests go to packing groups by
     hash, ``group`` of them on average, so a group's size does not grow with the
-    input; within a group, ties are broken by the pieces' order.
+    input; full windows, which need no packing, are numbered in groups of their
+    own. Within a group, ties are broken by the pieces' order.
     """
     pieces = saved(cut_documents(docs, tokenizer_path, window, longest_rest))
-    groups = max(1, -(-pieces.count() // group))
+    full = F.col("length") == window
+    n_full, n_rests = pieces.select(F.count_if(full), F.count_if(~full)).first()
+    groups, full_groups = (max(1, -(-n // group)) for n in (n_rests, n_full))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
         length = rows["length"].to_numpy()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        full = np.flatnonzero(length == window)
-        sequence[full] = np.arange(len(full))
+        whole = np.flatnonzero(length == window)
+        sequence[whole] = np.arange(len(whole))
         rest = np.flatnonzero(length != window)
         for i, part in enumerate(near_equal_windows(length[rest].tolist(), window)):
             at = rest[part]
-            sequence[at] = len(full) + i
+            sequence[at] = len(whole) + i
             offset[at] = np.concatenate([[0], np.cumsum(length[at])[:-1]])
         rows = rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]]
         rows["doc_id"] = rows["doc_id"].astype("Int64")
         return rows.assign(sequence_id=pd.Series(sequence + (int(key[0]) << 32)), offset=offset)
 
-    salted = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    hashed = F.xxhash64("doc_id", "start", "ids_crc32")
+    salted = F.when(full, groups + F.pmod(hashed, F.lit(full_groups))).otherwise(F.pmod(hashed, F.lit(groups)))
     return pieces.withColumn("_group", salted).groupBy("_group").applyInPandas(pack, _PACKED)

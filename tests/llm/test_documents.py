@@ -70,6 +70,17 @@ def test_packing_is_an_exact_round_trip(docs, none):
     assert packing.pack_documents(none, TOKENIZER).count() == 0
 
 
+def test_full_windows_do_not_thin_out_the_groups_of_rests(spark):
+    """40 rests of 20 tokens, each after ten full windows, in groups of about 8."""
+    made = spark.createDataFrame([(i, "a " * 659) for i in range(40)], "doc_id long, text string")
+    got = packing.pack_documents(made, TOKENIZER, window=64, longest_rest=32, group=8).collect()
+    full = [r["sequence_id"] for r in got if r["length"] == 64]
+    rests = [r for r in got if r["length"] != 64]
+    assert len(full) == 400 and len(rests) == 40 and {r["length"] for r in rests} == {20}
+    used = {r["sequence_id"] for r in rests}
+    assert len(set(full)) == 400 and not used & set(full) and len(used) <= 14 + 5
+
+
 def test_differencing_makes_near_equal_windows():
     random.seed(1)
     sizes = [random.randint(1, 2048) for _ in range(700)]
