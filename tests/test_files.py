@@ -118,11 +118,12 @@ def test_streams(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in counts] == [(3, 6.0)]
 
 
-def test_the_entry_works_without_the_optional_parts(tmp_path):
-    """A copy of the library without the subpackage and the pipeline imports and lists its other queries."""
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_entry_works_without_the_optional_parts(tmp_path, gone):
+    """A copy of the library without the subpackage, and with or without the pipeline, imports and lists its other queries."""
     copy = f"""
 import shutil, sys
-shutil.copytree({str(ROOT)!r}, {str(tmp_path / "r")!r}, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "tests", "spark-warehouse", "__pycache__"))
+shutil.copytree({str(ROOT)!r}, {str(tmp_path / "r")!r}, ignore=shutil.ignore_patterns(*{gone!r}, ".git", "tests", "spark-warehouse", "__pycache__"))
 sys.path.insert(0, {str(tmp_path / "r")!r})
 import __spark_entry__ as e
 names = e.queries()
