@@ -20,11 +20,14 @@ NULL_ID = -(2**63)
 def scratch(spark: SparkSession) -> str:
     """A new path below the folder in ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Where it is unset, as in local
-    tests, a temporary folder is made and used for this application.
+    The setting is read from the session. Where it is unset, a temporary folder
+    is made and used for this application if all of Spark runs on this machine,
+    as in tests; on a cluster, where executors would not share it, this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sheafline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sheafline/{uuid.uuid4().hex}"
@@ -38,6 +41,11 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, leaving: tuple[str, ...] = ()) -> Column:
+    """All columns of ``df`` but those of ``leaving`` as one struct, in which no name can clash with those of an operator."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in leaving])
+
+
 def known_id(column: str | Column) -> Column:
     """The id as a long, with nulls as ``NULL_ID``."""
     column = F.col(column) if isinstance(column, str) else column

@@ -15,7 +15,7 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of the sample and of the model.
@@ -147,15 +147,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInPandas(judge, "doc_id long, lang_pred string, score double")
 
 
-def language_of(docs: DataFrame, model: LanguageModel) -> Column:
-    """struct(lang_pred, score) of the text of a row of ``docs``, as ``identify`` has it."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def language_of(spark: SparkSession, text: Column, model: LanguageModel) -> Column:
+    """struct(lang_pred, score) of a column of texts, as ``identify`` has it."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(text) for text in texts], columns=["lang_pred", "score"])
 
-    return judge(docs["text"].cast("string"))
+    return judge(text.cast("string"))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

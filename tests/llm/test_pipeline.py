@@ -96,3 +96,27 @@ def test_mixing_takes_rows_that_share_id_and_size_one_by_one(spark):
         words[r["source"]] += len(r["text"].split())
     targets = mixing.capped_targets([900] * 3, mixing.WEIGHTS)
     assert all(abs(words[f"s{i}"] - targets[i]) <= 1 for i in range(3))
+
+
+CLASHING = ("kept", "n_words", "n_removed", "kept_sha256", "_size", "_words", "_taken", "_id", "_nth", "_language", "size", "taken", "row", "doc", "th", "part", "n", "id", "others", "_pattern", "a.b", "block")
+
+
+def test_extra_columns_of_any_name_stay_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark)
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, ""), stage(spark, wide, "")
+        assert out.columns == wide.columns, name
+        got = out.collect()
+        assert collections.Counter(tuple(r[c] for c in docs.columns) for r in got) == collections.Counter(map(tuple, plain.collect())), name
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in CLASHING), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, "").count() == corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
+
+
+def test_near_duplicates_that_differ_in_other_columns_go_by_those(spark):
+    made = [(1, "same text here again", "en", s, 0, e) for s, e in (("b", "x"), ("a", "y"), ("a", "x"), (None, "z"))]
+    for rows in (made, made[::-1]):
+        out = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+        assert [(r["source"], r["extra"]) for r in out] == [("a", "x")]
