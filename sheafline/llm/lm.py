@@ -1,18 +1,20 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The states of the automaton are n-grams, the weights of its arcs come from
-their counts. From the state h, a token w that was seen after h in training
-follows its arc, of probability (c(hw) + M p(w)) / (c(h) + M), where p is the
-model of the state without its oldest token. A token that was not seen follows
-the failure arc to that shorter state, of weight M / (c(h) + M). The last
-failure leads to the shares of single tokens, of which unknown ones together get
-about that of the words seen once. In all states the probabilities of all known
-tokens and of an unknown one add up to 1.
-
-Counts cover all training tokens. They are too many for one machine, so each
-block of documents asks for the n-grams that occur in it: its request goes to
-the tasks that add up the counts, split by hash, and the answer comes back to
-the block in the order of the request.
+The states of the automaton are n-grams shorter than ``ORDER``, the root being
+the empty one. From the state h, a token w that training saw after h follows its
+arc, of probability (c(hw) + M p(w)) / (c(h) + M), where p is the model of the
+state without its oldest token, to the longest state that hw ends in. A token
+that was not seen there follows the failure arc to that shorter state, of weight
+M / (c(h) + M); at the root it is unknown, and unknown tokens together have
+about the share of the words seen once. In all states the probabilities of all
+known tokens and of an unknown one add up to 1. A text is scored in one pass
+from left to right that carries the state and adds up the logarithms.
+
+Counts cover all training tokens, and the whole automaton is too large for one
+machine. Each piece of a few megabytes of documents asks for the counts of the
+n-grams that occur in it: its request goes to the tasks that add up the counts,
+split by key, and the answer comes back in the order of the request. From it
+the piece makes the states and arcs that its texts can reach.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import hashed_words, mix64, saved, utf8_column
 
-ORDER = 2
+ORDER = 3
 #: M for n-grams of 2 tokens and more: so many tokens the shorter state's model counts for.
-MASS = (0.0, 100.0, 50.0, 25.0)
+MASS = (0.0, 400.0, 5.0, 3.0)
 FOLDS, HELD_FOLD = 7, 2
-#: Rows of documents in a block.
-BLOCK = 2048
-#: Requests are split by hash into so many parts at least, and into one part more for each 16 blocks.
-PARTS = 64
+#: Bytes of text in a piece, unless one document has more, and in a block, on average.
+PIECE_BYTES = 3 << 20
+#: Requests are split by key into so many parts at least, and into one for each so many bytes of text.
+PARTS, PART_BYTES = 64, 16 << 20
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
@@ -61,13 +63,12 @@ def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarr
     return out
 
 
-def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The parts that have some of the keys, each with the places of its keys."""
-    part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-    by = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The parts, which are ranges of keys, that have some of the sorted keys, each with the places of its keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(part, np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
-        yield int(p), by[cuts[p] : cuts[p + 1]]
+        yield int(p), slice(cuts[p], cuts[p + 1])
 
 
 def _check(keys: np.ndarray) -> int:
@@ -84,7 +85,95 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int = HELD_FOLD, block: int = BLOCK) -> DataFrame:
+class Automaton:
+    """The states and arcs that the texts of a piece can reach.
+
+    grams: for n from 1 the n-gram that ends at each token, as the number of it
+    among the distinct ones; first: the place of each distinct one's first
+    occurrence; counts: how often training saw it. offsets: where texts begin.
+    """
+
+    def __init__(self, grams: list[np.ndarray], first: list[np.ndarray], counts: list[np.ndarray], offsets: np.ndarray, n_tokens: int, starts: float, unknown: float, mass: tuple[float, ...] = MASS):
+        order = len(grams)
+        begins = np.zeros(len(grams[0]), dtype=bool)
+        begins[offsets[:-1]] = True
+        # states: the root, the starts of a text (one for each length), then the known n-grams by length
+        self.width, self.unknown, self.start = len(counts[0]), float(np.log10(unknown)), order - 1
+        state = [np.zeros(1, np.int64)]
+        lost, failure, made = [np.zeros(1)], [np.zeros(1, np.int64)], order
+        for n in range(1, order):
+            lost.append(np.array([np.log10(mass[n] / (starts + mass[n]))]))
+            failure.append(np.array([n - 1]))
+        for n in range(1, order):
+            known = counts[n - 1] > 0
+            state.append(np.where(known, made + np.cumsum(known) - 1, 0))
+            shorter = np.zeros(len(known), np.int64) if n == 1 else state[n - 1][grams[n - 2][first[n - 1]]]
+            lost.append(np.log10(mass[n] / (counts[n - 1][known] + mass[n])))
+            failure.append(shorter[known])
+            made += int(known.sum())
+        keys, target, weight, shorter_p = [], [], [], None
+        for n in range(1, order + 1):
+            at, seen = first[n - 1], counts[n - 1] > 0
+            if n == 1:
+                source = np.zeros(len(at), np.int64)
+                p = (1 - unknown) * counts[0] / max(1, n_tokens)
+            else:
+                history = grams[n - 2][at - 1]
+                source = np.where(begins[at], n - 1, state[n - 1][history])
+                left = np.where(begins[at], starts, counts[n - 2][history])
+                p = (counts[n - 1] + mass[n - 1] * shorter_p[grams[n - 2][at]]) / (left + mass[n - 1])
+            to = state[n] if n < order else state[n - 1][grams[n - 2][at]] if n > 1 else np.zeros(len(at), np.int64)
+            keys.append((source * self.width + grams[0][at])[seen])
+            target.append(to[seen])
+            weight.append(np.log10(p[seen]))
+            shorter_p = p
+        self.lost, self.failure = np.concatenate(lost).tolist(), np.concatenate(failure).tolist()
+        self.target, self.weight = np.concatenate(target).tolist(), np.concatenate(weight).tolist()
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.target)), strict=True))
+
+    def score(self, tokens: list[int]) -> float:
+        """The log10 probability of a text, by one pass from its start."""
+        arc_of, width, lost, failure, target, weight = self.arcs.get, self.width, self.lost, self.failure, self.target, self.weight
+        state, total = self.start, 0.0
+        for token in tokens:
+            arc = arc_of(state * width + token)
+            while arc is None and state:
+                total += lost[state]
+                state = failure[state]
+                arc = arc_of(state * width + token)
+            if arc is None:
+                total += self.unknown
+            else:
+                total += weight[arc]
+                state = target[arc]
+        return total
+
+
+def _pieces(batches: Iterator, piece_bytes: int) -> Iterator[tuple]:
+    """Slices of a partition as (file, block, row of the first, texts, held): rows of one block that follow one another, up to ``piece_bytes`` of text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    now, begin, size, texts, held = None, 0, 0, [], []
+    for batch in batches:
+        files, blocks, rows = (batch.column(x).to_pylist() for x in ("file", "block", "row"))
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        at = 0
+        for i, (key, n) in enumerate(zip(zip(files, blocks, strict=True), sizes, strict=True)):
+            if key != now or size + n > piece_bytes:
+                texts.append(batch.column("text").slice(at, i - at))
+                held.append(batch.column("held").slice(at, i - at))
+                if now is not None:
+                    yield *now, begin, pa.concat_arrays(texts), pa.concat_arrays(held)
+                now, begin, size, texts, held, at = key, rows[i], 0, [], [], i
+            size += n
+        texts.append(batch.column("text").slice(at))
+        held.append(batch.column("held").slice(at))
+    if now is not None:
+        yield *now, begin, pa.concat_arrays(texts), pa.concat_arrays(held)
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int = HELD_FOLD, piece_bytes: int = PIECE_BYTES, stored: bool = False) -> DataFrame:
     """Score all documents by a model of those outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
@@ -96,48 +185,39 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
     for the fold and stays null. Rows that repeat a doc_id count and are scored
     each by itself. An empty table gives no rows; with no training document, N
     and V are 0 and all tokens are unknown. Only doc_id and text are read; whole
-    texts are, in blocks of ``block`` rows.
+    texts are.
 
-    Blocks are numbered by the rows' places in the input's partitions, so the
-    input must come out alike when read twice, as tables do; a block that got an
-    answer to another request fails rather than scores.
+    Documents are told apart by their places in the files of a Parquet table,
+    whatever tasks read them, so a lost executor changes nothing. stored says
+    that docs is read straight from such a table; else it is written to one.
+    The request of a piece goes out in at most as many rows as there are parts,
+    and never in more than it has keys.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
-    rows = rows.withColumn("block", F.shiftrightunsigned("_row", 33) * 2**20 + F.floor(F.expr("_row & 8589934591") / block)).withColumn("held", held_out(F.col("doc_id"), folds, fold))
-    parts = max(PARTS, docs.count() // block // 16)
-
-    asking = "part long, n long, block long, keys binary, counts binary"
+    docs = docs.select("*") if stored else saved(docs.select("doc_id", "text"))
+    size = F.octet_length(F.col("text").cast("string"))
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    block_rows = max(1, min(1 << 16, int(piece_bytes * n_docs / (n_bytes + 1)) if n_docs else 1))
+    parts = max(PARTS, n_bytes // PART_BYTES)
+    place = F.col("_metadata.row_index")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds, fold).alias("held"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.floor(place / block_rows).cast("long").alias("block"), place.cast("long").alias("row"),
+    )
 
     def request(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def close(block_id: int, texts: list, held: list) -> Iterator:
-            tokens, offsets = tokens_of(pa.chunked_array(texts).combine_chunks())
-            training = np.repeat(~np.concatenate([x.to_numpy(zero_copy_only=False) for x in held]), np.diff(offsets))
+        for file, block, begin, texts, held in _pieces(batches, piece_bytes):
+            tokens, offsets = tokens_of(texts)
+            training = np.repeat(~held.to_numpy(zero_copy_only=False), np.diff(offsets))
             for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
                 keys, at = np.unique(gram, return_inverse=True)
                 counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<i4")
-                sent = [(p, n, block_id, _planes(keys[own]), _planes(counts[own])) for p, own in _dealt(keys, parts)]
-                kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sent, strict=True), kinds, strict=True)], ["part", "n", "block", "keys", "counts"])
-
-        now, texts, held = -1, [], []
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if texts and blocks[lo] != now:
-                    yield from close(now, texts, held)
-                    texts, held = [], []
-                now = int(blocks[lo])
-                texts.append(batch.column("text").slice(lo, hi - lo))
-                held.append(batch.column("held").slice(lo, hi - lo))
-        if texts:
-            yield from close(now, texts, held)
-
-    asked = rows.select("block", "held", "text").mapInArrow(request, asking)
+                sent = [(p, n, file, block, begin, _planes(keys[own]), _planes(counts[own])) for p, own in _dealt(keys, parts)]
+                kinds = *[pa.int64()] * 5, pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sent, strict=True), kinds, strict=True)], ["part", "n", "file", "block", "begin", "keys", "counts"])
+
+    asked = rows.drop("doc_id").mapInArrow(request, "part long, n long, file long, block long, begin long, keys binary, counts binary")
 
     def add_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys = [_from_planes(x, "<u8") for x in group["keys"]]
@@ -145,7 +225,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
         total = np.bincount(at, weights=np.concatenate([_from_planes(x, "<i4") for x in group["counts"]]), minlength=len(every))
         cuts = np.cumsum([0, *map(len, keys)])
         found = total[at].astype("<i8")
-        out = group[["part", "n", "block"]].assign(counts=[_planes(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        out = group[["part", "n", "file", "block", "begin"]].assign(counts=[_planes(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         out["check"] = [_check(x) for x in keys]
         # the sums of the part stand in its first row
         out["total"] = [int(total.sum())] + [0] * (len(out) - 1)
@@ -153,43 +233,54 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
         out["once"] = [int((total == 1).sum())] + [0] * (len(out) - 1)
         return out
 
-    answers = saved(asked.groupBy("part", "n").applyInPandas(add_up, "part long, n long, block long, counts binary, check long, total long, distinct long, once long"))
+    answers = saved(asked.groupBy("part", "n").applyInPandas(add_up, "part long, n long, file long, block long, begin long, counts binary, check long, total long, distinct long, once long"))
     n_tokens, n_words, n_once = (int(x or 0) for x in answers.where("n = 1").agg(F.sum("total"), F.sum("distinct"), F.sum("once")).collect()[0])
     unknown = (n_once + 1) / (n_tokens + n_words + 1)
+    # every training text was left by its start once; starts are counted as ends
+    starts = docs.where(~held_out(F.col("doc_id"), folds, fold)).count()
 
-    def score(texts, answer):
-        import pyarrow as pa
-
-        texts = texts.sort_by("_row").combine_chunks()
-        tokens, offsets = tokens_of(texts.column("text").chunk(0))
-        first, end = offsets[:-1], offsets[1:] - 1
-        got = {(p, n): (counts, check) for p, n, counts, check in zip(*(answer.column(x).to_pylist() for x in ("part", "n", "counts", "check")), strict=True)}
-        single = state = probability = None
+    def piece_scores(texts, got: dict) -> dict:
+        tokens, offsets = tokens_of(texts)
+        grams, first, counts = [], [], []
         for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
-            keys, at = np.unique(gram, return_inverse=True)
-            counts = np.zeros(len(keys))
+            keys, at_first, at = np.unique(gram, return_index=True, return_inverse=True)
+            found = np.zeros(len(keys))
             for p, own in _dealt(keys, parts):
                 values, check = got[p, n]
-                if len(values) != 8 * len(own) or check != _check(keys[own]):
+                if len(values) != 8 * len(keys[own]) or check != _check(keys[own]):
                     raise RuntimeError("the documents came out differently when read again")
-                counts[own] = _from_planes(values, "<i8")
-            seen = counts[at]
-            if n == 1:
-                single = seen
-                probability = np.where(seen > 0, (1 - unknown) * seen / max(1, n_tokens), unknown)
-            else:
-                left = np.concatenate([[0.0], state[:-1]])  # how often training left the state that the tokens before lead to
-                left[first] = single[end]  # the start was left once for each end
-                probability = (seen + MASS[n - 1] * probability) / (left + MASS[n - 1])
-            state = seen
-        found = {
+                found[own] = _from_planes(values, "<i8")
+            grams.append(at)
+            first.append(at_first)
+            counts.append(found)
+        automaton = Automaton(grams, first, counts, offsets, n_tokens, starts, unknown)
+        single, begin, ids = counts[0][grams[0]], offsets[:-1], grams[0].tolist()
+        return {
             "n_tokens": np.diff(offsets),
-            "n_known": np.add.reduceat((single > 0).astype(np.int64), first),
-            "train_tokens": np.full(len(first), n_tokens),
-            "base_score": np.add.reduceat(np.log10((single + 1) / (n_tokens + n_words + 1)), first),
-            "score": np.add.reduceat(np.log10(probability), first),
+            "n_known": np.add.reduceat((single > 0).astype(np.int64), begin),
+            "train_tokens": np.full(len(begin), n_tokens),
+            "base_score": np.add.reduceat(np.log10((single + 1) / (n_tokens + n_words + 1)), begin),
+            "score": np.array([automaton.score(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
         }
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held")} | {k: pa.array(v) for k, v in found.items()})
+
+    def score(texts, answer):
+        import pyarrow as pa
+
+        texts = texts.sort_by("row").combine_chunks()
+        row = texts.column("row").to_numpy()
+        answer = answer.sort_by("begin")
+        begins, starts_at = np.unique(answer.column("begin").to_numpy(), return_index=True)
+        cuts = [*np.searchsorted(row, begins).tolist(), len(row)]
+        ends = [*starts_at[1:].tolist(), answer.num_rows]
+        found = []
+        for i, at in enumerate(starts_at.tolist()):
+            some = answer.slice(at, ends[i] - at)
+            got = {(p, n): (c, check) for p, n, c, check in zip(*(some.column(x).to_pylist() for x in ("part", "n", "counts", "check")), strict=True)}
+            part = texts.column("text").slice(cuts[i], cuts[i + 1] - cuts[i]).combine_chunks()
+            found.append(piece_scores(part.chunk(0) if isinstance(part, pa.ChunkedArray) else part, got))
+        columns = {k: pa.array(np.concatenate([x[k] for x in found])) for k in found[0]}
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held")} | columns)
 
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.select("part", "n", "block", "counts", "check").groupBy("block")).applyInArrow(score, scored)
+    answers = answers.select("part", "n", "file", "block", "begin", "counts", "check")
+    return rows.groupBy("file", "block").cogroup(answers.groupBy("file", "block")).applyInArrow(score, scored)

@@ -37,7 +37,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), stored=True)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,7 @@ def test_lz_fingerprints_of_edited_texts(docs, none):
 def test_scores_are_those_of_the_plain_model(docs, none):
     for order in (2, 3):
         got = collections.defaultdict(list)
-        for r in lm.score_documents(docs, order=order, block=16).collect():
+        for r in lm.score_documents(docs, order=order, piece_bytes=20_000).collect():
             got[r["doc_id"]].append(r)
         everything = docs.collect()
         tokens = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [None]
@@ -259,13 +259,41 @@ def test_scores_are_those_of_the_plain_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
-def test_the_model_is_a_distribution():
-    """From any state, the known tokens and an unknown one share a probability of 1."""
-    counts, bigrams = {"a": 5, "b": 3, None: 2}, {("a", "b"): 3, ("a", "a"): 1, ("a", None): 1}
-    unknown = 2 / 14
-    single = {w: (1 - unknown) * c / 10 for w, c in counts.items()} | {"?": unknown}
-    after_a = {w: (bigrams.get(("a", w), 0) + lm.MASS[1] * p) / (5 + lm.MASS[1]) for w, p in single.items()}
-    assert abs(sum(single.values()) - 1) < 1e-12 and abs(sum(after_a.values()) - 1) < 1e-12
+def test_the_automaton_is_a_distribution_from_every_state():
+    """The arcs of a state and those behind its failure arcs, with an unknown token, share a probability of 1."""
+    import pyarrow as pa
+
+    tokens, offsets = lm.tokens_of(pa.array(["a b a b a c", "a b b", "", "c a b a"]))
+    grams, first, counts = [], [], []
+    for gram in lm.ngrams(tokens, offsets, 3):
+        _, at_first, at = np.unique(gram, return_index=True, return_inverse=True)
+        grams.append(at)
+        first.append(at_first)
+        counts.append(np.bincount(at).astype(float))
+    model = lm.Automaton(grams, first, counts, offsets, len(tokens), 4.0, 0.1)
+    assert len(model.lost) == 1 + 2 + len(counts[0]) + len(counts[1]) and model.failure[model.start] == 1
+    ends = {grams[n - 1][at] for n in (1, 2) for at in offsets[1:] - 1}
+    for state in range(len(model.lost)):
+        total = 0.0
+        for token in [*range(model.width), -1]:
+            at, lost = state, 0.0
+            while (arc := model.arcs.get(at * model.width + token) if token >= 0 else None) is None and at:
+                lost, at = lost + model.lost[at], model.failure[at]
+            total += 10 ** (lost + (model.unknown if arc is None else model.weight[arc]))
+        # nothing follows an end, so what training saw after such a state does not add up to its count
+        assert abs(total - 1) < 1e-9 or (state > 2 and total < 1 and ends)
+
+
+def test_a_place_in_a_file_does_not_depend_on_the_tasks(spark, docs, tmp_path):
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    want = collections.Counter((r["doc_id"], round(r["score"], 6)) for r in lm.score_documents(docs).collect())
+    scored = lm.score_documents(stored, stored=True, piece_bytes=30_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert collections.Counter((r["doc_id"], round(r["score"], 6)) for r in scored.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_mixing_meets_its_targets(docs, none, spark):
