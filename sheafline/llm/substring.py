@@ -1,14 +1,19 @@
 """Long repeated spans of words, by a compacted de Bruijn graph.
 
-The k-mers of words (windows of ``K``) are the edges of the graph. A document is
-cut into runs of neighbouring k-mers that share their least sub-window
-(minimizer), which depends on the words alone: equal k-mers always have equal
-minimizers, wherever they stand. A run is a path without a branch inside one
-text. Runs whose minimizer occurs once cannot hold a repeated k-mer and go at
-once. Equal runs are compacted to one path with its first source coordinate, by
-a grouping; every other occurrence is a repeated span. Only where a minimizer
-has several paths, that is, where the graph branches, are single k-mers
-compared, each by 128 bits of its sequence and its source coordinates.
+The k-mers of words (windows of ``K``) are the edges of the graph, each between
+its first and its last k - 1 words. A document is cut into runs of neighbouring
+edges that share their least sub-window (minimizer), which depends on the words
+alone: equal k-mers always have equal minimizers, wherever they stand. A run is
+a path without a branch inside one text. Runs whose minimizer occurs once cannot
+hold a repeated edge and go at once. Equal runs are compacted to one path with
+its first source coordinate, by a grouping, and a join tells every run its path;
+only where a minimizer has several paths, that is, where the graph branches, are
+single edges looked up, by 128 bits of their sequence. Repeated runs and edges
+that go on along the same source are then compacted to long spans, and the words
+of each span are compared with those at its source's coordinates.
+
+Keys that very many rows share are looked up in a broadcast table of at most
+``MOST_HOT`` of them, so that no task gets all rows of one.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +31,10 @@ from .common import hashed_words, known_id, null_id_back, saved, sequence_hashes
 K = 20
 #: Words of a sub-window.
 SUB = 8
+#: Keys that are looked up by broadcast at most, and the rows that such a key has at least.
+MOST_HOT, LEAST_HOT = 4096, 1000
+#: Slices of one document that are looked at together.
+SLICES = 4096
 
 
 def _minimizer_runs(words: np.ndarray, offsets: np.ndarray, k: int, sub: int) -> tuple[np.ndarray, ...]:
@@ -84,12 +93,28 @@ def _runs(docs: DataFrame, k: int, sub: int, places: bool) -> DataFrame:
     return docs.select("doc", "th", "text").mapInArrow(cut, schema)
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows whose keys are in the saved ``table`` (keys, value, copies), with its value.
+
+    A key with more than a ``MOST_HOT``-th of all copies is found by broadcast;
+    its rows then travel under keys of their own.
+    """
+    copies = F.col("copies")
+    bound = max(LEAST_HOT, (table.agg(F.sum(copies)).first()[0] or 0) // MOST_HOT)  # fewer than MOST_HOT keys are above it
+    hot = table.where(copies > bound).select(*keys, F.col(value).alias("hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    spread = F.when(F.col("hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64("doc", "th", "start"))
+    found = marked.withColumn(keys[0], spread).join(table.where(copies <= bound).select(*keys, value), keys, "left")
+    return found.withColumn(value, F.coalesce("hot", value)).drop("hot").where(F.col(value).isNotNull())
+
+
 def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
-    """All k-mers that also start earlier, as spans: doc, th, start (word), n (k-mers), source_doc, source_start.
+    """All k-mers that also start earlier, as spans: doc, th, start (word), n (k-mers), source_doc, source_th, source_start.
 
     docs: doc (a long), th (64 bits of a hash of the text, which tell rows that
     repeat a doc apart), text. Earlier is a smaller doc, or the same one and
-    an earlier start. The source is the first occurrence of the span's words.
+    an earlier start. The source is the first occurrence of the span's words, or,
+    where that is shared, of the k-mers that it was compacted from.
     """
     if k - sub + 1 >= 64 or sub > k:
         raise ValueError("k - sub must be from 0 to 62")
@@ -98,15 +123,14 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
     runs = saved(_runs(docs, k, sub, True).join(repeated, "minimizer", "left_semi"))
     start, n = F.shiftrightunsigned("place", 6), F.expr("place & 63")
     runs = runs.select("minimizer", "content", "doc", start.alias("start"), n.alias("n"), "th")
-    paths = saved(runs.groupBy("minimizer", "content").agg(F.min(F.struct("doc", "start", "th", "n")).alias("first")))
-    first = F.struct(F.col("first.doc"), F.col("first.start"))
-    later = F.struct("doc", "start") > first
-    copies = runs.join(paths, ["minimizer", "content"]).where(later)
-    copies = copies.select("doc", "th", "start", "n", F.col("first.doc").alias("source_doc"), F.col("first.start").alias("source_start"))
-
+    paths = saved(runs.groupBy("minimizer", "content").agg(F.min(F.struct("doc", "start", "th", "n")).alias("first"), F.count("*").alias("copies")))
+    later = F.struct("doc", "start") > F.struct(F.col("first.doc"), F.col("first.start"))
+    source = [F.col("first.doc").alias("source_doc"), F.col("first.th").alias("source_th"), F.col("first.start").alias("source_start")]
     branching = saved(paths.groupBy("minimizer").agg(F.count("*").alias("paths")).where("paths > 1").select("minimizer"))
-    heads = paths.join(branching, "minimizer", "left_semi").select("first.*")
-    heads = heads.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # as long as one document at most
+    heads = paths.join(branching, "minimizer", "left_semi")
+    copies = _looked_up(runs, paths.where("copies > 1"), ["minimizer", "content"], "first").where(later).select("doc", "th", "start", "n", *source)
+
+    heads = heads.select("first.*").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # as long as one document at most
 
     def windows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -127,11 +151,56 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
                 columns = [one.view(np.int64), two.view(np.int64), doc, th, begin]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["one", "two", "doc", "th", "start"])
 
-    kmers = docs.join(heads, ["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(windows, "one long, two long, doc long, th long, start long")
-    firsts = kmers.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    single = kmers.join(firsts, ["one", "two"]).where(later)
-    single = single.select("doc", "th", "start", F.lit(1).cast("long").alias("n"), F.col("first.doc").alias("source_doc"), F.col("first.start").alias("source_start"))
-    return copies.unionByName(single)
+    edges = saved(docs.join(heads, ["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(windows, "one long, two long, doc long, th long, start long"))
+    firsts = saved(edges.groupBy("one", "two").agg(F.min(F.struct("doc", "start", "th")).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    single = _looked_up(edges, firsts, ["one", "two"], "first").where(later).select("doc", "th", "start", F.lit(1).cast("long").alias("n"), *source)
+    return saved(_compacted(copies.unionByName(single)))
+
+
+def _compacted(spans: DataFrame) -> DataFrame:
+    """Spans of one text that follow one another along the same source become one."""
+    along = ["doc", "th", "source_doc", "source_th", "diagonal"]
+    spans = spans.withColumn("diagonal", F.col("start") - F.col("source_start")).repartition("doc", "th")
+    before = Window.partitionBy(*along).orderBy("start")
+    reach = F.max(F.col("start") + F.col("n")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
+    islands = spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy(*along, "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"))
+    return merged.select("doc", "th", "start", (F.col("stop") - F.col("start")).alias("n"), "source_doc", "source_th", (F.col("start") - F.col("diagonal")).alias("source_start"))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _with_source_words(spans: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The spans with ``words``: the SHA-256 of the words at their source's coordinates."""
+    place = ["source_doc", "source_th", "source_start", "n"]
+    slices = spans.groupBy(*place).agg(F.count("*").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy("source_doc", "source_th").orderBy("source_start", "n"))
+    grouped = slices.withColumn("part", F.floor((nth - 1) / SLICES)).groupBy(F.col("source_doc").alias("doc"), F.col("source_th").alias("th"), "part")
+    grouped = grouped.agg(F.collect_list(F.struct("source_start", "n", "copies")).alias("slices"))
+
+    def digests(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for block in _blocks(batch):
+                out: list[list] = [[], [], [], [], [], []]
+                for doc, th, text, slices in zip(*(block.column(c).to_pylist() for c in ("doc", "th", "text", "slices")), strict=True):
+                    words = text.encode().split()
+                    for s in slices:
+                        at, n = s["source_start"], s["n"]
+                        for column, value in zip(out, (doc, th, at, n, s["copies"], _digest(words[at : at + n + k - 1])), strict=True):
+                            column.append(value)
+                kinds = *[pa.int64()] * 5, pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [*place, "copies", "words"])
+
+    # rows that are alike in doc and th have equal texts: either serves as the source
+    texts = docs.join(grouped, ["doc", "th"]).select("doc", "th", "text", "slices")
+    found = texts.mapInArrow(digests, "source_doc long, source_th long, source_start long, n long, copies long, words binary")
+    found = saved(found.groupBy(*place).agg(F.max("copies").alias("copies"), F.first("words").alias("words")))
+    return _looked_up(spans, found, place, "words")
 
 
 def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -154,7 +223,9 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str
     th = F.xxhash64("text").alias("th")
     # the columns' order is that of repeated_spans, so that Spark deals the texts out once for both
     full = full.select("doc", th, "text", *(["rest"] if carry else []))
-    spans = repeated_spans(full.select("doc", "th", "text"), k, sub).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    texts = full.select("doc", "th", "text")
+    spans = _with_source_words(repeated_spans(texts, k, sub), texts, k)
+    spans = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n", "words")).alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -167,9 +238,11 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str
                     words = kept = (text or "").encode().split()
                     if spans.is_valid and len(spans.values):
                         edges = np.zeros(len(words) + 1, dtype=np.int64)
-                        begin, count = (spans.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                        np.add.at(edges, begin, 1)
-                        np.add.at(edges, begin + count + k - 1, -1)
+                        for span in spans.as_py():
+                            at, end = span["start"], span["start"] + span["n"] + k - 1
+                            if _digest(words[at:end]) == span["words"]:
+                                edges[at] += 1
+                                edges[end] -= 1
                         stay = np.cumsum(edges)[:-1] == 0
                         kept = [words[i] for i in np.flatnonzero(stay)]
                     joined = b" ".join(kept)
