@@ -8,6 +8,7 @@ n-grams of the greatest length of which any is known.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,19 +19,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the sample and of the model.
+from .common import saved
+
+#: Bounds of the labelled sample, in documents on average: of each language, and of all.
 DOCUMENTS_PER_LANGUAGE = 2_500
-MOST_LANGUAGES = 200
-MOST_WORDS = 60_000
-MOST_GRAMS = 40_000
+DOCUMENTS = 100_000
 LONGEST_GRAM = 4
+#: Tasks that cut the words of the sample into n-grams.
+FIT_PARTS = 32
 #: A word must be seen this often in the sample to be known.
 LEAST_COUNT = 2
 SMOOTHING = 0.1
 #: Words that count as evidence at most: the score of a longer text is that of so many words like its mean.
 EVIDENCE = 25
-#: Unseen words that a Python worker keeps.
-CACHE = 200_000
+#: Unseen words that a Python worker keeps, and the numbers that it keeps for them.
+CACHE, CACHED_NUMBERS = 200_000, 4_000_000
 FOLDS, HELD_FOLD = 5, 0
 UNKNOWN = "und"
 
@@ -43,12 +46,40 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_FOLD) -> Colum
 
 
 class Frequencies:
-    """Log frequencies by language of a list of words or n-grams, from a table of counts (a row for each)."""
+    """Log frequencies by language of words or n-grams.
+
+    entries: for each name its languages (numbers) and its counts in them. Only
+    those are kept; where a name was not seen in a language, its log frequency
+    there is ``base``, from the smoothing alone.
+    """
 
-    def __init__(self, names: list[str], counts: np.ndarray):
-        self.place = {name: i for i, name in enumerate(names)}
-        table = counts.astype(np.float64) + SMOOTHING
-        self.logs = np.log(table / table.sum(axis=0)).astype(np.float32) if len(names) else table
+    def __init__(self, entries: list[tuple[str, list[int], list[int]]], languages: int):
+        self.place = {name: i for i, (name, _, _) in enumerate(entries)}
+        self.ends = np.cumsum([0, *(len(langs) for _, langs, _ in entries)])
+        self.langs = np.array([x for _, langs, _ in entries for x in langs], dtype=np.int32)
+        counts = np.array([x for _, _, counts in entries for x in counts], dtype=np.float64)
+        totals = np.bincount(self.langs, weights=counts, minlength=languages) + SMOOTHING * len(entries)
+        self.base = np.log(SMOOTHING / totals) if entries else np.zeros(languages)
+        self.above = (np.log(counts + SMOOTHING) - np.log(SMOOTHING)).astype(np.float32)
+
+    @functools.cached_property
+    def _lists(self) -> tuple[list, list, list]:
+        return self.ends.tolist(), self.langs.tolist(), self.above.tolist()
+
+    def mean(self, places: list[int]) -> np.ndarray:
+        """The mean of the log frequencies of the few names at ``places``, for every language."""
+        ends, langs, above = self._lists
+        row, share = self.base.copy(), 1 / len(places)
+        for x in places:
+            for at in range(ends[x], ends[x + 1]):
+                row[langs[at]] += share * above[at]
+        return row
+
+    def total(self, places: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The sum over the names at ``places`` of their log frequencies, each ``times`` over, for every language."""
+        begin, sizes = self.ends[places], self.ends[places + 1] - self.ends[places]
+        at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return times.sum() * self.base + np.bincount(self.langs[at], weights=np.repeat(times, sizes) * self.above[at], minlength=len(self.base))
 
 
 class LanguageModel:
@@ -57,6 +88,7 @@ class LanguageModel:
     def __init__(self, languages: list[str], words: Frequencies | None = None, grams: list[Frequencies] | None = None):
         self.languages, self.words, self.grams = languages, words, grams or []
         self.unseen: dict[str, np.ndarray] = {}
+        self.cached = min(CACHE, CACHED_NUMBERS // max(1, len(languages)))
 
     def backed_off(self, word: str) -> np.ndarray:
         """Mean log frequency of the word's known n-grams of the greatest length that has any."""
@@ -65,8 +97,8 @@ class LanguageModel:
             place = self.grams[n - 1].place
             known = [x for i in range(len(marked) - n + 1) if (x := place.get(marked[i : i + n])) is not None]
             if known:
-                return self.grams[n - 1].logs[known].mean(axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+                return self.grams[n - 1].mean(known)
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the score, from 0 to 1."""
@@ -77,13 +109,13 @@ class LanguageModel:
         at = np.fromiter((place(word, -1) for word in counts), dtype=np.int64, count=len(counts))
         times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
         known = at >= 0
-        total = times[known] @ self.words.logs[at[known]]
+        total = self.words.total(at[known], times[known])
         if not known.all():
             rows = []
             for word in compress(counts, ~known):
                 row = self.unseen.get(word)
                 if row is None:
-                    if len(self.unseen) >= CACHE:
+                    if len(self.unseen) >= self.cached:
                         self.unseen.clear()
                     row = self.unseen[word] = self.backed_off(word)
                 rows.append(row)
@@ -97,34 +129,37 @@ class LanguageModel:
 def fit(labelled: DataFrame) -> LanguageModel:
     """A model from rows (doc_id, text, lang).
 
-    Of each language the documents with the smallest hashes of doc_id are used,
-    ``DOCUMENTS_PER_LANGUAGE`` of them on average; a language with fewer is used
-    whole. Rows with a null text or lang are left out. What comes to the driver is
-    the model, whose size is bounded by the constants above.
+    Of each language the documents with the smallest hashes of doc_id and text
+    are used, ``DOCUMENTS_PER_LANGUAGE`` of them on average, or as many as make
+    ``DOCUMENTS`` in all if there are very many languages; a language with fewer
+    is used whole, and none is left out. Rows with a null text or lang are left
+    out. All words and n-grams that occur ``LEAST_COUNT`` times in the sample are
+    kept. What comes to the driver is the model, bounded by the sample.
     """
     labelled = labelled.where("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([])
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, DOCUMENTS_PER_LANGUAGE / r["count"]))])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.coalesce("doc_id", F.lit(-1))), 11) / float(2**53)
-    sample = labelled.where(draw < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("x"))
-    words = words.groupBy("x", "lang").agg(F.count("*").alias("n"))
-
-    def table(counts: DataFrame, most: int) -> Frequencies:
-        top = counts.groupBy("x").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
-        top = top.where(F.col("total") >= LEAST_COUNT).orderBy(F.desc("total"), "x").limit(most).drop("total").toArrow()
-        return Frequencies(top.column("x").to_pylist(), np.stack([top.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1))
-
-    marked = words.select("lang", "n", F.concat(F.lit(" "), "x", F.lit(" ")).alias("x"))
-    grams = []
-    for n in range(1, LONGEST_GRAM + 1):
-        cut = F.transform(F.sequence(F.lit(1), F.length("x") - n + 1), lambda i: F.substring("x", i, F.lit(n)))  # noqa: B023
-        counted = marked.where(F.length("x") >= n).select("lang", "n", F.explode(cut).alias("x")).groupBy("x", "lang").agg(F.sum("n").alias("n"))
-        grams.append(table(counted, MOST_GRAMS))
-    return LanguageModel(languages, table(words, MOST_WORDS), grams)
+    quota = min(DOCUMENTS_PER_LANGUAGE, DOCUMENTS / len(languages))
+    number = {lang: i for i, lang in enumerate(languages)}
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], number[r["lang"]], min(1.0, quota / r["count"])) for r in sizes], "lang string, l int, share double")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.coalesce("doc_id", F.lit(-1)), "text"), 11) / float(2**53)
+    sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
+    words = sample.select("l", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("x"))
+    words = saved(words.groupBy("x", "l").agg(F.count("*").alias("n")).repartition(FIT_PARTS))  # few bytes, but much to do for each
+    # n-grams of all lengths in one pass; words have the mark 0
+    placed = words.select("l", "n", F.concat(F.lit(" "), "x", F.lit(" ")).alias("x")).select("*", F.explode(F.expr("sequence(1, length(x))")).alias("i"))
+    cut = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.substring("x", F.col("i"), F.lit(k)).alias("g")) for k in range(1, LONGEST_GRAM + 1)]))
+    grams = placed.select("l", "n", cut).where("length(g) = k")  # what is cut off by the end of the word is shorter
+    every = words.select(F.lit(0).alias("k"), "x", "l", "n").unionByName(grams.select("k", F.col("g").alias("x"), "l", "n"))
+    every = every.groupBy("k", "x", "l").agg(F.sum("n").alias("n")).groupBy("k", "x").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("l", "n"))).alias("seen"))
+    found = every.where(F.col("total") >= LEAST_COUNT).orderBy("k", "x").select("k", "x", F.col("seen.l").alias("langs"), F.col("seen.n").alias("counts")).toArrow()
+    entries: list[list[tuple]] = [[] for _ in range(LONGEST_GRAM + 1)]
+    for k, *entry in zip(*(found.column(c).to_pylist() for c in ("k", "x", "langs", "counts")), strict=True):
+        entries[k].append(tuple(entry))
+    words_of, *grams_of = (Frequencies(some, len(languages)) for some in entries)
+    return LanguageModel(languages, words_of, grams_of)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -355,3 +356,60 @@ def test_languages_are_told(docs, none, spark):
     assert len(messy) == docs.count() and all((r["lang_pred"] == "und") == (r["score"] == 0) for r in messy)
     assert langid.predict_languages(none).count() == 0
     assert langid.LanguageModel([]).predict("words") == ("und", 0.0)
+
+
+def languages_by_force(learn, texts):
+    """The method on plain dictionaries: learn has (text, lang), all of it the sample."""
+    words, langs = collections.Counter(), sorted({lang for _, lang in learn})
+    for text, lang in learn:
+        words.update((w, lang) for w in re.findall(r"[^\W\d_]+", text.lower()))
+    tables = [words] + [collections.Counter() for _ in range(langid.LONGEST_GRAM)]
+    for (w, lang), n in words.items():
+        for k in range(1, langid.LONGEST_GRAM + 1):
+            for i in range(len(w) + 3 - k):
+                tables[k][f" {w} "[i : i + k], lang] += n
+    logs = []
+    for table in tables:
+        total = collections.Counter()
+        for (x, _), n in table.items():
+            total[x] += n
+        kept = [x for x, n in total.items() if n >= langid.LEAST_COUNT]
+        size = {lang: sum(table[x, lang] for x in kept) + langid.SMOOTHING * len(kept) for lang in langs}
+        logs.append({x: [math.log((table[x, lang] + langid.SMOOTHING) / size[lang]) for lang in langs] for x in kept})
+
+    def of(word):
+        if word in logs[0]:
+            return logs[0][word]
+        for k in range(langid.LONGEST_GRAM, 0, -1):
+            found = [logs[k][g] for i in range(len(word) + 3 - k) if (g := f" {word} "[i : i + k]) in logs[k]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    for text in texts:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not any(c.isalpha() for w in found for c in w):
+            yield "und", 0.0
+            continue
+        sums = [sum(x) / len(found) * min(len(found), langid.EVIDENCE) for x in zip(*map(of, found), strict=True)]
+        likely = [math.exp(x - max(sums)) for x in sums]
+        yield langs[likely.index(max(likely))], max(likely) / sum(likely)
+
+
+def test_languages_are_those_of_the_plain_model(docs):
+    everything = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0
+    want = collections.defaultdict(list)
+    learn = [(t, lang) for i, t, lang in everything if not held(i) and t is not None and lang is not None]
+    for (i, _, _), found in zip(everything, languages_by_force(learn, [t for _, t, _ in everything]), strict=True):
+        want[i].append(found)
+    got = langid.predict_languages(docs).collect()
+    assert len(got) == len(everything)
+    for r in got:
+        assert r["held_out"] == held(r["doc_id"]) and any(r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4 for lang, score in want[r["doc_id"]]), r
+
+
+def test_no_language_is_left_out(spark):
+    made = [(10 * i + j, " ".join(f"{'abcdefghijklmnopqrst'[i // 20]}{'abcdefghijklmnopqrst'[i % 20]}w{'xyz'[k]}" for k in range(3)), f"l{i:03}") for i in range(230) for j in range(2)]
+    model = langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 230 and all(model.predict(t)[0] == lang for _, t, lang in made)
