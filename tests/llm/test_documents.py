@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from brute import capped_targets, plain_flow
 from sheafline.llm import langid, lm, lz, mixing, packing, simhash, substring
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -307,7 +309,7 @@ def test_mixing_meets_its_targets(docs, none, spark):
     for d in docs.collect():
         sizes[d["source"]] += len(split(d["text"]))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(names, mixing.capped_targets([sizes[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True))
+    targets = dict(zip(names, capped_targets([sizes[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True))
     taken = collections.defaultdict(int)
     for r in got:
         (source,) = r["sources"]
@@ -340,6 +342,87 @@ def test_flow_is_the_cheapest_for_overlapping_sources():
     assert cost == best
 
 
+def cost_of(flows, patterns):
+    used = [sum(f.values()) for f in flows]
+    return sum(used), sum(min(u, w) + 2 * min(max(0, u - w), w) + 4 * max(0, u - 2 * w) for u, (w, _) in zip(used, patterns, strict=True))
+
+
+def test_flow_is_that_of_the_plain_algorithm():
+    random.seed(3)
+    for _ in range(150):
+        m = random.randint(1, 6)
+        patterns = [(random.randint(0, 30), sorted(random.sample(range(m), random.randint(1, m)))) for _ in range(random.randint(1, 12))]
+        quotas = [random.randint(0, 80) for _ in range(m)]
+        flows = mixing.min_cost_flow(patterns, quotas, 3)
+        assert cost_of(flows, patterns) == cost_of(plain_flow(patterns, quotas, 3), patterns)
+        assert all(sum(f.get(s, 0) for f in flows) <= q for s, q in enumerate(quotas)) and all(sum(f.values()) <= 3 * w for f, (w, _) in zip(flows, patterns, strict=True))
+
+
+def test_flow_of_many_patterns():
+    random.seed(4)
+    m = 2_000
+    patterns = [(random.randint(1, 1000), sorted(random.sample(range(m), 3))) for _ in range(20_000)]
+    quotas = [random.randint(3000, 9000) for _ in range(m)]
+    began = time.perf_counter()
+    flows = mixing.min_cost_flow(patterns, quotas, 2)
+    assert time.perf_counter() - began < 60 and sum(sum(f.values()) for f in flows) > 0.99 * min(sum(quotas), 2 * sum(w for w, _ in patterns))
+
+
+def mixed_by_force(spark, rows, passes=2):
+    """What is taken of (doc_id, text, sources): rows in the order of their hashes, cut where the flow of their pattern ends."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    key = F.hex(F.xxhash64(F.lit(mixing.SEED), F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text"))
+    by = collections.defaultdict(list)
+    for r in df.withColumn("key", key).collect():
+        by[tuple(sorted(set(r["sources"] or ()), key=lambda s: (s is None, s or "")))].append((r["key"].zfill(16), r["doc_id"], len(split(r["text"]))))
+    names = sorted({s for sources in by for s in sources}, key=lambda s: (s is None, s or ""))
+    words = {s: sum(n for sources, docs in by.items() if s in sources for _, _, n in docs) for s in names}
+    targets = capped_targets([words[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))])
+    patterns = [(sum(n for _, _, n in docs), [names.index(s) for s in sources]) for sources, docs in by.items()]
+    flows = plain_flow(patterns, [round(t) for t in targets], passes)
+    taken = collections.Counter()
+    for docs, (size, _), flow in zip(by.values(), patterns, flows, strict=True):
+        whole, rest = divmod(sum(flow.values()), size) if size else (0, 0)
+        for _, doc_id, n in sorted(docs, key=lambda x: (x[0], x[1] is None, x[1] or 0)):
+            part = min(n, rest)
+            rest -= part
+            taken[doc_id, n, whole * n + part] += 1
+    return taken, cost_of(flows, patterns)
+
+
+@pytest.mark.parametrize("edge", [0, 4096])
+def test_the_mix_takes_what_the_plain_flow_takes(spark, monkeypatch, edge):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    random.seed(9)
+    single = [(i, " ".join(f"w{k}" for k in range(random.randint(0, 40))), [f"s{i % 4}"]) for i in range(120)] + [(None, None, None), (500, "a b", []), (501, "a b c", [None]), (502, "x " * 9, [None])]
+    single += [(7, "same text of a few words", ["s1"])] * 9
+    want, _ = mixed_by_force(spark, single)
+    got = mixing.mix(spark.createDataFrame(single, "doc_id long, text string, sources array<string>"), F.col("sources"), mixing.word_count(F.col("text"))).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == want
+    # overlapping sources have several cheapest flows; words and costs are those of the plain one
+    both = single + [(1000 + i, " ".join("y" * random.randint(1, 20)), random.sample(["s0", "s1", "t", None], random.randint(1, 3))) for i in range(60)]
+    _, best = mixed_by_force(spark, both)
+    got = mixing.mix(spark.createDataFrame(both, "doc_id long, text string, sources array<string>"), F.col("sources"), mixing.word_count(F.col("text"))).collect()
+    by = collections.defaultdict(lambda: [0, 0])
+    for r in got:
+        at = by[tuple(r["sources"])]
+        at[0], at[1] = at[0] + r["size"], at[1] + r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert cost_of([{0: taken} for _, taken in by.values()], [(size, None) for size, _ in by.values()]) == best
+
+
+def test_any_number_of_sources(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_003).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), F.lit("one two three four").alias("text"))
+    got = mixing.mix(rows, F.array("source"), mixing.word_count(F.col("text"))).agg(F.count("*"), F.sum("taken"), F.max("taken"), F.sum("target")).first()
+    assert got[0] == 20_003 and abs(got[1] - 1.5 * 4 * 20_003) <= 20_003 and got[2] <= 8 and got[3] == pytest.approx(1.5 * 4 * 20_003)
+
+
 def test_languages_are_told(docs, none, spark):
     english, french = "the house and the tree with of this that were", "la maison et le jardin avec que dans une pour"
     random.seed(5)

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+from brute import capped_targets
 from sheafline.llm import langid, mixing, simhash, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -94,7 +95,7 @@ def test_mixing_takes_rows_that_share_id_and_size_one_by_one(spark):
     words = collections.Counter()
     for r in four.collect():
         words[r["source"]] += len(r["text"].split())
-    targets = mixing.capped_targets([900] * 3, mixing.WEIGHTS)
+    targets = capped_targets([900] * 3, mixing.WEIGHTS)
     assert all(abs(words[f"s{i}"] - targets[i]) <= 1 for i in range(3))
 
 
