@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -135,3 +136,36 @@ def test_embedding_links(spark, monkeypatch, block):
     assert sum((collections.Counter(map(tuple, got)) - want).values()) <= 0.05 * len(rows)
     assert len(got) == len(rows)
     assert embeddings.near_duplicates(table.where("vec_id < -5")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("caf&eacute; &#8217; &#x27; &amp;lt; &nosuch;", "café ’ ' &lt; &nosuch;"), ('<p title="a>b">t</p>', "t"), ("<p>a</p><script>var x = '<p>no</p>'", "a"), ("x<!-- open <p>y", "x"),
+        ("<HEAD><title>T</title><body>b", "b"), ("a<b>c</b>d", "acd"), ("1 < 2 <3", "1 < 2 <3"), ("<script src=a>x</scripty></SCRIPT >after", "after"), ('<p a="open>text', ""), ("a<?php x ?>b<!doctype html>c</ >d", "abcd"),
+        ("a  b<br/>\n \n<li>c", "a b\nc"), ("", ""), ("<", "<"), ("<style>p{}</style><style>q{}</style>z", "z"),
+    ],
+)
+def test_text_of_a_page(page, text):
+    assert warc.text_of(page) == text
+
+
+@pytest.mark.parametrize("part", ["<script>a ", "<script a ", "<p title=\"", "<!-- ", "<p ", "&#", "< ", "<head>", "<p title='a' \"", "</script", "<!"])
+def test_text_is_read_in_linear_time(part):
+    began = time.perf_counter()
+    warc.text_of(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 2
+
+
+def test_source_headers_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "http://a/\r\nX: y", "<p>t</p>", {"WARC-Date": "2024-05-06T07:08:09Z", "Content-Type": "text/html; charset=utf-8", "Gone": None, "ETag": "a\r\nb"})], "page_id long, url string, html string, h map<string,string>")
+    got = {r["record_type"]: r for r in warc.derivatives(rows, F.col("h")).collect()}
+    for r in got.values():
+        assert r["source_headers"] == "Content-Type: text/html; charset=utf-8\r\nETag: a b\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" and r["refers_to_date"] == "2024-05-06T07:08:09Z"
+        assert r["refers_to_target_uri"] == "http://a/ X: y"
+    assert "source-header-etag: a b\r\n" in got["metadata"]["block"]
+    for r in warc.warc_text(warc.derivatives(rows, F.col("h")), "2025-01-01T00:00:00Z").collect():
+        head = r["record"].split("\r\n\r\n")[0].split("\r\n")
+        assert "WARC-Refers-To-Date: 2024-05-06T07:08:09Z" in head and f"WARC-Source-Payload-Digest: {got['metadata']['source_payload_digest']}" in head
