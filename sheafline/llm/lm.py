@@ -37,6 +37,7 @@ PIECE_BYTES = 3 << 20
 #: Requests are split by key into so many parts at least, and into one for each so many bytes of text.
 PARTS, PART_BYTES = 64, 16 << 20
 
+KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 
@@ -54,12 +55,16 @@ def tokens_of(array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n from 1 to ``order`` the hash of the n-gram that ends at each token; before a text stand starts."""
+    """For n from 1 to ``order`` the hash of the n-gram that ends at each token; before a text stand starts.
+
+    Of the hashes of longer n-grams than one token the first 56 bits count: of
+    10^13 n-grams about one in 7000 shares its key with another.
+    """
     out, before = [tokens], tokens
     for n in range(2, order + 1):
         before = np.concatenate([[_START], before[:-1]])
         before[offsets[:-1]] = _START
-        out.append(mix64(out[-1] * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n)))
+        out.append(mix64(out[-1] * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n)) & KEY_BITS)
     return out
 
 
