@@ -34,6 +34,8 @@ MASS = (0.0, 400.0, 5.0, 3.0)
 FOLDS, HELD_FOLD = 7, 2
 #: Bytes of text in a piece, unless one document has more, and in a block, on average.
 PIECE_BYTES = 3 << 20
+#: Tokens of the texts that one automaton is made for, unless one text has more.
+AUTOMATON_TOKENS = 150_000
 #: Requests are split by key into so many parts at least, and into one for each so many bytes of text.
 PARTS, PART_BYTES = 64, 16 << 20
 
@@ -203,6 +205,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     block_rows = max(1, min(1 << 16, int(piece_bytes * n_docs / (n_bytes + 1)) if n_docs else 1))
     parts = max(PARTS, n_bytes // PART_BYTES)
+    most = AUTOMATON_TOKENS
     place = F.col("_metadata.row_index")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds, fold).alias("held"),
@@ -246,9 +249,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
 
     def piece_scores(texts, got: dict) -> dict:
         tokens, offsets = tokens_of(texts)
-        grams, first, counts = [], [], []
+        grams, counts = [], []
         for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
-            keys, at_first, at = np.unique(gram, return_index=True, return_inverse=True)
+            keys, at = np.unique(gram, return_inverse=True)
             found = np.zeros(len(keys))
             for p, own in _dealt(keys, parts):
                 values, check = got[p, n]
@@ -256,16 +259,22 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
                     raise RuntimeError("the documents came out differently when read again")
                 found[own] = _from_planes(values, "<i8")
             grams.append(at)
-            first.append(at_first)
             counts.append(found)
-        automaton = Automaton(grams, first, counts, offsets, n_tokens, starts, unknown)
-        single, begin, ids = counts[0][grams[0]], offsets[:-1], grams[0].tolist()
+        single, begin, scores, row = counts[0][grams[0]], offsets[:-1], [], 0
+        while row < len(begin):  # an automaton for some texts at a time keeps its arcs few
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+            lo, hi = offsets[row], offsets[end]
+            some = [np.unique(at[lo:hi], return_index=True, return_inverse=True) for at in grams]
+            automaton = Automaton([at for _, _, at in some], [at for _, at, _ in some], [c[x] for c, (x, _, _) in zip(counts, some, strict=True)], offsets[row : end + 1] - lo, n_tokens, starts, unknown)
+            ids = some[0][2].tolist()
+            scores += [automaton.score(ids[a - lo : b - lo]) for a, b in zip(offsets[row:end], offsets[row + 1 : end + 1], strict=True)]
+            row = end
         return {
             "n_tokens": np.diff(offsets),
             "n_known": np.add.reduceat((single > 0).astype(np.int64), begin),
             "train_tokens": np.full(len(begin), n_tokens),
             "base_score": np.add.reduceat(np.log10((single + 1) / (n_tokens + n_words + 1)), begin),
-            "score": np.array([automaton.score(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
+            "score": np.array(scores),
         }
 
     def score(texts, answer):
