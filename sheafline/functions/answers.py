@@ -84,7 +84,7 @@ def repaired(value: Column, kind: Column, rescale: bool = True) -> Column:
     percent = F.when(is_fraction(value), value * 100).otherwise(value) if rescale else value
     fixed = (
         F.when(kind == "percent", cents(F.least(F.greatest(percent, F.lit(0.0)), F.lit(100.0))))
-        .when(kind.isin("count", "days"), F.greatest(F.bround(value, 0), F.lit(0.0)))
+        .when(kind.isin("count", "days"), F.greatest(F.bround(value, 0), F.lit(0.0)) + 0.0)  # no negative zero
         .when(kind == "money", cents(F.greatest(value, F.lit(0.0))))
         .otherwise(cents(value))
     )

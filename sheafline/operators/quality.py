@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import is_fraction, issues, repaired, score_one, submitted_number, valid_number
@@ -49,6 +49,38 @@ def mode_with_count(rows: DataFrame, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), F.col(value)).limit(1)
 
 
+#: Half the share of rows around the middle that is sorted, well above the error of the sketch that bounds it.
+AROUND, SKETCH = 0.001, 20_000
+
+
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, upper_median: of n values in order the one at place n div 2 + 1; nulls do not count.
+
+    A sketch bounds the middle of each key; only the values between the bounds
+    are put in order, those below are counted. A key may hold most of the rows.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("x"))
+    ends = F.percentile_approx("x", [0.5 - AROUND, 0.5 + AROUND], SKETCH)
+    bounds = rows.groupBy(key).agg(ends.alias("e"), F.count("*").alias("n")).select(key, "n", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    placed = rows.alias("r").join(bounds.alias("b"), F.col(f"r.{key}").eqNullSafe(F.col(f"b.{key}"))).select(f"r.{key}", "x", "n", "lo", "hi")
+    counted = placed.where("x <= hi").groupBy(key, "n", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(F.col("x").asc_nulls_first()))  # what is below comes first, as one row
+    at = F.floor(F.col("n") / 2) + 1
+    found = counted.withColumn("upto", upto).where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at))
+    return found.select(key, F.col("x").alias("upper_median"))
+
+
+def file_issues(lines: DataFrame) -> DataFrame:
+    """qid (``HEADER``), code, severity of a file of answers as a whole, from its lines (row_num, line): empty, or without the usual heading."""
+    kept = lines.where("trim(line) <> ''")
+    cells = F.transform(F.split(F.lower("line"), ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    titled = F.array_contains(cells, "question_id") | F.array_contains(cells, "qid")
+    first = kept.agg(F.min_by(titled, "row_num").alias("titled"))
+    code = F.when(F.col("titled").isNull(), "EMPTY_FILE").when(~F.col("titled"), "MISSING_STANDARD_HEADER")
+    found = first.select(F.lit("HEADER").alias("qid"), code.alias("code")).where("code is not null")
+    return found.withColumn("severity", F.when(F.col("code") == "EMPTY_FILE", "ERROR").otherwise("WARNING"))
+
+
 def anomalies(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """code, value of what is odd about the whole set: one value too often, too many zeros, fractions among percentages."""
     rows = questions.join(last_write_wins(answers), "qid").withColumn("v", valid_number(F.col("raw_answer")))

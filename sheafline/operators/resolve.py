@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import found
 from ..functions.names import normalize_mention, package_code, telling_words
+from .contain import contained_pairs
 from .works import top_row
 
 # Thresholds of the fuzzy layer.
@@ -53,7 +54,8 @@ def contained(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Layer 1: qid and the longest entity whose normalized name is part of the normalized text."""
     m = mentions.select("qid", normalize_mention(F.col("text")).alias("_text"))
     e = entities.select("entity", normalize_mention(F.col("entity")).alias("_name")).where("_name <> ''").distinct()
-    hits = m.join(e, F.contains("_text", "_name"))
+    pairs = contained_pairs(m.select(F.col("qid").alias("id"), F.col("_text").alias("text")), e.select(F.col("_name").alias("name")))
+    hits = pairs.select(F.col("id").alias("qid"), F.col("name").alias("_name")).join(e, "_name")
     return top_row(hits, ["qid"], [F.length("entity").desc(), F.col("entity")]).select("qid", "entity")
 
 
@@ -76,6 +78,20 @@ def confident(candidates: DataFrame) -> DataFrame:
     return ranked.where((best >= CONFIDENT) & ahead).select("qid", F.col("r")[0]["entity"].alias("entity"))
 
 
+def find_clients(queries: DataFrame, clients: DataFrame) -> DataFrame:
+    """qid, client: the first client by name whose name, in any case, is part of the query or has the query as a part; null if none.
+
+    queries: qid, text. clients: client. A null or empty query finds nothing.
+    """
+    asked = queries.select("qid", F.lower(F.trim("text")).alias("text")).where("text <> ''")
+    known = clients.where("client <> ''").select("client", F.lower("client").alias("low")).distinct()
+    inside = contained_pairs(asked.select(F.col("qid").alias("id"), "text"), known.select(F.col("low").alias("name"))).select(F.col("id").alias("qid"), F.col("name").alias("low"))
+    around = contained_pairs(known.select(F.col("low").alias("id"), F.col("low").alias("text")), asked.select(F.col("text").alias("name"))).select(F.col("id").alias("low"), F.col("name").alias("text"))
+    around = around.join(asked, "text").select("qid", "low")
+    best = inside.unionByName(around).join(known, "low").groupBy("qid").agg(F.min("client").alias("client"))
+    return queries.select("qid").join(best, "qid", "left")
+
+
 def shortlist(candidates: DataFrame, n: int = 5) -> DataFrame:
     """The n best candidates of each mention, for a disambiguator."""
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "entity"))), 1, n)

@@ -10,6 +10,7 @@ from ..functions.basic import found, has_any
 from ..functions.dates import question_date
 from ..functions.money import money_mentions
 from ..functions.names import category_before_dash
+from ..operators.contain import contained_pairs
 from ..operators.works import engineer_works, first_certification, largest_gap, portfolio_baseline, top_row
 
 # Shapes by keywords, in their order.
@@ -63,12 +64,11 @@ def route(question: Column, kind: Column, shape: Column) -> Column:
 def named_entity(questions: DataFrame, names: DataFrame, parts: bool) -> DataFrame:
     """qid and the longest name that the question contains; else, with ``parts``, one whose beginning, up to a comma or dash, it contains."""
     names = names.where("name is not null and name <> ''").select("name").distinct()
-    text = F.lower("question")
-    start = F.trim(F.regexp_extract("name", r"^[\s,—–-]*([^,—–-]+)", 1))
-    whole = F.contains(text, F.lower("name"))
-    begins = (start != "") & F.contains(text, F.lower(start)) if parts else F.lit(False)
-    hits = questions.select("qid", "question").join(names, whole | begins)
-    hits = hits.withColumn("_whole", whole)
+    names = names.select("name", F.lower("name").alias("low"), F.lower(F.trim(F.regexp_extract("name", r"^[\s,—–-]*([^,—–-]+)", 1))).alias("start"))
+    keys = names.select("name", F.col("low").alias("key"), F.lit(True).alias("_whole"))
+    keys = keys.unionByName(names.where("start <> '' and start <> low").select("name", F.col("start").alias("key"), F.lit(False).alias("_whole"))) if parts else keys
+    pairs = contained_pairs(questions.select(F.col("qid").alias("id"), F.lower("question").alias("text")), keys.select(F.col("key").alias("name")))
+    hits = pairs.select(F.col("id").alias("qid"), F.col("name").alias("key")).join(keys, "key")
     return top_row(hits, ["qid"], [F.col("_whole").desc(), F.when(F.col("_whole"), F.length("name")).desc_nulls_last(), F.col("name")]).select("qid", "name")
 
 
@@ -113,7 +113,9 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel:
         F.count_distinct(F.nullif("_kind", F.lit(""))).alias("kinds"),
     )
     projects = certs.where("completion_date is not null and nullif(trim(project_name), '') is not null").select("doc_id", "completion_date", F.explode(F.array_distinct(F.concat(F.array("project_name"), F.split("project_name", "—")))).alias("_part"))
-    ends = q.where("answer_type = 'days'").join(projects, F.contains(F.lower("question"), F.lower("_part"))).groupBy("qid").agg(F.min_by("completion_date", "doc_id").alias("_end"))
+    dated = q.where("answer_type = 'days'").select(F.col("qid").alias("id"), F.lower("question").alias("text"))
+    named = contained_pairs(dated, projects.select(F.lower("_part").alias("name"))).select(F.col("id").alias("qid"), F.col("name").alias("_low"))
+    ends = named.join(projects.withColumn("_low", F.lower("_part")), "_low").groupBy("qid").agg(F.min_by("completion_date", "doc_id").alias("_end"))
     q = q.join(of_client, "qid", "left").join(averages, "qid", "left").join(of_lead, "qid", "left").join(ends, "qid", "left").join(letter_counts, F.lower("_client") == F.col("_issuer"), "left")
 
     has_client, has_engineer = F.col("_client").isNotNull(), F.col("_engineer").isNotNull()

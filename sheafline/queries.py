@@ -13,23 +13,29 @@ from pyspark.sql import functions as F
 
 from .functions import answers as A
 from .functions import basic, dates, money, names, text
-from .operators import entities, quality, resolve, works
+from .operators import contain, entities, quality, resolve, works
 from .plans import baseline, extract, primary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
+def registering(queries: dict, sqls: dict):
+    """A decorator that registers a query under its function's name, with the SQL that states the same."""
 
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
+    def query(sql: str | None = None):
+        def add(function):
+            queries[function.__name__] = function
+            if sql is not None:
+                sqls[function.__name__] = sql
+            return function
 
-    return add
+        return add
+
+    return query
+
+
+query = registering(QUERIES, SQL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -264,13 +270,9 @@ def mode_frequency(spark, sf_dir):
 
 @query("SELECT o_orderpriority, o_totalprice AS upper_median, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER w AS r, count(*) OVER p AS n, min(o_totalprice) OVER p AS low, max(o_totalprice) OVER p AS high FROM orders WINDOW p AS (PARTITION BY o_orderpriority), w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)) WHERE r = n // 2 + 1")
 def upper_median(spark, sf_dir):
-    """The value at place n div 2 + 1, by running counts of distinct values."""
-    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_totalprice").agg(F.count("*").alias("c"))
-    sized = rows.withColumn("n", F.sum("c").over(Window.partitionBy("o_orderpriority"))).withColumn("upto", F.sum("c").over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice")))
-    ends = Window.partitionBy("o_orderpriority")
-    sized = sized.withColumn("low", F.min("o_totalprice").over(ends)).withColumn("high", F.max("o_totalprice").over(ends))
-    at = F.floor(F.col("n") / 2) + 1
-    return sized.where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select("o_orderpriority", F.col("o_totalprice").alias("upper_median"), "low", "high")
+    rows = table(spark, sf_dir, "orders")
+    ends = rows.groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    return quality.upper_median(rows, "o_orderpriority", "o_totalprice").join(ends, "o_orderpriority")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1 ORDER BY o_orderstatus LIMIT 10")
@@ -298,8 +300,10 @@ def ambiguous_pairs(spark, sf_dir):
 def longest_contained_entity(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     known = part.select(F.lower("p_type").alias("entity")).union(part.select(F.lower(F.split("p_name", " ")[0]))).distinct()
-    hits = part.join(known, F.contains(F.lower("p_name"), "entity") | F.contains(F.lower("p_type"), "entity"))
-    return works.top_row(hits, ["p_partkey"], [F.length("entity").desc(), F.col("entity")]).select(F.col("p_partkey").alias("qid"), "entity")
+    # a line end keeps an entity from reaching from one text into the other
+    texts = part.select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws("\n", "p_name", "p_type")).alias("text"))
+    hits = contain.contained_pairs(texts, known.select(F.col("entity").alias("name")))
+    return works.top_row(hits, ["id"], [F.length("name").desc(), F.col("name")]).select(F.col("id").alias("qid"), F.col("name").alias("entity"))
 
 
 @query("SELECT user_id AS qid, event_id AS row_num, value AS answer, n > 1 AS duplicated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1")
@@ -308,10 +312,13 @@ def last_write_wins(spark, sf_dir):
     return works.last_write_wins(rows)
 
 
-@query("SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_line, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS previous_line FROM conversations")
+@query("SELECT conv_id, max(CASE WHEN n = 2 THEN line END) AS next_line, max(CASE WHEN n = 1 THEN line END) AS previous_line FROM (SELECT conv_id, turn AS n, 'c' || conv_id || ' turn ' || turn AS line FROM (SELECT DISTINCT conv_id FROM conversations) CROSS JOIN (VALUES (1), (2)) AS t(turn)) GROUP BY conv_id")
 def next_line(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lead("text").over(w).alias("next_line"), F.lag("text").over(w).alias("previous_line"))
+    """The lines around a label and around a phrase, in texts of three lines with white space and empty lines between."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    line = lambda n: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(f" turn {n}"))
+    rows = ids.select("conv_id", F.concat(line(1), F.lit("\n\n  Issued  \n "), line(2), F.lit("\nend")).alias("t"))
+    return rows.select("conv_id", text.line_after(F.col("t"), "issued").alias("next_line"), text.line_before(F.col("t"), "ISSUED").alias("previous_line"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS clean FROM documents")
@@ -379,22 +386,25 @@ def answer_issues(spark, sf_dir):
     return typed_answers(spark, sf_dir).select("qid", F.explode(A.issues(F.col("v"), F.col("answer_type"))).alias("code"))
 
 
+# the value at eight places, then rounded half away from zero at two, in decimals as the operator does
+_CENTS = "CAST(round(CAST({0} AS DECIMAL(28,8)), 2) AS DOUBLE)"
+
+
 @query(
     f"""WITH t AS (SELECT o_orderkey AS qid, {_KIND} AS k, {_VALUE} AS v FROM orders)
-    SELECT qid, CASE k WHEN 'percent' THEN least(greatest(CASE WHEN v > 0 AND v <= 1 THEN v * 100 ELSE v END, 0), 100) WHEN 'money' THEN greatest(v, 0) ELSE greatest(round_even(v, 0), 0) END AS answer FROM t"""
+    SELECT qid, CASE k WHEN 'percent' THEN {_CENTS.format("least(greatest(CASE WHEN v > 0 AND v <= 1 THEN v * 100 ELSE v END, 0), 100)")} WHEN 'money' THEN {_CENTS.format("greatest(v, 0)")} ELSE greatest(round_even(v, 0), 0) + 0.0::DOUBLE END AS answer FROM t"""
 )
 def repair(spark, sf_dir):
-    exact = typed_answers(spark, sf_dir)
-    fixed = A.repaired(F.col("v"), F.col("answer_type"))
-    # to whole units for money and percent, the unrounded value is compared: rounding ties differ between engines
-    raw = F.when(F.col("answer_type") == "percent", F.least(F.greatest(F.when(A.is_fraction(F.col("v")), F.col("v") * 100).otherwise(F.col("v")), F.lit(0.0)), F.lit(100.0))).when(F.col("answer_type") == "money", F.greatest("v", F.lit(0.0)))
-    checked = F.when(raw.isNull() | (F.abs(raw - fixed) <= 0.00501), F.coalesce(raw, fixed))
-    return exact.select("qid", checked.alias("answer"))
+    return typed_answers(spark, sf_dir).select("qid", A.repaired(F.col("v"), F.col("answer_type")).alias("answer"))
 
 
-@query(f"WITH t AS (SELECT o_orderkey AS qid, {_KIND} AS k, {_VALUE} AS v FROM orders) SELECT k AS answer_type, count(*) AS total, count(*) FILTER (WHERE v = 0) AS zeros, count(*) FILTER (WHERE v < 0) AS negative FROM t GROUP BY k")
+@query(f"WITH t AS (SELECT {_KIND} AS k, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE floor({_VALUE}) END AS v FROM orders WHERE o_orderkey % 11 <> 0) SELECT k AS answer_type, count(*) AS total, count(*) FILTER (WHERE v <> -1) AS valid, count(*) FILTER (WHERE v = 0) AS zeros, CAST(sum(v) FILTER (WHERE v <> -1) AS DOUBLE) AS sum FROM t GROUP BY k")
 def type_statistics(spark, sf_dir):
-    return typed_answers(spark, sf_dir).groupBy("answer_type").agg(F.count("*").alias("total"), F.count_if(F.col("v") == 0).alias("zeros"), F.count_if(F.col("v") < 0).alias("negative"))
+    """Whole numbers as answers; -1 is handed in as a word, and every eleventh question has no answer."""
+    rows = typed_answers(spark, sf_dir).withColumn("v", F.when(F.col("qid") % 7 == 0, 0).otherwise(F.floor("v")))
+    text = F.when(F.col("v") == -1, F.lit("none")).otherwise(F.col("v").cast("bigint").cast("string"))
+    answers = rows.where("qid % 11 <> 0").select("qid", text.alias("raw_answer"), F.lit(1).alias("row_num"))
+    return quality.type_statistics(rows.select("qid", "answer_type"), answers)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -417,41 +427,6 @@ def category_case(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", names.category_of_name(F.col("p_name")).alias("category"))
 
 
-def case_query(name: str, cases: list[tuple], expression: Callable, kind: str) -> None:
-    """A query on given texts with the results that are known for them."""
-
-    def run(spark, sf_dir):
-        rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id long, t string")
-        return rows.select("id", "t", expression(F.col("t")).cast(kind).alias("result"))
-
-    QUERIES[name] = run
-    cast = {"double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "bigint": "BIGINT"}[kind]
-    SQL[name] = f"SELECT CAST(id AS BIGINT) AS id, t, CAST(result AS {cast}) AS result FROM ({literal_rows(('id', 't', 'result'), [(i, *c) for i, c in enumerate(cases)])})"
-
-
-case_query("money_parse", [("INR 5,00,000", 500000.0), ("Rs. 10.13 Cr", 101300000.0), ("₹ 2.5 lakhs", 250000.0), ("3 Crores", 30000000.0), ("1,234.50/-", 1234.5), ("Rs 40K", 40000.0), ("-500", -500.0), ("1e5", 100000.0), ("12 thousand", 12000.0), ("about five", None), ("", None), (None, None), (",", None)], money.parse_money, "double")
-case_query("money_mentions", [("paid INR 5 Cr and then Rs. 20,000/- of 3 lakh", 3.0), ("45 workers, 2 Crores", 1.0), ("no money", 0.0), (None, None)], lambda t: F.when(t.isNotNull(), F.size(money.money_mentions(t))), "double")
-case_query("num_words", [("five crore", 50000000.0), ("twenty-five lakh", 2500000.0), ("two hundred crore", 2000000000.0), ("one crore fifty lakh", 15000000.0), ("5.5 crore", 55000000.0), ("thirty", 30.0), ("nothing", None)], money.number_in_words, "double")
-case_query("date_parse", [("on March 5, 2021", "2021-03-05"), ("5 March 2021", "2021-03-05"), ("2021-03-05", "2021-03-05"), ("05/03/2021", "2021-03-05"), ("5 Sep 2020 or 2021-01-01", "2020-09-05"), ("soon", None), (None, None)], dates.parse_date, "string")
-case_query("package_code", [("works of Pkg-107 here", "Pkg-107"), ("PACKAGE 12", "Pkg-12"), ("pkg9", "Pkg-9"), ("Pkg - 107", "Pkg--"), ("none", None)], names.package_code, "string")
-case_query("normalized_package", [("AB-CD-12 of Pkg-3", "AB-CD-12"), ("Pkg-40", "Pkg-40"), ("Package 7", "Pkg-7"), ("Pkg-A", None), ("Pkg - 107", None)], lambda t: names.normalized_package(t, F.lit(None).cast("string")), "string")
-case_query("client_key", [("Public Works Dept , Govt of X (PSU)", "public works department government of x"), ("Roads & Bridges Corp", "roads and bridges corporation"), ("National Infrastructure Corp", None), (None, None)], names.client_key, "string")
-case_query("mention_normalize", [("PWD, U.P.", "public works department u p"), ("PWD of UP", "public works department of uttar pradesh"), ("Irrig. Dept of MP!", "irrigation department of madhya pradesh"), ("", "")], names.normalize_mention, "string")
-case_query("number_validity", [("42", 42.0), (" 1,000.50 ", 1000.5), ("INR 5,00,000", 500000.0), ("85.5%", 85.5), ("294.24 Cr", None), ("nan", None), ("inf", None), ("abc", None), (None, None), ("₹12", 12.0)], A.valid_number, "double")
-case_query("shape_router", [("How many works have no client reference?", "absence"), ("what is the mean size of works", "avg_work_size"), ("the largest and the second largest work", "rank_value"), ("total excluding roads", "exclusion_aggregate"), ("works above 5 Cr", "threshold_aggregate"), ("all works", "hop_aggregate"), (None, "hop_aggregate")], lambda t: baseline.infer_shape(t, F.lit("money")), "string")
-case_query("file_kind", [("DOC-CC-001.pdf", "completion_certificate"), ("DOC-REF-2.pdf", "reference_letter"), ("bond_7.pdf", "performance_bond"), ("x-personnel.pdf", "personnel_certificate"), ("my-cv.pdf", "cv"), ("RA-bill.pdf", "ra_bill"), ("ageing.xlsx", "workbook"), ("zz.pdf", "completion_certificate")], extract.kind_of_file, "string")
-case_query("excluded_term", [("Total excluding the bridges segment, please", "bridges"), ("remove a road works - now", "road"), ("minus tunnels", "tunnels"), ("nothing", None)], primary.excluded_term, "string")
-case_query("grading_sentence", [("We did it. The work was graded Excellent by all. End.", "The work was graded Excellent by all."), ("Workmanship was found satisfactory indeed. Bye.", "Workmanship was found satisfactory indeed."), ("None here.", None)], text.grading_sentence, "string")
-
-
-@query(literal_rows(("k", "v"), [("client", "PWD"), ("value", "INR 5 Cr"), ("date", "2021-01-02"), ("lead", "A B"), ("note", "final")]))
-def kv_pairs(spark, sf_dir):
-    """Labels in a table, bold, plain, and on lines of their own."""
-    t = "|Client|PWD|\n**Value:** INR 5 Cr\nDate: 2021-01-02\nLead: A B\nnote\nfinal"
-    rows = text.with_key_values(spark.createDataFrame([(t,)], "text string")).select(F.explode("kv").alias("k", "v"))
-    return rows.where(F.col("k").isin("client", "value", "date", "lead", "note"))
-
-
 @query()
 def fuzzy_resolve(spark, sf_dir):
     """Part names against part types, by words in common and token-set similarity."""

@@ -141,3 +141,38 @@ def test_anomalies(spark):
     q = spark.createDataFrame([(str(i), "percent") for i in range(40)], "qid string, answer_type string")
     a = spark.createDataFrame([(str(i), "0.5" if i < 20 else "0" if i < 35 else str(i), i) for i in range(40)], "qid string, raw_answer string, row_num int")
     assert {r["code"] for r in quality.anomalies(q, a).collect()} == {"FREQUENT_VALUE", "MANY_ZEROS", "FRACTION_PERCENTS"}
+
+
+def test_contained_pairs_are_those_of_the_cross_product(spark):
+    import random
+
+    from sheafline.operators.contain import contained_pairs
+
+    random.seed(2)
+    word = lambda n: "".join(random.choices("abc ", k=n))
+    texts = [(i, word(random.randint(0, 60))) for i in range(80)] + [(90, None), (91, ""), (3, "aaaa bbbb"), (92, "é€aa")]
+    needles = [word(random.randint(0, 7)) for _ in range(120)] + [None, "", "€a", "zzzzz", "a"]
+    got = contained_pairs(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in needles], "name string")).collect()
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == {(i, n) for i, t in texts for n in needles if t and n and n in t}
+    assert contained_pairs(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_upper_median_of_keys_of_any_size(spark):
+    import random
+
+    from sheafline.operators import quality
+
+    random.seed(8)
+    rows = [("big", random.choice([0.0, 1.5, float(random.randint(0, 10**6))])) for _ in range(5000)] + [("two", 1.0), ("two", 2.0), ("one", -3.0), ("same", 7.0), ("same", 7.0), (None, 4.0), ("big", None)]
+    got = {r[0]: r[1] for r in quality.upper_median(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    want = {k: sorted(v for x, v in rows if x == k and v is not None) for k in {k for k, _ in rows}}
+    assert got == {k: v[len(v) // 2] for k, v in want.items()}
+
+
+def test_whole_files_of_answers(spark):
+    from sheafline.operators import quality
+
+    issues = lambda lines: [tuple(r) for r in quality.file_issues(spark.createDataFrame(list(enumerate(lines)), "row_num int, line string")).collect()]
+    assert issues([]) == issues(["", "  "]) == [("HEADER", "EMPTY_FILE", "ERROR")]
+    assert issues(['"QID" , answer', "a,1"]) == issues(["", "x,question_id", "1,a"]) == []
+    assert issues(["a,1"]) == [("HEADER", "MISSING_STANDARD_HEADER", "WARNING")]
