@@ -21,10 +21,12 @@ HIDDEN = ("script", "style", "noscript", "template", "head")
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul")
 SOFTWARE = "software: sheafline"
 
-_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
-_LETTER = re.compile("/?[a-zA-Z]")
+#: A whole tag (its name), the start of a comment, a tag without an end, or of what is neither tag nor text.
+_MARK = re.compile(r"""<(?:(/?[a-zA-Z][^\s/>]*)(?:[^>"']+|"[^"]*"|'[^']*')*+>|(!--)|(?=/?[a-zA-Z])|([!?/]))""")
 _END_OF = {name: re.compile(rf"</{name}(?=[\s/>])" + ("|<body(?=[\\s/>])" if name == "head" else ""), re.IGNORECASE) for name in HIDDEN}
-_SPACES, _LINES = re.compile("[ \\t\\r\\f\u00a0]+"), re.compile(" ?\\n[ \\n]*")
+_ENDS_LINE = frozenset(BLOCKS) | {f"/{name}" for name in BLOCKS}
+# a single space stays as it is and need not be found
+_SPACES, _LINES = re.compile("[ \\t\\r\\f\u00a0]{2,}|[\\t\\r\\f\u00a0]"), re.compile(" ?\\n[ \\n]*")
 
 
 def text_of(page: str) -> str:
@@ -34,30 +36,28 @@ def text_of(page: str) -> str:
     quote in it, a comment, a hidden element) lasts to its end, as in a browser.
     """
     parts, at = [], 0
-    while (begin := page.find("<", at)) >= 0:
-        parts.append(html.unescape(page[at:begin]))
-        if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
-            at = end + 3 if end >= 0 else len(page)
-            parts.append(" ")
-        elif _LETTER.match(page, begin + 1):
-            tag = _TAG.match(page, begin)
-            if tag is None:
-                at = len(page)
-                continue
-            at, name = tag.end(), tag[1].lower()
-            if name in BLOCKS:
+    while mark := _MARK.search(page, at):
+        begin, tag = mark.start(), mark[1]
+        if begin > at:
+            parts.append(html.unescape(page[at:begin]))
+        at = mark.end()
+        if tag:
+            name = tag.lower()
+            if name in _ENDS_LINE:
                 parts.append("\n")
-            elif name in _END_OF and page[begin + 1] != "/":
+            elif name in _END_OF:
                 end = _END_OF[name].search(page, at)
                 at = end.start() if end else len(page)
                 parts.append(" ")
-        elif page[begin + 1 : begin + 2] in ("!", "?", "/"):
-            end = page.find(">", begin)
+        elif mark[2]:
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            parts.append(" ")
+        elif mark[3]:
+            end = page.find(">", at)
             at = end + 1 if end >= 0 else len(page)
         else:
-            parts.append("<")
-            at = begin + 1
+            at = len(page)
     parts.append(html.unescape(page[at:]))
     return _LINES.sub("\n", _SPACES.sub(" ", "".join(parts))).strip(" \n")
 
@@ -76,13 +76,13 @@ def plain_text(pages: Column) -> Column:
 def record_id(kind: str, *parts: Column) -> Column:
     """A urn:uuid from the MD5 of the kind and the parts: the same row always gets the same id."""
     known = [F.coalesce(part.cast("string"), F.lit("")) for part in parts]
-    digest = F.md5(F.encode(F.concat_ws("\n", F.lit(kind), *known), "utf-8"))
+    digest = F.md5(F.concat_ws("\n", F.lit(kind), *known).cast("binary"))
     cuts = [F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
 def _digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "utf-8"), 256))
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
 def derivatives(responses: DataFrame, headers: Column | None = None) -> DataFrame:
