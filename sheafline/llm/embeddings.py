@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import known_id, null_id_back, saved
 from .components import connected
@@ -24,7 +25,8 @@ THRESHOLD = 0.95
 #: Buckets that a vector enters in each table.
 PROBES = 2
 #: Vectors that share a bucket on average, beyond near-duplicates; more tables and longer hashes are taken as the input grows.
-BUCKET = 8
+#: Below 1, most entries of vectors without near-duplicates are alone in their bucket, and no vector is sent there.
+BUCKET = 1 / 8
 #: Vectors of a bucket that one comparison holds; a larger bucket is compared block against block.
 BLOCK = 512
 SEED = 42
@@ -39,13 +41,17 @@ def plan_tables(vectors: int, dimension: int) -> tuple[int, int]:
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
+    """The fast Hadamard transform of each row, in ``x`` itself."""
     n, width = x.shape
     h = 1
     while h < width:
-        x = x.reshape(n, width // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, width)
+        part = x.reshape(n, width // (2 * h), 2, h)
+        first = part[:, :, 0] - part[:, :, 1]
+        part[:, :, 0] += part[:, :, 1]
+        part[:, :, 1] = first
         h *= 2
-    return x / math.sqrt(width)
+    x /= math.sqrt(width)
+    return x
 
 
 def bucket_codes(vectors: np.ndarray, hashes: int, tables: int, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
@@ -55,6 +61,7 @@ def bucket_codes(vectors: np.ndarray, hashes: int, tables: int, probes: int = PR
     padded = np.zeros((n, width))
     padded[:, :dimension] = vectors
     random = np.random.default_rng([seed, dimension])
+    every = np.arange(n)
     codes = np.zeros((n, tables, probes), dtype=np.uint64)
     for t in range(tables):
         choice, gaps = np.zeros((2, hashes, n), dtype=np.uint64), np.zeros((hashes, n))
@@ -63,13 +70,11 @@ def bucket_codes(vectors: np.ndarray, hashes: int, tables: int, probes: int = PR
             for _ in range(3):
                 x = _hadamard(x * random.choice([-1.0, 1.0], width))
             size = np.abs(x)
-            top = np.argpartition(-size, 1, axis=1)[:, :2]
-            pair = np.take_along_axis(size, top, axis=1)
-            swap = pair[:, 0] < pair[:, 1]
-            top[swap] = top[swap][:, ::-1]
-            signed = 2 * top + (np.take_along_axis(x, top, axis=1) < 0)
-            choice[:, k] = signed.T
-            gaps[k] = np.abs(pair[:, 0] - pair[:, 1])
+            for place in range(2):
+                top = size.argmax(axis=1)
+                choice[place, k] = 2 * top + (x[every, top] < 0)
+                gaps[k] = size[every, top] - gaps[k] if place == 0 else gaps[k] - size[every, top]
+                size[every, top] = -1
         order = np.argsort(gaps, axis=0)
         for p in range(probes):
             code = np.full(n, t * 1_000_003 + dimension, dtype=np.uint64)
@@ -80,40 +85,49 @@ def bucket_codes(vectors: np.ndarray, hashes: int, tables: int, probes: int = PR
     return codes.reshape(n, tables * probes)
 
 
-def _compare(rows: pd.DataFrame, threshold: float, probes: int = PROBES) -> pd.DataFrame:
-    """Links among the rows of one bucket, or of one block of it and another, that share no bucket before it."""
-    vectors = np.frombuffer(b"".join(rows["vector"]), dtype=np.float64).reshape(len(rows), -1)
-    codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.int64).reshape(len(rows), -1)
-    here = int(rows["code"].iloc[0])
-    copies, block = rows["copies"].to_numpy(), rows["block"].to_numpy()
-    close = vectors @ vectors.T >= threshold
-    if rows["first"].iloc[0] != rows["second"].iloc[0]:  # within a block it is another group that compares
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
+    vectors /= np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+
+
+def _met_before(before: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair share one of their earlier buckets."""
+    codes, column, occur = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(before)), [len(x) for x in before])
+    common = occur > 1
+    use = common[column]
+    member = np.zeros((len(before), int(common.sum())), dtype=np.float32)
+    member[row[use], (np.cumsum(common) - 1)[column[use]]] = 1
+    return (member @ member.T)[a, b] > 0
+
+
+def _compare(vectors: np.ndarray, before: list[np.ndarray], copies: np.ndarray, block: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one bucket that link to others which they met in no earlier one, how many those are with their copies, and a row that stands for the chain.
+
+    across: the rows are two blocks of a large bucket, and only pairs of one row from each count.
+    """
+    unit = _unit(vectors)
+    close = unit @ unit.T >= threshold
+    if across:
         close &= block[:, None] != block[None, :]
     a, b = np.nonzero(np.triu(close, 1))
-    counted = np.zeros(len(rows), dtype=np.int64)
-    label = np.arange(len(rows))
-    place = int(np.flatnonzero(codes[0] == here)[0]) // probes
-    for lo in range(0, len(a), 100_000):
-        x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-        # a pair is counted in the first table in which it shares a bucket, and there in the one with the smaller code
-        seen = np.zeros(len(x), dtype=bool)
-        for i in range((place + 1) * probes):
-            for j in range(i // probes * probes, i // probes * probes + probes):
-                mine = codes[x, i]
-                seen |= (mine == codes[y, j]) & ((i // probes < place) | (mine < here))
-        x, y = x[~seen], y[~seen]
-        np.add.at(counted, x, copies[y])
-        np.add.at(counted, y, copies[x])
-        while len(x):
-            before = label.copy()
-            np.minimum.at(label, x, label[y])
-            np.minimum.at(label, y, label[x])
+    counted = np.zeros(len(unit), dtype=np.int64)
+    label = np.arange(len(unit))
+    if len(a):
+        new = ~_met_before(before, a, b)
+        a, b = a[new], b[new]
+        np.add.at(counted, a, copies[b])
+        np.add.at(counted, b, copies[a])
+        while len(a):
+            last = label.copy()
+            np.minimum.at(label, a, label[b])
+            np.minimum.at(label, b, label[a])
             label = label[label]
-            if (label == before).all():
+            if (label == last).all():
                 break
     linked = np.flatnonzero(counted)
-    nodes = rows["node"].to_numpy()
-    return pd.DataFrame({"node": nodes[linked], "n": counted[linked], "to": nodes[label[linked]]})
+    return linked, counted[linked], label[linked]
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,64 +144,76 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     null vec_id counts as smaller than all others. Rows that repeat a vec_id each
     get a row and count as others of one another. An empty table gives no rows.
     """
-    rows = table.select(known_id("vec_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    single = table.schema["embedding"].dataType == T.ArrayType(T.FloatType(), table.schema["embedding"].dataType.containsNull)
+    kind, number = ("float", np.float32) if single else ("double", np.float64)
+    rows = table.select(known_id("vec_id").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     biggest = F.array_max(F.transform("v", F.abs))
     sound = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (biggest > 0)
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.md5(F.encode(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), "utf-8"))))
+    rows = rows.withColumn("node", F.unhex(F.md5(F.encode(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), "utf-8"))))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
 
-    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = [np.asarray(v, dtype=np.float64) for v in batch["v"]]
-            vectors = [v / np.abs(v).max() for v in vectors]
-            yield batch[["node", "least", "copies"]].assign(size=[len(v) for v in vectors], vector=[(v / np.sqrt(v @ v)).tobytes() for v in vectors])
+            yield batch[["node", "least", "copies"]].assign(vector=[np.asarray(v, dtype=number).tobytes() for v in batch["v"]])
 
-    nodes = saved(nodes.mapInPandas(scaled, "node string, least long, copies long, size int, vector binary"))
-    sizes = {r["size"]: plan_tables(r["count"], r["size"]) for r in nodes.groupBy("size").count().orderBy(F.desc("count")).limit(1000).collect()}
+    nodes = saved(nodes.mapInPandas(as_bytes, "node binary, least long, copies long, vector binary"))
+    count = nodes.count()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for size, part in batch.groupby("size"):
-                hashes, tables = sizes.get(size, (1, 16))
+            for size, part in batch.groupby(batch["vector"].str.len()):
+                dimension = size // number().itemsize
+                hashes, tables = plan_tables(count, dimension)
                 for at in range(0, len(part), 2048):
                     some = part.iloc[at : at + 2048]
-                    codes = bucket_codes(np.frombuffer(b"".join(some["vector"])).reshape(len(some), size), hashes, tables).view(np.int64)
+                    codes = bucket_codes(_unit(np.frombuffer(b"".join(some["vector"]), dtype=number).reshape(len(some), dimension)), hashes, tables).view(np.int64)
                     yield pd.DataFrame({"node": some["node"], "codes": list(codes)})
 
-    codes = saved(nodes.select("node", "size", "vector").mapInPandas(hashed, "node string, codes array<long>"))
-    entered = codes.select("node", F.explode(F.array_distinct("codes")).alias("code"))
-    shared = saved(entered.groupBy("code").agg(F.count("*").alias("n")).where("n > 1"))
-    entered = entered.join(shared, "code")
-    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(BLOCK)))
-    entered = entered.withColumn("block", own.cast("int"))
+    codes = saved(nodes.select("node", "vector").mapInPandas(hashed, "node binary, codes array<long>"))
+    # nodes go by a short key here; a bucket that it lends a node by chance is not among the node's own codes
+    key = F.xxhash64("node")
+    entered = codes.select(key.alias("key"), F.explode(F.array_distinct("codes")).alias("code"))
+    shared = entered.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    shared = saved(entered.join(shared, "code").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("code", "n"))).alias("buckets")))
+    whole = nodes.join(codes, "node").withColumn("key", key).join(shared, "key")
+    whole = whole.withColumn("buckets", F.filter("buckets", lambda x: F.array_contains("codes", x["code"])))
+    at = F.posexplode("buckets").alias("place", "bucket")
+    entries = whole.select("node", "copies", "vector", F.col("buckets.code").alias("own"), at)
+    blocks = F.ceil(F.col("bucket.n") / F.lit(BLOCK)).cast("int")
+    entries = entries.select("node", "copies", "vector", F.slice("own", F.lit(1), F.col("place")).alias("before"), "bucket.code", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
     # a bucket's blocks meet in pairs; each row goes to the pairs that its block is in
-    others = F.transform(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.lit(BLOCK)) - 1).cast("int")), lambda j: F.struct(F.least("block", j).alias("first"), F.greatest("block", j).alias("second")))
-    entered = entered.select("node", "code", "block", F.explode(others).alias("pair")).select("node", "code", "block", "pair.first", "pair.second")
-    whole = nodes.select("node", "copies", "vector").join(codes, "node")
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(codes=[np.asarray(c, dtype=np.int64).tobytes() for c in batch["codes"]])
-
-    whole = whole.mapInPandas(packed, "node string, copies long, vector binary, codes binary")
-    meet = entered.join(whole, "node").repartition("code", "first", "second").sortWithinPartitions("code", "first", "second", "node")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("first"), F.greatest("block", j).alias("second")))
+    entries = entries.withColumn("pair", F.explode(others))
+    group = ["code", "size", "first", "second"]
+    meet = entries.select("node", "copies", "vector", "before", "block", "code", F.length("vector").alias("size"), "pair.first", "pair.second").repartition(*group).sortWithinPartitions(*group)
+
+    def links_of(done: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        changes = (done[group].to_numpy()[1:] != done[group].to_numpy()[:-1]).any(axis=1)
+        edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(done)]
+        node, vector, before = done["node"].to_numpy(), done["vector"].to_numpy(), done["before"].to_numpy()
+        copies, block, across = done["copies"].to_numpy(), done["block"].to_numpy(), (done["first"] != done["second"]).to_numpy()
+        found = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo > 1:
+                vectors = np.frombuffer(b"".join(vector[lo:hi]), dtype=number).reshape(hi - lo, -1)
+                linked, n, to = _compare(vectors, list(before[lo:hi]), copies[lo:hi], block[lo:hi], across[lo], threshold)
+                if len(linked):
+                    found.append((node[lo + linked], n, node[lo + to]))
+        if found:
+            yield pd.DataFrame({"node": np.concatenate([f[0] for f in found]), "n": np.concatenate([f[1] for f in found]), "to": np.concatenate([f[2] for f in found])})
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = ["code", "first", "second"]
         kept = None
         for batch in batches:
             batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            last = (batch[key] == batch[key].iloc[-1]).all(axis=1)
+            last = (batch[group] == batch[group].iloc[-1]).all(axis=1)
             kept = batch[last]
-            done = batch[~last]
-            found = [_compare(rows, threshold) for _, rows in done.groupby(key, sort=False) if len(rows) > 1]
-            if found:
-                yield pd.concat(found)
-        if kept is not None and len(kept) > 1:
-            yield _compare(kept, threshold)
-
-    links = saved(meet.mapInPandas(compared, "node string, n long, to string"))
+            yield from links_of(batch[~last])
+        if kept is not None:
+            yield from links_of(kept)
+
+    links = saved(meet.mapInPandas(compared, "node binary, n long, to binary"))
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     labels = connected(nodes.select("node", "least"), links.select(F.col("node").alias("a"), F.col("to").alias("b")))
     about = labels.join(nodes.select("node", "copies"), "node").join(counts, "node", "left")
