@@ -63,7 +63,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 2**64)
-_SLAB = 1 << 21
+_SLAB = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
