@@ -33,11 +33,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sheafline/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def saved(df: DataFrame, row_group: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    row_group: bytes of a row group, for tables of few large rows; a task holds one when it writes or reads.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

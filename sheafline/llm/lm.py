@@ -38,7 +38,8 @@ PIECE_BYTES = 3 << 20
 AUTOMATON_TOKENS = 150_000
 #: Requests are split by key into so many parts at least, and into one for each so many bytes of text.
 PARTS, PART_BYTES = 64, 16 << 20
-
+#: Bytes of a row group of the answers, whose rows are large.
+ROW_GROUP = 16 << 20
 #: Bits of the keys of n-grams of 2 tokens and more beyond those that number the bytes of all texts, at most 56 bits in all:
 #: about one n-gram in 2 ** SPARE_BITS shares its key with another, whatever the size of the corpus.
 SPARE_BITS = 13
@@ -258,7 +259,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
         out["once"] = [int((total == 1).sum())] + [0] * (len(out) - 1)
         return out
 
-    answers = saved(asked.groupBy("part", "n").applyInPandas(add_up, "part long, n long, file long, block long, begin long, counts binary, check long, total long, distinct long, once long"))
+    answers = saved(asked.groupBy("part", "n").applyInPandas(add_up, "part long, n long, file long, block long, begin long, counts binary, check long, total long, distinct long, once long"), ROW_GROUP)
     n_tokens, n_words, n_once = (int(x or 0) for x in answers.where("n = 1").agg(F.sum("total"), F.sum("distinct"), F.sum("once")).collect()[0])
     unknown = (n_once + 1) / (n_tokens + n_words + 1)
     # every training text was left by its start once; starts are counted as ends
