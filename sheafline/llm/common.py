@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator: it sorts before every real id.
 NULL_ID = -(2**63)
+#: Whether Spark removes the shuffle files of a query when that query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,12 +38,22 @@ def scratch(spark: SparkSession) -> str:
 def saved(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
+    The shuffle files of the write go when it has ended: nothing reads them any
+    more, and whether they are collected before the next stages is left to chance.
     row_group: bytes of a row group, for tables of few large rows; a task holds one when it writes or reads.
     """
     spark = df.sparkSession
     path = scratch(spark)
     writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
