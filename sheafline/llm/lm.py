@@ -35,7 +35,7 @@ FOLDS, HELD_FOLD = 7, 2
 #: Bytes of text in a piece, unless one document has more, and in a block, on average.
 PIECE_BYTES = 3 << 20
 #: Tokens of the texts that one automaton is made for, unless one text has more.
-AUTOMATON_TOKENS = 150_000
+AUTOMATON_TOKENS = 100_000
 #: Requests are split by key into so many parts at least, and into one for each so many bytes of text.
 PARTS, PART_BYTES = 64, 16 << 20
 #: Bytes of a row group of the answers, whose rows are large.
