@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, substring, warc
+from . import chat, embeddings, fim, runs, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digests, periodic_runs, with_repeats
+
+    return digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back, with_trial
+
+    return read_back(format_conversations(with_trial(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_packing": op2_packing,
@@ -88,5 +108,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_chat_format": op13_chat_format,
+}
+SQL: dict[str, str] = {
+    "op1_warc_derivatives": warc.SQL,
+    "op3_substring_dedup": substring.SQL,
+    "op8_embedding_dedup": embeddings.SQL,
+    "op11_fill_in_middle": fim.SQL,
+    "op12_periodic_runs": runs.SQL,
+    "op13_chat_format": chat.SQL,
 }
-SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL, "op3_substring_dedup": substring.SQL, "op8_embedding_dedup": embeddings.SQL}
