@@ -16,14 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is not text.
-HIDDEN = ("script", "style", "noscript", "template", "head")
+HIDDEN = ("script", "style", "noscript", "template", "title")
+#: Elements that can stand in a head; any other one, and any text, ends it, whether or not it is closed.
+IN_HEAD = frozenset((*HIDDEN, "base", "basefont", "bgsound", "head", "link", "meta", "noframes"))
 #: Elements that end a line.
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul")
 SOFTWARE = "software: sheafline"
 
+#: A quote opens a value only right after "="; elsewhere it is part of a name or of a value without quotes.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|(?=>))"""
+_ATTRIBUTES = rf"(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE}|(?!\s*+=)))*+"
 #: A whole tag (its name), the start of a comment, a tag without an end, or of what is neither tag nor text.
-_MARK = re.compile(r"""<(?:(/?[a-zA-Z][^\s/>]*)(?:[^>"']+|"[^"]*"|'[^']*')*+>|(!--)|(?=/?[a-zA-Z])|([!?/]))""")
-_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])" + ("|<body(?=[\\s/>])" if name == "head" else ""), re.IGNORECASE) for name in HIDDEN}
+_MARK = re.compile(rf"<(?:(/?[a-zA-Z][^\s/>]*+){_ATTRIBUTES}>|(!--)|(?=/?[a-zA-Z])|([!?/]))")
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in HIDDEN}
+_COMMENT = re.compile("-?>")
+_COMMENT_END = re.compile("--!?>")
 _ENDS_LINE = frozenset(BLOCKS) | {f"/{name}" for name in BLOCKS}
 # a single space stays as it is and need not be found
 _SPACES, _LINES = re.compile("[ \\t\\r\\f\u00a0]{2,}|[\\t\\r\\f\u00a0]"), re.compile(" ?\\n[ \\n]*")
@@ -33,25 +40,32 @@ def text_of(page: str) -> str:
     """The text of an HTML page: a line for each block, character references decoded.
 
     Reads the page once from left to right. What a page leaves open (a tag, a
-    quote in it, a comment, a hidden element) lasts to its end, as in a browser.
+    value in quotes, a comment, a hidden element) lasts to its end, as in a
+    browser; a head ends where something begins that cannot stand in it.
     """
-    parts, at = [], 0
+    parts, at, in_head = [], 0, False
     while mark := _MARK.search(page, at):
         begin, tag = mark.start(), mark[1]
         if begin > at:
+            in_head = in_head and page[at:begin].isspace()
             parts.append(html.unescape(page[at:begin]))
         at = mark.end()
         if tag:
             name = tag.lower()
-            if name in _ENDS_LINE:
+            if name == "head":
+                in_head = True
+                parts.append(" ")
+            elif in_head and name not in IN_HEAD and (name[0] != "/" or name in ("/head", "/body", "/html", "/br")):
+                in_head = False
+            if name in _ENDS_LINE and not in_head:
                 parts.append("\n")
             elif name in _END_OF:
                 end = _END_OF[name].search(page, at)
                 at = end.start() if end else len(page)
                 parts.append(" ")
         elif mark[2]:
-            end = page.find("-->", at)
-            at = end + 3 if end >= 0 else len(page)
+            end = _COMMENT.match(page, at) or _COMMENT_END.search(page, at)
+            at = end.end() if end else len(page)
             parts.append(" ")
         elif mark[3]:
             end = page.find(">", at)
@@ -165,7 +179,7 @@ def warc_text(records: DataFrame, date: str) -> DataFrame:
 #: The text in SQL, by replacements: it holds for pages that leave nothing open and use these references only.
 SQL_STEPS = (
     ("(?s)<!--.*?-->", " "),
-    *((f"(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>", " ") for name in HIDDEN),
+    *((f"(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>", " ") for name in (*HIDDEN, "head")),
     ("(?i)</?(" + "|".join(BLOCKS) + ")(\\s[^>]*)?/?>", "\n"),
     ("(?s)<[/!?a-zA-Z][^>]*>", ""),
 )

@@ -144,13 +144,16 @@ def test_embedding_links(spark, monkeypatch, block):
         ("caf&eacute; &#8217; &#x27; &amp;lt; &nosuch;", "café ’ ' &lt; &nosuch;"), ('<p title="a>b">t</p>', "t"), ("<p>a</p><script>var x = '<p>no</p>'", "a"), ("x<!-- open <p>y", "x"),
         ("<HEAD><title>T</title><body>b", "b"), ("a<b>c</b>d", "acd"), ("1 < 2 <3", "1 < 2 <3"), ("<script src=a>x</scripty></SCRIPT >after", "after"), ('<p a="open>text', ""), ("a<?php x ?>b<!doctype html>c</ >d", "abcd"),
         ("a  b<br/>\n \n<li>c", "a b\nc"), ("", ""), ("<", "<"), ("<style>p{}</style><style>q{}</style>z", "z"),
+        ("<p title=don't>one</p><p>two</p>", "one\ntwo"), ("<a href=x?q='>link</a><p>rest</p>", "link\nrest"), ("<p a=\"b\"c d = 'e>f' =g>t", "t"), ("<p a= >t", "t"), ("<p a=b/'>t</p>u", "t\nu"),
+        ("<!doctype html><head><title>T</title><p>Hello world", "Hello world"), ("<head> <meta charset='x'></p><noscript>n</noscript>text", "text"), ("<head><link a></head><title>T</title>x", "x"),
+        ("<p>a<!-->b</p>c", "a b\nc"), ("a<!--->b", "a b"), ("a<!--x--!>b<!---->c", "a b c"),
     ],
 )
 def test_text_of_a_page(page, text):
     assert warc.text_of(page) == text
 
 
-@pytest.mark.parametrize("part", ["<script>a ", "<script a ", "<p title=\"", "<!-- ", "<p ", "&#", "< ", "<head>", "<p title='a' \"", "</script", "<!"])
+@pytest.mark.parametrize("part", ["<script>a ", "<script a ", "<p title=\"", "<!-- ", "<p ", "&#", "< ", "<head>", "<p title='a' \"", "</script", "<!", "<p a  =", "<p a=' ", "<p x=\"y\" ", "= ", "<title>"])
 def test_text_is_read_in_linear_time(part):
     began = time.perf_counter()
     warc.text_of(part * (1_000_000 // len(part)))
