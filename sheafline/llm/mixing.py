@@ -157,20 +157,16 @@ def _with_targets(ranked: DataFrame, weights: Sequence[float], share: float, mos
 def _flows(patterns: DataFrame, sources: DataFrame, passes: int) -> DataFrame:
     """_pattern and flow, the words that the mix takes of each pattern (_pattern, sources, words).
 
-    A source that shares no pattern takes from its own alone. The others make
-    networks, one for each set of sources that patterns connect, and each is
-    solved in a task of its own.
+    Sources that patterns connect make a network, one that shares no pattern a
+    network of its own; the flow of each is solved in a task of its own.
     """
     members = patterns.select("_pattern", "words", F.explode("sources").alias("source"), F.size("sources").alias("n"))
     members = saved(members.join(sources, members["source"].eqNullSafe(sources["source"])).select("_pattern", "words", "n", "place", F.round("target").cast("long").alias("quota")))
-    shared = members.where("n > 1").select("place").distinct()
-    alone = members.where("n = 1").join(shared, "place", "left_anti")
-    alone = alone.select("_pattern", F.least("quota", passes * F.col("words")).alias("flow"))
-    if shared.isEmpty():
-        return alone
+    groups = members.select(F.col("place").alias("node"), F.col("place").alias("least")).distinct()
     first = members.where("n > 1").groupBy("_pattern").agg(F.min("place").alias("a"))
     links = members.join(first, "_pattern").where("a <> place").select("a", F.col("place").alias("b"))
-    groups = connected(shared.select(F.col("place").alias("node"), F.col("place").alias("least")), links)
+    if not links.isEmpty():
+        groups = connected(groups, links)
     network = members.join(groups, members["place"] == groups["node"]).select(F.col("least").alias("network"), "_pattern", "words", "place", "quota")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +177,7 @@ def _flows(patterns: DataFrame, sources: DataFrame, passes: int) -> DataFrame:
         flows = min_cost_flow([(words, to) for _, words, to in each], [int(q) for q in quotas], passes)
         return pd.DataFrame({"_pattern": [name for name, _, _ in each], "flow": [sum(f.values()) for f in flows]})
 
-    return alone.unionByName(network.groupBy("network").applyInPandas(lambda rows: solve(rows), "_pattern string, flow long"))
+    return network.groupBy("network").applyInPandas(solve, "_pattern string, flow long")
 
 
 def _part_pass(docs: DataFrame, wanted: DataFrame, patterns: int) -> DataFrame:
