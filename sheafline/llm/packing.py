@@ -11,6 +11,7 @@ the capacity, the number of windows rises.
 from __future__ import annotations
 
 import heapq
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,15 @@ GROUP = 2048
 CACHE = 700_000
 END_ID = 2
 
+# The normalizer and the splitter of the tokenizer files that ``WordTokenizer`` can read.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _TAIL = b".,;:!?$%&*#\"()"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = f"{_PIECES}, sequence_id long, offset long"
@@ -42,7 +52,8 @@ class WordTokenizer:
     The tokenizer drops white space and never joins across it, so the ids of a
     text are those of its words in order. A word's ids do not depend on A-Z
     against a-z, and a closing run of punctuation is a token of its own; both
-    keep the cache small. The results are those of ``encode`` on the text.
+    keep the cache small. The results are those of ``encode`` on the text. A
+    tokenizer of which this does not hold is refused.
     """
 
     def __init__(self, path: str, size: int = CACHE):
@@ -50,6 +61,9 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(tokenizer.to_str())
+        if parts["normalizer"] != NORMALIZER or parts["pre_tokenizer"] != SPLITTER or parts["post_processor"]:
+            raise ValueError(f"{path} does not normalize and split as the word cache assumes")
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.size, self.cache = size, {}
@@ -159,9 +173,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, l
     A null or empty text is its end token alone. A null doc_id stays null.
     Repeated rows are packed each by itself. An empty table gives no rows.
     Columns besides doc_id and text are ignored. Rests go to packing groups by
-    hash, ``group`` of them on average, so a group's size does not grow with the
-    input; full windows, which need no packing, are numbered in groups of their
-    own. Within a group, ties are broken by the pieces' order.
+    their places in the table of pieces, ``group`` of them on average, so a
+    group's size grows neither with the input nor with rows that repeat; full
+    windows, which need no packing, are numbered in groups of their own. Within a
+    group, ties are broken by the pieces' order.
     """
     pieces = saved(cut_documents(docs, tokenizer_path, window, longest_rest))
     full = F.col("length") == window
@@ -183,6 +198,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, l
         rows["doc_id"] = rows["doc_id"].astype("Int64")
         return rows.assign(sequence_id=pd.Series(sequence + (int(key[0]) << 32)), offset=offset)
 
-    hashed = F.xxhash64("doc_id", "start", "ids_crc32")
+    hashed = F.xxhash64(F.monotonically_increasing_id())
     salted = F.when(full, groups + F.pmod(hashed, F.lit(full_groups))).otherwise(F.pmod(hashed, F.lit(groups)))
     return pieces.withColumn("_group", salted).groupBy("_group").applyInPandas(pack, _PACKED)

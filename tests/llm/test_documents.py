@@ -73,6 +73,18 @@ def test_packing_is_an_exact_round_trip(docs, none):
     assert packing.pack_documents(none, TOKENIZER).count() == 0
 
 
+def test_rows_that_repeat_are_spread_over_the_packing_groups(spark):
+    made = spark.createDataFrame([(None, None)] * 3000 + [(1, "same text")] * 3000, "doc_id long, text string").repartition(4)
+    got = packing.pack_documents(made, TOKENIZER, group=100)
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in got.collect())
+    assert sum(groups.values()) == 6000 and len(groups) == 60 and max(groups.values()) < 3 * 100
+
+
+def test_another_tokenizer_is_refused():
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_full_windows_do_not_thin_out_the_groups_of_rests(spark):
     """40 rests of 20 tokens, each after ten full windows, in groups of about 8."""
     made = spark.createDataFrame([(i, "a " * 659) for i in range(40)], "doc_id long, text string")
