@@ -8,18 +8,21 @@ agree in about as many bins as the phrase sets have in common.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_slices, known_id
+from .common import hashed_slices, known_id, saved
 
 BINS = 128
 #: Hexadecimal digits of a bin in the fingerprint.
 DIGITS = 4
+#: Ranges of documents for each task, and rows drawn for each range to find its bounds.
+SPREAD, SAMPLED = 16, 32
 
 
 def parse(data: bytes, known: dict[int, int], node: int = 0) -> tuple[list[int], list[int], int]:
@@ -90,40 +93,56 @@ def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool, b_empty: bool) -> floa
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most the key, by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    # one literal, whatever the number of bounds
+    known = F.from_json(F.lit(json.dumps([dict(zip(("id", "th", "salt"), bound, strict=True)) for bound in bounds])), "array<struct<id:long,th:long,salt:long>>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(known, at + step - 1) <= key), at + step).otherwise(at))
+
+
+def fingerprints_with_next(docs: DataFrame, parts: int | None = None, stored: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the
     first as many of the next document's (all, if it has fewer). Next is the next
     smaller doc_id; the smallest is followed by the largest. Rows that share a
-    doc_id are ordered by their texts, the larger first; a null doc_id comes after
-    all others. A null text is empty: it has the fingerprint of no phrase, and is
-    like another empty text only. With one row, it is its own next. An empty table
-    gives no rows. Only doc_id and text are read.
-
-    Rows go to ``parts`` ranges of doc_id, whose bounds come from the ids alone;
-    each range also gets the first row of the range after it, and is read in
-    order as a stream.
+    doc_id are ordered by a hash of their texts, the larger first, and equal rows
+    by their places in the table; a null doc_id comes after all others. A null
+    text is empty: it has the fingerprint of no phrase, and is like another empty
+    text only. With one row, it is its own next. An empty table gives no rows. Only
+    doc_id and text are read.
+
+    Rows are told apart by their places in the files of a Parquet table: stored
+    says that docs is read straight from one; else it is written to one. They go to
+    ``SPREAD`` ranges of (doc_id, hash, place) for each of ``parts`` tasks, with
+    bounds from a sample, so neither a repeated id nor a repeated row gathers in one
+    range; each range also gets the first row of the range after it, and is read
+    in order as a stream.
     """
     import hashlib
 
     spark = docs.sparkSession
+    docs = docs.select("*") if stored else saved(docs.select("doc_id", "text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(known_id("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("id")
-    bounds = sorted({int(x) for x in ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)})
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(known_id("doc_id").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("salt"), text.alias("text"))
+    key = F.struct("id", "th", "salt")
+    ranges = SPREAD * parts
+    # the rows with the smallest hashed places are a sample whose size depends on the number of ranges alone
+    drawn = sorted(tuple(r) for r in rows.select("id", "th", "salt").orderBy(F.xxhash64("salt")).limit(SAMPLED * ranges).collect())
+    bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
     # a range's number counts from the largest ids down, so that the numbers go up in the order of the documents
-    ranged = rows.withColumn("part", F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b <= F.col("id"))))
-    tops = ranged.select("part", "id").groupBy("part").agg(F.max("id").alias("id")).orderBy("part").collect()  # a row for each range
-    before = {tops[i]["id"]: tops[i - 1]["part"] for i in range(len(tops))}
-    if before:
-        to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        edges = rows.where(F.col("id").isin(list(before))).groupBy("id").agg(F.max("text").alias("text"))
-        edges = edges.select("id", "text", F.element_at(to, F.col("id")).alias("part"), F.lit(True).alias("edge"))
-        ranged = ranged.withColumn("edge", F.lit(False)).unionByName(edges)
-    else:
-        ranged = ranged.withColumn("edge", F.lit(False))
-    ranged = ranged.repartition(parts, "part").sortWithinPartitions("part", "edge", F.desc("id"), F.desc("text"))
+    ranged = rows.withColumn("part", F.lit(len(bounds)) - _range_of(key, bounds)).withColumn("edge", F.lit(False))
+    tops = ranged.groupBy("part").agg(F.max(key).alias("top")).orderBy("part").collect()  # a row for each range
+    if tops:
+        to = spark.createDataFrame([(*tops[i]["top"], tops[i - 1]["part"]) for i in range(len(tops))], "id long, th long, salt long, part int")
+        edges = rows.join(F.broadcast(to), ["id", "th", "salt"]).select("id", "th", "salt", "text", "part", F.lit(True).alias("edge"))
+        ranged = ranged.unionByName(edges)
+    ranged = ranged.repartition(parts, "part").sortWithinPartitions("part", "edge", F.desc("id"), F.desc("th"), F.desc("salt"))
+    ranged = ranged.select("part", "id", "text", "edge")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting = None  # a document whose next one is not yet known

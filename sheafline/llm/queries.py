@@ -56,7 +56,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lz import fingerprints_with_next
 
-    return fingerprints_with_next(table(spark, sf_dir, "documents"))
+    return fingerprints_with_next(table(spark, sf_dir, "documents"), stored=True)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
