@@ -154,7 +154,8 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB) -> DataFrame:
     edges = saved(docs.join(heads, ["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(windows, "one long, two long, doc long, th long, start long"))
     firsts = saved(edges.groupBy("one", "two").agg(F.min(F.struct("doc", "start", "th")).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
     single = _looked_up(edges, firsts, ["one", "two"], "first").where(later).select("doc", "th", "start", F.lit(1).cast("long").alias("n"), *source)
-    return saved(_compacted(copies.unionByName(single)))
+    # rows that repeat bring the same spans: one of each goes on
+    return saved(_compacted(copies.unionByName(single).distinct()))
 
 
 def _compacted(spans: DataFrame) -> DataFrame:
@@ -240,9 +241,10 @@ def remove_repeats(docs: DataFrame, k: int = K, sub: int = SUB, carry: tuple[str
                         edges = np.zeros(len(words) + 1, dtype=np.int64)
                         for span in spans.as_py():
                             at, end = span["start"], span["start"] + span["n"] + k - 1
-                            if _digest(words[at:end]) == span["words"]:
-                                edges[at] += 1
-                                edges[end] -= 1
+                            if _digest(words[at:end]) != span["words"]:
+                                raise RuntimeError("a span differs from the words at its source: two runs of words share their hashes")
+                            edges[at] += 1
+                            edges[end] -= 1
                         stay = np.cumsum(edges)[:-1] == 0
                         kept = [words[i] for i in np.flatnonzero(stay)]
                     joined = b" ".join(kept)
