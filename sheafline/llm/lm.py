@@ -40,9 +40,6 @@ AUTOMATON_TOKENS = 100_000
 PARTS, PART_BYTES = 64, 16 << 20
 #: Bytes of a row group of the answers, whose rows are large.
 ROW_GROUP = 16 << 20
-#: Bits of the keys of n-grams of 2 tokens and more beyond those that number the bytes of all texts, at most 56 bits in all:
-#: about one n-gram in 2 ** SPARE_BITS shares its key with another, whatever the size of the corpus.
-SPARE_BITS = 13
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 
@@ -59,22 +56,13 @@ def tokens_of(array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, ends, _END), offsets + np.arange(len(offsets))
 
 
-def key_bits(n_bytes: int) -> int:
-    """Bits of a key among the n-grams of texts of ``n_bytes``."""
-    return min(56, max(32, n_bytes.bit_length() + SPARE_BITS))
-
-
-def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int, bits: int = 56) -> list[np.ndarray]:
-    """For n from 1 to ``order`` the hash of the n-gram that ends at each token; before a text stand starts.
-
-    Of the hashes of longer n-grams than one token only the first ``bits`` count.
-    """
-    kept = np.uint64((1 << 64) - (1 << (64 - bits)))
+def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n from 1 to ``order`` the hash of the n-gram that ends at each token; before a text stand starts."""
     out, before = [tokens], tokens
     for n in range(2, order + 1):
         before = np.concatenate([[_START], before[:-1]])
         before[offsets[:-1]] = _START
-        out.append(mix64(out[-1] * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n)) & kept)
+        out.append(mix64(out[-1] * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n)))
     return out
 
 
@@ -100,14 +88,14 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def _packed(keys: np.ndarray, n: int, bits: int) -> bytes:
+def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys of n-grams as the steps from one to the next."""
-    return _planes(np.diff(keys >> np.uint64(0 if n == 1 else 64 - bits), prepend=np.uint64(0)))
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unpacked(data: bytes, n: int, bits: int) -> np.ndarray:
+def _unpacked(data: bytes) -> np.ndarray:
     """The reverse of ``_packed``."""
-    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64) << np.uint64(0 if n == 1 else 64 - bits)
+    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64)
 
 
 class Automaton:
@@ -223,7 +211,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     block_rows = max(1, min(1 << 16, int(piece_bytes * n_docs / (n_bytes + 1)) if n_docs else 1))
     parts = max(PARTS, n_bytes // PART_BYTES)
-    most, bits = AUTOMATON_TOKENS, key_bits(n_bytes + n_docs)
+    most = AUTOMATON_TOKENS
     place = F.col("_metadata.row_index")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds, fold).alias("held"),
@@ -236,17 +224,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
         for file, block, begin, texts, held in _pieces(batches, piece_bytes):
             tokens, offsets = tokens_of(texts)
             training = np.repeat(~held.to_numpy(zero_copy_only=False), np.diff(offsets))
-            for n, gram in enumerate(ngrams(tokens, offsets, order, bits), 1):
+            for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
                 keys, at = np.unique(gram, return_inverse=True)
                 counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<i4")
-                sent = [(p, n, file, block, begin, _packed(keys[own], n, bits), _planes(counts[own])) for p, own in _dealt(keys, parts)]
+                sent = [(p, n, file, block, begin, _packed(keys[own]), _planes(counts[own])) for p, own in _dealt(keys, parts)]
                 kinds = *[pa.int64()] * 5, pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sent, strict=True), kinds, strict=True)], ["part", "n", "file", "block", "begin", "keys", "counts"])
 
     asked = rows.drop("doc_id").mapInArrow(request, "part long, n long, file long, block long, begin long, keys binary, counts binary")
 
     def add_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpacked(x, int(key[1]), bits) for x in group["keys"]]
+        keys = [_unpacked(x) for x in group["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_from_planes(x, "<i4") for x in group["counts"]]), minlength=len(every))
         cuts = np.cumsum([0, *map(len, keys)])
@@ -268,7 +256,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
     def piece_scores(texts, got: dict) -> dict:
         tokens, offsets = tokens_of(texts)
         grams, counts = [], []
-        for n, gram in enumerate(ngrams(tokens, offsets, order, bits), 1):
+        for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
             keys, at = np.unique(gram, return_inverse=True)
             found = np.zeros(len(keys))
             for p, own in _dealt(keys, parts):
