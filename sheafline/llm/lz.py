@@ -132,8 +132,8 @@ def fingerprints_with_next(docs: DataFrame, parts: int | None = None, stored: bo
     key = F.struct("id", "th", "salt")
     ranges = SPREAD * parts
     # the rows with small hashed places are a sample whose size depends on the number of ranges alone, on average
-    share = min(1.0, SAMPLED * ranges / max(1, docs.count()))
-    drawn = sorted(tuple(r) for r in rows.where(F.xxhash64("salt") <= int((2 * share - 1) * (2**63 - 1))).select("id", "th", "salt").collect())
+    below = min(2**63 - 1, SAMPLED * ranges * 2**64 // max(1, docs.count()) - 2**63)
+    drawn = sorted(tuple(r) for r in rows.where(F.xxhash64("salt") <= below).select("id", "th", "salt").collect())
     bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
     # a range's number counts from the largest ids down, so that the numbers go up in the order of the documents
     ranged = rows.withColumn("part", F.lit(len(bounds)) - _range_of(key, bounds)).withColumn("edge", F.lit(False))
