@@ -10,8 +10,10 @@ the capacity, the number of windows rises.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ WINDOW = 4096
 LONGEST_REST = 2048
 #: Rests in one packing group, on average.
 GROUP = 2048
-#: Entries of the word cache in each Python worker.
+#: Entries of the table of words in each Python worker.
 CACHE = 700_000
 END_ID = 2
 
@@ -46,13 +48,13 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PACKED = f"{_PIECES}, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """Token bytes (little-endian unsigned 32-bit ids) of texts, by way of a cache of words.
+class WordTokenizer(dict):
+    """Token bytes (little-endian unsigned 32-bit ids) of texts, by way of a table of words that it keeps.
 
     The tokenizer drops white space and never joins across it, so the ids of a
     text are those of its words in order. A word's ids do not depend on A-Z
     against a-z, and a closing run of punctuation is a token of its own; both
-    keep the cache small. The results are those of ``encode`` on the text. A
+    keep the table small. The results are those of ``encode`` on the text. A
     tokenizer of which this does not hold is refused.
     """
 
@@ -63,10 +65,10 @@ class WordTokenizer:
         tokenizer = Tokenizer.from_file(path)
         parts = json.loads(tokenizer.to_str())
         if parts["normalizer"] != NORMALIZER or parts["pre_tokenizer"] != SPLITTER or parts["post_processor"]:
-            raise ValueError(f"{path} does not normalize and split as the word cache assumes")
+            raise ValueError(f"{path} does not normalize and split as the table of words assumes")
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.size, self.cache = size, {}
+        self.most = size
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode()
@@ -75,18 +77,17 @@ class WordTokenizer:
             ids = [token.id for token in self.merge(text if text.isascii() else self.as_bytes(text)[0][0])]
         else:
             ids = self.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _add(self, word: bytes) -> bytes:
-        if len(self.cache) >= self.size:
-            self.cache.clear()
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
         core = word.rstrip(_TAIL)
         if core and core != word and core[-1:].isalpha():
-            tail = word[len(core) :]
-            found = (self.cache.get(core) or self._add(core)) + (self.cache.get(tail) or self._add(tail))
+            found = self[core] + self[word[len(core) :]]
         else:
             found = self._ids(word)
-        self.cache[word] = found
+        self[word] = found
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -96,11 +97,13 @@ class WordTokenizer:
         lower = data.lower()
         if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower.decode()):
             data = lower
-        cache, words = self.cache, data.split()
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            return b"".join([cache.get(w) or self._add(w) for w in words])
+        return b"".join(map(self.__getitem__, data.split()))
+
+
+@functools.cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a file, once for each Python worker, so that its words serve all tasks of the worker."""
+    return WordTokenizer(path)
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, longest_rest: int = LONGEST_REST) -> DataFrame:
@@ -109,7 +112,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, lo
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tokens = WordTokenizer(tokenizer_path)
+        tokens = word_tokenizer(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
@@ -129,20 +132,25 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, lo
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Parts of ``range(len(sizes))`` in ``k`` windows with near-equal sums; empty windows are left out."""
     pairs: dict[int, tuple[int, int]] = {}
-    heap = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
+    # a partition is a list of (-sum, node), the largest sum first
+    heap = [(-size, i, [(-size, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     node = order = len(sizes)
     while len(heap) > 1:
-        one, other = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        shared = max(0, len(one) + len(other) - k)  # so many windows get a part of both
-        merged = one[: len(one) - shared] + other[: len(other) - shared]
-        for (a, i), (b, j) in zip(one[len(one) - shared :], reversed(other[len(other) - shared :]), strict=True):
-            pairs[node] = (i, j)
-            merged.append((a + b, node))
-            node += 1
-        merged.sort(key=lambda x: (-x[0], x[1]))
-        imbalance = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-imbalance, order := order + 1, merged))
+        one = heapq.heappop(heap)[2]
+        other = heap[0][2]
+        shared = len(one) + len(other) - k  # so many windows get a part of both
+        if shared > 0:
+            merged = one[:-shared] + other[:-shared]
+            for (a, i), (b, j) in zip(one[-shared:], other[: -shared - 1 : -1], strict=True):
+                pairs[node] = (i, j)
+                merged.append((a + b, node))
+                node += 1
+        else:
+            merged = one + other
+        merged.sort()
+        order += 1
+        heapq.heapreplace(heap, (merged[0][0] - (merged[-1][0] if len(merged) == k else 0), order, merged))
     parts = []
     for _, top in heap[0][2] if heap else []:
         part, todo = [], [top]
