@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.basic import found
 from ..functions.names import normalize_mention, package_code, telling_words
 from .contain import contained_pairs
+from .lineage import cut
 from .works import top_row
 
 # Thresholds of the fuzzy layer.
@@ -98,6 +99,22 @@ def shortlist(candidates: DataFrame, n: int = 5) -> DataFrame:
     return candidates.groupBy("qid").agg(F.transform(best, lambda x: x["entity"]).alias("shortlist"))
 
 
+def by_package(mentions: DataFrame, certs: DataFrame) -> DataFrame:
+    """Layer 3: the client of the package that is named, by the smallest doc_id."""
+    known = certs.where("client_name is not null and package_code is not null")
+    clients = known.groupBy(F.lower("package_code").alias("_p")).agg(F.min_by("client_name", "doc_id").alias("entity"))
+    return mentions.select("qid", F.lower(package_code(F.col("text"))).alias("_p")).join(clients, "_p").select("qid", "entity")
+
+
+def by_first_name(mentions: DataFrame, certs: DataFrame) -> DataFrame:
+    """Layer 3, where no package helps: the client of the first work led by someone whose first name, of four letters or more, is named."""
+    first_name = F.lower(found(F.col("project_lead"), r"^([A-Za-z]{4,})"))
+    leads = certs.where("client_name is not null").select(first_name.alias("_w"), "client_name", "doc_id").where("_w is not null")
+    leads = leads.groupBy("_w").agg(F.min_by("client_name", "doc_id").alias("entity"), F.min("doc_id").alias("_d"))
+    said = mentions.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{4,})\b"), F.lit(1)))).alias("_w"))
+    return said.join(leads, "_w").groupBy("qid").agg(F.min_by("entity", "_d").alias("entity"))
+
+
 def resolve(mentions: DataFrame, entities: DataFrame, certs: DataFrame | None = None, choices: DataFrame | None = None) -> DataFrame:
     """qid, entity and layer (1, 2, 3, 4 or 5; null where nothing is found) of every mention.
 
@@ -105,24 +122,29 @@ def resolve(mentions: DataFrame, entities: DataFrame, certs: DataFrame | None =
     which finds clients by the package, or by a lead's first name of four letters or more; leave it out when
     resolving others. choices: qid, entity of an outside disambiguator (layer 4), taken only if it is an entity.
     The last resort is the best fuzzy candidate above a lower bound.
+
+    A layer gets only the mentions that those before it left, and none is worked out when nothing is left: what
+    containment finds is never compared letter by letter. What a layer found and left is kept in the shared folder.
+    A qid that repeats is one mention, of which any text may decide.
     """
-    one = contained(mentions, entities).withColumn("layer", F.lit(1))
-    candidates = fuzzy(mentions, entities)
-    parts = [one, confident(candidates).withColumn("layer", F.lit(2))]
+    candidates: list[DataFrame] = []
+
+    def scored(left: DataFrame) -> DataFrame:
+        if not candidates:
+            candidates.append(cut(fuzzy(left, entities)))
+        return candidates[0].join(left.select("qid").distinct(), "qid", "left_semi")
+
+    layers = [(1, lambda left: contained(left, entities)), (2, lambda left: confident(scored(left)))]
     if certs is not None:
-        package = F.lower(package_code(F.col("text")))
-        known = certs.where("client_name is not null")
-        by_package = known.where("package_code is not null").groupBy(F.lower("package_code").alias("_p")).agg(F.min_by("client_name", "doc_id").alias("entity"))
-        parts.append(mentions.select("qid", package.alias("_p")).join(by_package, "_p").select("qid", "entity", F.lit(3).alias("layer")))
-        first_name = F.lower(found(F.col("project_lead"), r"^([A-Za-z]{4,})"))
-        leads = known.select(first_name.alias("_w"), "client_name", "doc_id").where("_w is not null").groupBy("_w").agg(F.min_by("client_name", "doc_id").alias("entity"), F.min("doc_id").alias("_d"))
-        said = mentions.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{4,})\b"), F.lit(1)))).alias("_w"))
-        parts.append(said.join(leads, "_w").groupBy("qid").agg(F.min_by("entity", "_d").alias("entity")).withColumn("layer", F.lit(3)))
+        layers += [(3, lambda left: by_package(left, certs)), (3, lambda left: by_first_name(left, certs))]
     if choices is not None:
-        parts.append(choices.join(entities.select("entity").distinct(), "entity").select("qid", "entity", F.lit(4).alias("layer")))
-    parts.append(top_row(candidates.where(F.col("score") >= LAST_RESORT), ["qid"], [F.col("score").desc(), F.col("entity")]).select("qid", "entity", F.lit(5).alias("layer")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    first = every.groupBy("qid").agg(F.min(F.struct("layer", "entity")).alias("f"))
-    return mentions.select("qid").join(first, "qid", "left").select("qid", "f.entity", "f.layer")
+        layers.append((4, lambda left: choices.join(left, "qid", "left_semi").join(entities.select("entity").distinct(), "entity").groupBy("qid").agg(F.min("entity").alias("entity"))))
+    layers.append((5, lambda left: top_row(scored(left).where(F.col("score") >= LAST_RESORT), ["qid"], [F.col("score").desc(), F.col("entity")]).select("qid", "entity")))
+    left, every = mentions.select("qid", "text"), None
+    for number, layer in layers:
+        hits = cut(layer(left).select("qid", "entity", F.lit(number).alias("layer")))
+        every = hits if every is None else every.unionByName(hits)
+        left = cut(left.join(hits, "qid", "left_anti"))
+        if left.isEmpty():
+            break
+    return mentions.select("qid").join(every, "qid", "left").select("qid", "entity", "layer")

@@ -14,6 +14,7 @@ from ..functions.basic import found, has_any
 from ..functions.dates import years_named
 from ..functions.money import number_in_words, parse_money
 from ..functions.names import category_of_name
+from ..operators.contain import contained_pairs
 from ..operators.works import largest_gap, package_maxima, portfolio_primary, referenced, top_row
 
 ANCHOR = "2021-03-10"
@@ -73,7 +74,7 @@ def amount(phrase: Column) -> Column:
 
 
 def whole(value: Column) -> Column:
-    return F.bround(value, 0)
+    return F.bround(value.cast("double"), 0)
 
 
 def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivables: DataFrame, personnel: DataFrame) -> DataFrame:
@@ -99,9 +100,13 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivable
         }
     ).withColumn("stem", F.nullif(F.regexp_replace("term", "s+$", ""), F.lit("")))
 
-    works = referenced(portfolio_primary(certs.where("client_name is not null")), letters)
+    # only the portfolios of clients that questions are about are made
+    asked = q.where("target is not null").select(F.lower("target").alias("_asked")).distinct()
+    own = certs.where("client_name is not null").join(asked, F.lower("client_name") == F.col("_asked"), "left_semi")
+    works = referenced(portfolio_primary(own), letters)
     works = works.select(F.lower("client_name").alias("_works_of"), "contract_value", "completion_date", "referenced", F.lower(F.coalesce("category", F.lit(""))).alias("_category"), F.lower(F.coalesce("project_name", F.lit(""))).alias("_name"))
-    value = F.coalesce(F.col("contract_value").cast("double"), F.lit(0.0))
+    zero = F.lit(0).cast("decimal(18,2)")
+    value = F.coalesce(F.col("contract_value").cast("decimal(18,2)"), zero)  # sums are exact, whatever order rows come in
     dropped = F.lit(False)
     for part in ("stem", "term"):
         for place in ("_category", "_name"):
@@ -109,25 +114,26 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivable
     dropped = F.coalesce(F.col("stem").isNotNull() & dropped, F.lit(False))
     joined = q.join(works, F.lower("target") == F.col("_works_of"))
     about = joined.groupBy("qid").agg(
-        F.sum(F.when(dropped, 0.0).otherwise(value)).alias("kept_sum"),
+        F.sum(F.when(dropped, zero).otherwise(value)).alias("kept_sum"),
         F.sum(value).alias("sum"),
         F.avg("contract_value").alias("mean"),
         F.median("contract_value").alias("median"),
         F.count("*").alias("works"),
         F.count_if("referenced").alias("with_letter"),
-        F.sum(F.when(F.year("completion_date") == F.col("year1"), value).otherwise(0.0)).alias("sum1"),
-        F.sum(F.when(F.year("completion_date") == F.col("year2"), value).otherwise(0.0)).alias("sum2"),
-        F.sum(F.when(value >= F.col("threshold"), value).otherwise(0.0)).alias("sum_above"),
+        F.sum(F.when(F.year("completion_date") == F.col("year1"), value).otherwise(zero)).alias("sum1"),
+        F.sum(F.when(F.year("completion_date") == F.col("year2"), value).otherwise(zero)).alias("sum2"),
+        F.sum(F.when(value >= F.col("threshold"), value).otherwise(zero)).alias("sum_above"),
     )
     about = about.join(largest_gap(joined, ["qid"], "contract_value", "lead_gap"), "qid", "left")
     led = certs.where("project_lead is not null").withColumn("_lead", F.lower("project_lead"))
+    led = led.join(q.where("engineer is not null").select(F.lower("engineer").alias("_asked")).distinct(), F.col("_lead") == F.col("_asked"), "left_semi")
     categories = led.select("_lead", F.coalesce(F.lower(F.nullif("category", F.lit(""))), category_of_name(F.col("project_name"))).alias("c")).groupBy("_lead").agg(F.count_distinct("c").alias("categories"))
     dated = personnel.where("issue_date is not null and engineer_name is not null")
     issued = top_row(dated, [F.lower("engineer_name")], [F.col("doc_id")]).select(F.lower("engineer_name").alias("_issued_to"), F.col("issue_date").alias("issued"))
-    largest = package_maxima(led, ["_lead"]).select("_lead", F.col("contract_value").cast("double").alias("v"), "completion_date")
+    largest = package_maxima(led, ["_lead"]).select("_lead", F.col("contract_value").cast("decimal(18,2)").alias("v"), "completion_date")
     chain = q.where("engineer is not null").join(issued, F.lower("engineer") == F.col("_issued_to"), "left")
     chain = chain.withColumn("since", F.coalesce("issued", F.to_date(F.lit(ANCHOR))))
-    chain = chain.join(largest, F.lower("engineer") == F.col("_lead"), "left").groupBy("qid").agg(F.sum(F.when(F.col("completion_date") > F.col("since"), F.col("v")).otherwise(0.0)).alias("after_sum"))
+    chain = chain.join(largest, F.lower("engineer") == F.col("_lead"), "left").groupBy("qid").agg(F.sum(F.when(F.col("completion_date") > F.col("since"), F.col("v")).otherwise(zero)).alias("after_sum"))
 
     def completed(key: str, name: str) -> DataFrame:
         rows = certs.where(f"{key} is not null and completion_date is not null")
@@ -138,11 +144,14 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivable
     found_q = found_q.join(receivables.select(F.col("client_name").alias("_billed"), "invoiced", "received"), F.col("target") == F.col("_billed"), "left")
     for key, name, own in (("package_code", "p", "package"), ("project_lead", "l", "engineer"), ("client_name", "c", "client")):
         found_q = found_q.join(completed(key, name), F.lower(own) == F.col(f"_{name}_key"), "left")
-    # a word of the question in a project's name: the first such word, then the smallest doc_id
+    # where nothing else tells a date, a word of the question in a project's name: the first such word, then the smallest doc_id
     words = F.filter(F.regexp_extract_all("question", F.lit(r"\b([A-Za-z]+)\b"), F.lit(1)), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*PLAIN_WORDS))
-    asked = q.where("answer_type = 'days'").select("qid", F.posexplode(words).alias("_at", "_word"))
-    named = certs.where("project_name is not null and completion_date is not null").select("doc_id", "project_name", "completion_date")
-    by_word = asked.join(named, F.contains(F.lower("project_name"), F.lower("_word"))).groupBy("qid").agg(F.min_by("completion_date", F.struct("_at", "doc_id")).alias("_w_date"))
+    undated = found_q.where("answer_type = 'days' and coalesce(_p_date, _l_date, _c_date) is null")
+    asked = undated.select("qid", F.posexplode(words).alias("_at", "_word")).withColumn("_word", F.lower("_word"))
+    named = certs.where("project_name is not null and completion_date is not null").select("doc_id", F.lower("project_name").alias("_low"), "completion_date")
+    pairs = contained_pairs(named.select(F.col("_low").alias("id"), F.col("_low").alias("text")).distinct(), asked.select(F.col("_word").alias("name")))
+    first = pairs.join(named, pairs["id"] == named["_low"]).groupBy(F.col("name").alias("_word")).agg(F.min(F.struct("doc_id", "completion_date")).alias("_first"))
+    by_word = asked.join(first, "_word").groupBy("qid").agg(F.min_by("_first.completion_date", "_at").alias("_w_date"))
     found_q = found_q.join(by_word, "qid", "left")
     end = F.coalesce("_p_date", "_l_date", "_c_date", "_w_date")
 

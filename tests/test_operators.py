@@ -108,7 +108,7 @@ def test_entities(spark):
     bills = spark.createDataFrame([("B1", "Pkg-1", None, "X"), ("B2", "Pkg-77", None, "X")], "doc_id string, package_code string, project_name string, client_name string")
     got = {r["package"]: r for r in entities.projects(certs(spark), letters, bonds, bills).collect()}
     assert set(got) == {"Pkg-1", "Pkg-2", "Pkg-4", "Pkg-9", "Pkg-44"} and got["Pkg-1"]["has_letter"] and got["Pkg-44"]["has_bond"] and got["Pkg-1"]["bills"] == ["B1"]
-    assert got["Pkg-1"]["project_name"] == "Road — A long name" and float(got["Pkg-1"]["contract_value"]) == 120.0 and got["Pkg-1"]["documents"] == ["B1", "C1", "C2", "L1"]
+    assert got["Pkg-1"]["project_name"] == "Road — A" and got["Pkg-44"]["project_name"] == "Pkg-44" and float(got["Pkg-1"]["contract_value"]) == 120.0 and got["Pkg-1"]["documents"] == ["B1", "C1", "C2", "L1"]
     ids = entities.clients(spark.createDataFrame([("Roads Dept (PSU)",), ("Roads Department",), ("Port Trust",)], "client_raw string")).collect()
     assert {(r["client_id"], r["name"]) for r in ids} == {("CLIENT-001", "Port Trust"), ("CLIENT-002", "Roads Department")}
     pairs = entities.ambiguous_pairs(spark.createDataFrame([(1, "Roads Board of North Zone"), (2, "North Zone Ports"), (3, "Ports Board")], "id int, n string"), "id", "n")
