@@ -88,6 +88,20 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counts as compressed planes: most are small, which the codecs of shuffles and tables, without entropy coding, make little of."""
+    import pyarrow as pa
+
+    return pa.compress(_planes(counts), codec="zstd", asbytes=True)
+
+
+def _from_squeezed(data: bytes, n: int, kind: str) -> np.ndarray:
+    """The reverse of ``_squeezed`` for n counts."""
+    import pyarrow as pa
+
+    return _from_planes(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys of n-grams as the steps from one to the next."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
@@ -227,7 +241,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
             for n, gram in enumerate(ngrams(tokens, offsets, order), 1):
                 keys, at = np.unique(gram, return_inverse=True)
                 counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<i4")
-                sent = [(p, n, file, block, begin, _packed(keys[own]), _planes(counts[own])) for p, own in _dealt(keys, parts)]
+                sent = [(p, n, file, block, begin, _packed(keys[own]), _squeezed(counts[own])) for p, own in _dealt(keys, parts)]
                 kinds = *[pa.int64()] * 5, pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sent, strict=True), kinds, strict=True)], ["part", "n", "file", "block", "begin", "keys", "counts"])
 
@@ -236,10 +250,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
     def add_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpacked(x) for x in group["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_from_planes(x, "<i4") for x in group["counts"]]), minlength=len(every))
+        total = np.bincount(at, weights=np.concatenate([_from_squeezed(x, len(k), "<i4") for x, k in zip(group["counts"], keys, strict=True)]), minlength=len(every))
         cuts = np.cumsum([0, *map(len, keys)])
         found = total[at].astype("<i8")
-        out = group[["part", "n", "file", "block", "begin"]].assign(counts=[_planes(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        out = group[["part", "n", "file", "block", "begin"]].assign(counts=[_squeezed(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         out["check"] = [_check(x) for x in keys]
         # the sums of the part stand in its first row
         out["total"] = [int(total.sum())] + [0] * (len(out) - 1)
@@ -261,9 +275,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
             found = np.zeros(len(keys))
             for p, own in _dealt(keys, parts):
                 values, check = got[p, n]
-                if len(values) != 8 * len(keys[own]) or check != _check(keys[own]):
+                if check != _check(keys[own]):
                     raise RuntimeError("the documents came out differently when read again")
-                found[own] = _from_planes(values, "<i8")
+                found[own] = _from_squeezed(values, len(keys[own]), "<i8")
             grams.append(at)
             counts.append(found)
         single, begin, scores, row = counts[0][grams[0]], offsets[:-1], [], 0
