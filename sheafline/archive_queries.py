@@ -232,7 +232,7 @@ def portfolio_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         UNION ALL SELECT 'distinct_count', s_name, count(DISTINCT category) FROM supplier LEFT JOIN cert ON lead = s_name GROUP BY s_name),
     of_first_lead AS (SELECT arg_min(client, k) AS client FROM cert WHERE lead IS NOT NULL)
     SELECT shape || ' ' || client AS qid, client, NULL AS engineer, CASE WHEN x IS NULL THEN 'fallback' ELSE shape END AS shape,
-        CASE WHEN x IS NULL THEN 1e8 WHEN shape IN ('collection_pct', 'referenced_share', 'absence', 'date_span') THEN CAST(x AS DOUBLE) ELSE round_even(CAST(x AS DOUBLE), 0) END AS answer FROM answer
+        CASE WHEN x IS NULL THEN 1e8 WHEN shape IN ('collection_pct', 'referenced_share', 'absence', 'date_span') THEN CAST(x AS DOUBLE) ELSE round_even(CAST(x AS DOUBLE), 0) + 0.0::DOUBLE END AS answer FROM answer
     UNION ALL SELECT led.shape || ' ' || s_name, (SELECT client FROM of_first_lead), s_name, led.shape, round_even(CAST(x AS DOUBLE), 0) FROM led"""
 )
 def question_answers(spark, sf_dir):
@@ -240,3 +240,49 @@ def question_answers(spark, sf_dir):
     certs, letters, receivables, personnel = portfolio_records(spark, sf_dir)
     questions = asked_about(certs.select(F.col("client_name").alias("name")).distinct(), CLIENT_QUESTIONS).unionByName(asked_about(personnel.select(F.col("engineer_name").alias("name")), ENGINEER_QUESTIONS))
     return ask.answer(questions, certs, letters, receivables, personnel).select("qid", "client", "engineer", "shape", "answer")
+
+
+@query("SELECT conv_id % 5 AS file, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id, turn) - 1 AS row_num, conv_id::VARCHAR AS conv, turn::VARCHAR AS turn, role, sha256(text || chr(10) || '\"' || role || ', quoted\"\"') AS digest FROM conversations")
+def csv_records(spark, sf_dir):
+    """Turns as CSV whose cells hold quotes, commas and line ends, cut every 61 characters, read back as records and cells."""
+    from .sources import csv_text
+
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = table(spark, sf_dir, "conversations")
+    said = F.concat("text", F.lit('\n"'), "role", F.lit(', quoted""'))
+    line = F.concat(F.col("conv_id").cast("string"), F.lit(","), F.col("turn").cast("string"), F.lit(","), quoted(F.col("role")), F.lit(","), quoted(said), F.lit("\r\n"))
+    starts = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("line"), F.lit(61)), lambda i: F.substring("line", i, F.lit(61)))).alias("i", "text")
+    pieces = rows.select((F.col("conv_id") % 5).alias("file"), F.col("conv_id").alias("chunk"), "turn", line.alias("line")).select("file", "chunk", "turn", starts)
+    cell = csv_text.cells(F.col("record"))
+    back = csv_text.records(pieces.select("file", "chunk", F.struct("turn", "i").alias("at"), "text"))
+    return back.select("file", "row_num", cell.alias("x")).select("file", "row_num", F.col("x")[0].alias("conv"), F.col("x")[1].alias("turn"), F.col("x")[2].alias("role"), F.sha2(F.col("x")[3], 256).alias("digest"))
+
+
+@query(
+    """WITH p AS (SELECT *, p_partkey // 50 AS book, p_partkey % 50 + 1 AS row_no FROM part)
+    SELECT 'book-' || book AS doc_id, 'Parts & more' AS sheet, row_no::INT AS row_no, x.c AS "column", x.n::BIGINT AS column_no, x.v AS value
+    FROM p, unnest([{'c': 'A', 'n': 1, 'v': p_partkey::VARCHAR}, {'c': 'B', 'n': 2, 'v': p_name}, {'c': 'AA', 'n': 27, 'v': p_type || ' <&> ' || p_brand}, {'c': 'ABC', 'n': 731, 'v': (p_size * 2)::VARCHAR}]) AS u(x)"""
+)
+def workbook_cells(spark, sf_dir):
+    """Parts as sheets of 50 rows in the XML of a workbook: numbers, shared strings, inline strings, formulas with cached values."""
+    from .sources import workbook
+
+    part = table(spark, sf_dir, "part").select("*", F.concat(F.lit("book-"), F.floor(F.col("p_partkey") / 50).cast("string")).alias("doc_id"), (F.col("p_partkey") % 50 + 1).alias("row_no"))
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lit, col = F.lit, F.col
+    row_no, size = col("row_no").cast("string"), col("p_size").cast("string")
+    # the shared strings of a book are the names of its parts, numbered from the last row
+    cells = F.concat(
+        lit('<c r="A'), row_no, lit('"><v>'), col("p_partkey").cast("string"), lit('</v></c><c r="B'), row_no, lit('" t="s"><v>'), (50 - col("row_no")).cast("string"), lit('</v></c><c r="AA'), row_no, lit('" t="inlineStr"><is><t xml:space="preserve">'),
+        safe(F.concat("p_type", lit(" <&> "), "p_brand")), lit('</t></is></c><c r="ABC'), row_no, lit('" s="3"><f>2*'), size, lit("</f><v>"), (col("p_size") * 2).cast("string"), lit(".0</v></c>"),
+    )
+    row = F.concat(lit('<row r="'), row_no, lit('">'), cells, lit("</row>"))
+    books = part.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", row.alias("row"), safe(col("p_name")).alias("name")))).alias("r"))  # 50 rows at most
+    whole = F.concat(lit('<?xml version="1.0"?><worksheet xmlns="urn:x"><sheetData>'), F.array_join(F.transform("r", lambda x: x["row"]), ""), lit("</sheetData></worksheet>"))
+    names = F.transform(F.sequence(lit(1), lit(50)), lambda i: F.coalesce(F.array_max(F.filter("r", lambda x: x["row_no"] == 51 - i))["name"], lit("")))
+    shared = F.concat(lit('<sst xmlns="urn:x">'), F.array_join(F.transform(names, lambda n: F.concat(lit("<si><r><t>"), F.substring(n, 1, 3), lit('</t></r><r><t xml:space="preserve">'), F.substr(n, lit(4)), lit("</t></r></si>"))), ""), lit("</sst>"))
+    book = lit('<workbook xmlns:r="urn:r"><sheets><sheet name="Parts &amp; more" sheetId="1" r:id="rId7"/></sheets></workbook>')
+    links = lit('<Relationships><Relationship Id="rId7" Target="worksheets/sheet1.xml"/></Relationships>')
+    parts = F.array(*[F.struct(lit(name).alias("name"), text.alias("text")) for name, text in (("xl/worksheets/sheet1.xml", whole), ("xl/sharedStrings.xml", shared), ("xl/workbook.xml", book), ("xl/_rels/workbook.xml.rels", links))])
+    found = workbook.cells(books.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.name", "p.text"))
+    return found.select("doc_id", "sheet", "row_no", "column", "column_no", "value")

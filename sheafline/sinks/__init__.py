@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.answers import answer_text
+from ..operators.graph import EntityGraph
 from ..operators.works import top_row
 
 
@@ -18,6 +19,14 @@ def documents(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("doc_type").json(path)
 
 
+def graph(found: EntityGraph, path: str) -> None:
+    """The entity graph as JSON below ``path``: a folder for each node table, the edges by kind, both logs, and the counts."""
+    for name in ("projects", "clients", "engineers", "documents", "normalizations", "metadata"):
+        getattr(found, name).write.mode("overwrite").json(f"{path}/{name}")
+    found.edges.write.mode("overwrite").partitionBy("kind").json(f"{path}/edges")
+    found.review.write.mode("overwrite").json(f"{path}/needs_review")
+
+
 def log(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").json(path)
 

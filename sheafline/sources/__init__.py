@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.extract import kind_of_file
+from .csv_text import submission as submission
 
 INDEX = "doc_id string, doc_type string, filename string, size_bytes bigint"
 ENVELOPE = "doc_id string, doc_type string, filename string, size_bytes bigint, char_count bigint, page_count bigint, extraction_warnings array<string>, extracted_data string, _corrupt_record string"
@@ -69,19 +70,6 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("qid", "question_id").alias("qid"), "question", "answer_type", "shape", "hops", F.coalesce("answer", "answer_gold").alias("gold"), F.coalesce("scored", F.lit(True)).alias("scored"))
 
 
-def submission(spark: SparkSession, path: str) -> DataFrame:
-    """qid, raw_answer, row_num of a CSV of answers. The heading may be missing; the id's column is question_id or qid, the answer's ``answer``, else the second."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("row_num", "line")).where("trim(line) <> ''")
-    cells = lines.select("row_num", F.from_csv("line", "a string, b string, c string, d string").alias("x")).select("row_num", F.array("x.a", "x.b", "x.c", "x.d").alias("x"))
-    head = lines.where("row_num = 0").select(F.from_csv(F.lower("line"), "a string, b string, c string, d string").alias("x")).collect()
-    names = [(v or "").strip() for v in head[0]["x"]] if head else []
-    titled = any(n in ("question_id", "qid") for n in names)
-    at = next((i for i, n in enumerate(names) if n in ("question_id", "qid")), 0)
-    answer = names.index("answer") if "answer" in names else 1
-    rows = cells.where("row_num > 0") if titled else cells
-    return rows.select(F.trim(F.col("x")[at]).alias("qid"), F.trim(F.col("x")[answer]).alias("raw_answer"), "row_num")
-
-
 def answer_lines(spark: SparkSession, path: str) -> DataFrame:
     """qid, raw_answer, row_num of JSON lines; a malformed line or one without an id fails the read."""
     rows = spark.read.schema("qid string, question_id string, answer string").option("mode", "FAILFAST").json(path).withColumn("row_num", F.monotonically_increasing_id())

@@ -131,3 +131,78 @@ assert e.__file__.startswith({str(tmp_path)!r}) and len(names) > 50 and not [n f
 assert set(e.oracle_sql()) <= set(names)
 """
     subprocess.run([sys.executable, "-c", copy], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)} | {k: v for k, v in os.environ.items() if k in ("JAVA_HOME", "PATH")})
+
+
+def workbook_file(path, sheets: dict[str, str], strings: list[str] | None = None) -> None:
+    """A workbook of hand-written XML: title to rows."""
+    import zipfile
+    from xml.sax.saxutils import quoteattr
+
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", '<workbook xmlns="m" xmlns:r="r"><sheets>' + "".join(f'<sheet name={quoteattr(t)} sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(sheets, 1)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="p">' + "".join(f'<Relationship Id="rId{i}" Type="t" Target="/xl/worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="m"><dimension ref="A1"/><sheetData>{rows}</sheetData></worksheet>')
+        if strings is not None:
+            book.writestr("xl/sharedStrings.xml", '<sst xmlns="m">' + "".join(f"<si>{s}</si>" for s in strings) + "</sst>")
+        book.writestr("docProps/app.xml", "<x/>")
+
+
+def test_workbooks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sheafline.sources import workbook
+
+    rows = '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="C1" t="s"><v>0</v></c></row><row r="3"><c r="A3"><v>2.0</v></c><c r="B3"><f>A3*2</f><v>4</v></c><c r="C3"><f t="shared" si="0">A3+1</f></c><c r="XFD3" t="b"><v>1</v></c></row><row r="4"><c r="A4" s="1"/></row>'
+    workbook_file(tmp_path / "a.xlsx", {"AR Ageing": rows, "Empty & all": "", "No refs": '<row><c t="inlineStr"><is><t> x </t></is></c><c t="str"><v>y</v></c></row><row><c><v>1.5</v></c></row>'}, ["<t>plain</t>", '<r><t xml:space="preserve">rich </t></r><r><t>text</t></r>'])
+    (tmp_path / "bad.xlsx").write_bytes(b"no container")
+    parts = workbook.entries(spark, str(tmp_path))
+    assert [(r["doc_id"], r["warning"] is not None) for r in parts.where("name is null").collect()] == [("bad", True)]
+    found = workbook.cells(parts)
+    got = {(r["sheet"], r["column"], r["row_no"]): (r["value"], r["formula"]) for r in found.collect()}
+    assert got == {
+        ("AR Ageing", "A", 1): ("rich text", None), ("AR Ageing", "C", 1): ("plain", None), ("AR Ageing", "A", 3): ("2", None), ("AR Ageing", "B", 3): ("4", "A3*2"), ("AR Ageing", "C", 3): (None, "A3+1"),
+        ("AR Ageing", "XFD", 3): ("TRUE", None), ("No refs", "A", 1): (" x ", None), ("No refs", "B", 1): ("y", None), ("No refs", "A", 2): ("1.5", None),
+    }
+    assert [tuple(r) for r in workbook.unresolved(found).collect()] == [("a", "Unresolved formula cell at 'AR Ageing'!C3")]
+    sheets = {r["sheet"]: r for r in workbook.tables(found, most=2).collect()}
+    assert sheets["No refs"]["headers"] == [" x ", "y"] and sheets["No refs"]["rows"] == [[" x ", "y"], ["1.5", None]]
+    aged = sheets["AR Ageing"]
+    assert aged["row_count"] == 3 and aged["headers"][:4] == ["rich text", "col_1", "plain", "col_3"] and len(aged["rows"]) == 2 and set(aged["rows"][1]) == {None}
+    letters = spark.range(1, 20_000, 7).select("id", workbook.column_letters(F.col("id")).alias("l"))
+    assert letters.where(workbook.column_number(letters["l"]) != letters["id"]).count() == 0
+    assert workbook.cells(parts.where("false")).count() == 0
+
+
+def csv_pieces(text, size, file="f"):
+    return [(file, at // (3 * size), at, text[at : at + size]) for at in range(0, len(text), size)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_csv_is_read_however_it_is_cut(spark, size):
+    import csv
+    import io
+    import random
+
+    from sheafline.sources import csv_text
+
+    random.seed(size)
+    rows = [["".join(random.choice(['"', ",", "\n", "a", "\r\n", " ", "\u0001", "\u0003", "é"]) for _ in range(random.randint(0, 6))) for _ in range(random.randint(1, 5))] for _ in range(60)]
+    out = io.StringIO()
+    csv.writer(out, quoting=csv.QUOTE_ALL).writerows(rows)
+    text = out.getvalue()
+    made = csv_pieces(text, size) + csv_pieces("x,1\n\n,\ny", size, "g") + [("h", 0, 0, None)]
+    pieces = spark.createDataFrame(made, "file string, chunk int, at int, text string").repartition(5)
+    found = csv_text.records(pieces)
+    got = found.select("file", "row_num", csv_text.cells(found["record"]).alias("x")).orderBy("file", "row_num").collect()
+    assert [(r["row_num"], r["x"]) for r in got if r["file"] == "f"] == list(enumerate(rows))
+    assert [(r["row_num"], r["x"]) for r in got if r["file"] == "g"] == [(0, ["x", "1"]), (1, [""]), (2, ["", ""]), (3, ["y"])]
+    assert [r for r in got if r["file"] == "h"] == [] and csv_text.records(pieces.where("false")).count() == 0
+
+
+def test_submissions_with_line_ends_in_cells(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('Note, QID ,x,y,ANSWER\n"a\nb",q1,,,"1\n2"\n\nshort,q2\n"c",q3,,,5\nd,,,,9\n')
+    got = [(r["qid"], r["raw_answer"], r["row_num"]) for r in sources.submission(spark, str(tmp_path / "n.csv")).orderBy("row_num").collect()]
+    assert got == [("q1", "1\n2", 1), ("q3", "5", 4)]
+    (tmp_path / "e.csv").write_text("")
+    assert sources.submission(spark, str(tmp_path / "e.csv")).count() == 0
