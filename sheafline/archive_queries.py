@@ -286,3 +286,88 @@ def workbook_cells(spark, sf_dir):
     parts = F.array(*[F.struct(lit(name).alias("name"), text.alias("text")) for name, text in (("xl/worksheets/sheet1.xml", whole), ("xl/sharedStrings.xml", shared), ("xl/workbook.xml", book), ("xl/_rels/workbook.xml.rels", links))])
     found = workbook.cells(books.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.name", "p.text"))
     return found.select("doc_id", "sheet", "row_no", "column", "column_no", "value")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def loose_dates(spark, sf_dir):
+    """The dates of orders in ten writings, each among other words and numbers."""
+    from .functions import dates
+
+    day, key = F.col("day"), F.col("o_orderkey")
+    as_text = lambda pattern: F.date_format(day, pattern)
+    ordinal = F.concat(F.dayofmonth(day).cast("string"), F.lit("th"))
+    writings = [
+        F.concat(F.lit("Signed on the "), ordinal, F.lit(" of "), as_text("MMMM"), F.lit(", "), as_text("yyyy"), F.lit(" at Pune, room 4")), as_text("d-MMM-yyyy"),
+        F.concat(F.upper(as_text("MMMM")), F.lit(" "), ordinal, F.lit(" "), as_text("yyyy")), as_text("yyyy MMMM dd"), F.concat(F.lit("no. "), key.cast("string"), F.lit(" dated "), as_text("dd.MM.yyyy")), as_text("'dated' dd-MM-yyyy"), as_text("yyyy/MM/dd"),
+        F.concat(as_text("EEEE, d MMM"), F.lit("., "), as_text("yyyy")), F.concat(F.lit("12 units of 45 works: "), as_text("d MMMM"), F.lit(" '"), as_text("yy")), F.concat(F.lit("at "), as_text("yyyy-M-d"), F.lit("T10:00:00")),
+    ]
+    text = writings[0]
+    for i, writing in enumerate(writings):
+        text = F.when(key % 10 == i, writing).otherwise(text)
+    return orders(spark, sf_dir).select("o_orderkey", dates.loose_date(text).cast("string").alias("day"))
+
+
+@query(
+    """SELECT event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END || '","day":"' || strftime(ts, '%Y-%m-%d') || '","gone":null,"many":null,"tags":'
+    || CASE WHEN event_type < 'm' THEN '["' || event_type || '","m"]' ELSE '["m","' || event_type || '"]' END || ',"user":' || user_id || '}' AS typed,
+    '{"empty":{},"list":[[' || user_id || '],[],"' || event_type || '"],"none":null,"props":' || replace(props, ' ', '') || ',"said \\"so\\"":true}' AS parsed FROM events"""
+)
+def clean_json(spark, sf_dir):
+    """Events as objects with dates, a set and a number that is none, and their text of JSON within other JSON."""
+    from .functions import objects
+
+    e = table(spark, sf_dir, "events")
+    made = F.struct(
+        F.col("ts").cast("timestamp").alias("at"), F.to_date("ts").alias("day"), F.lit(None).cast("string").alias("gone"), F.lit(float("nan")).alias("many"),
+        F.array(F.col("event_type"), F.lit("m"), F.col("event_type")).alias("tags"), F.col("user_id").alias("user"),
+    )
+    text = F.concat(F.lit('{"props": '), F.col("props"), F.lit(', "empty": {}, "list": [['), F.col("user_id").cast("string"), F.lit('], [], "'), F.col("event_type"), F.lit('"], "none": null, "said \\"so\\"": true}'))
+    rows = e.select("event_id", F.to_variant_object(made).alias("typed"), F.parse_json(text).alias("parsed"))
+    one = objects.clean_json(rows, "event_id", "typed", ("tags",)).withColumnRenamed("json", "typed")
+    return one.join(objects.clean_json(rows, "event_id", "parsed").withColumnRenamed("json", "parsed"), "event_id")
+
+
+@query("SELECT user_id AS qid, event_id AS row_num, value AS answer, n > 1 AS duplicated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1")
+def stream_last_answers(spark, sf_dir):
+    """The last answers of events that come as a stream, by way of a log that is written batch by batch."""
+    from . import streaming
+    from .operators.lineage import fresh_path
+
+    # a pattern, for a stream reads folders and patterns only, and the table may be one file
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    folder = fresh_path(spark)
+    answers = streaming.latest_answers(rows.select(F.col("user_id").alias("qid"), F.col("event_id").alias("row_num"), F.col("value").alias("answer")))
+    streaming.append_log(answers, f"{folder}/log", f"{folder}/checkpoint", mode="update", once=True).awaitTermination()
+    return streaming.latest_of_log(streaming.read_log(spark, f"{folder}/log", "qid bigint, row_num bigint, answer double, duplicated boolean"))
+
+
+@query(
+    """SELECT o_orderkey AS k, CAST(o_orderkey * 100000 AS DOUBLE) AS money, 2::BIGINT AS mentions, round(CASE WHEN o_totalprice = 0 THEN 0 ELSE greatest(0.0, 1 - abs(o_totalprice * 0.75 - o_totalprice) / abs(o_totalprice)) END, 9) AS score,
+    'public works department ' || lower(replace(o_orderpriority, '-', ' ')) AS mention, 'value' AS label, o_totalprice::DECIMAL(18,2)::VARCHAR AS value FROM orders"""
+)
+def sql_functions(spark, sf_dir):
+    """The functions that SQL text can use, on orders, in one statement."""
+    from .functions.sql import register
+
+    register(spark)
+    orders(spark, sf_dir).createOrReplaceTempView("sheafline_orders")
+    return spark.sql(
+        r"""SELECT o_orderkey AS k, parse_money(concat('Rs. ', o_orderkey, ' lakhs')) AS money, CAST(size(money_mentions(concat('INR ', o_orderkey, ' and then 5 Cr, not 7'))) AS BIGINT) AS mentions,
+        round(score_one(o_totalprice, o_totalprice * 0.75), 9) AS score, normalize_mention(concat('PWD, ', o_orderpriority)) AS mention, p.label, p.value
+        FROM sheafline_orders, LATERAL label_pairs(concat('**Value:** ', price, '\n')) p WHERE p.kind = 2"""
+    )
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 97 = 0 THEN 'new' ELSE 'old' END AS origin FROM orders UNION ALL SELECT -1 - s_suppkey, 'S', 'new' FROM supplier")
+def upsert_buckets(spark, sf_dir):
+    """Orders as a table in buckets, some of which new rows change and add to."""
+    from . import sinks
+    from .operators.lineage import fresh_path
+
+    path = fresh_path(spark)
+    old = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, "stale").otherwise(F.col("o_orderstatus")).alias("status"), F.lit("old").alias("origin"))
+    sinks.create_table(old, path, "o_orderkey", 16)
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit("new").alias("origin"))
+    new = new.unionByName(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("S").alias("status"), F.lit("new").alias("origin")))
+    sinks.upsert_into(path, new, "o_orderkey", buckets=16)
+    return spark.read.schema("o_orderkey bigint, status string, origin string, _bucket int").parquet(path).drop("_bucket")

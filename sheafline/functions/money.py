@@ -9,6 +9,7 @@ from .basic import strip
 
 # Unit words with their factors.
 UNITS = {"crore": 10_000_000, "crores": 10_000_000, "cr": 10_000_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "thousand": 1_000, "k": 1_000}
+# Patterns of a currency's sign, of an amount and of a mention of money.
 CURRENCY = r"(?:INR|Rs\.?|₹)"
 AMOUNT = r"[\d,]+(?:\.\d+)?"
 # A bare number counts as a mention of money only with one of the large units.

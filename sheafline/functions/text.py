@@ -11,6 +11,12 @@ from .basic import has_any, lines, strip
 # kinds overwrite what is known of a label, the last two only add.
 
 
+# Patterns of a label and its value in a table's cells, after a bold label, and after a plain one.
+CELLS = r"\|(?:\*\*)?([^|]+?)(?:\*\*)?\|([^|\n]+)\|"
+BOLD = r"\*\*(.+?):\*\*\s*(.+)"
+PLAIN = r"(?m)^\s*([A-Za-z0-9\s/_\-\(\)']+):\s*(.+)"
+
+
 def _bare(text: Column) -> Column:
     return strip(F.regexp_replace(text, "[*_]", ""))
 
@@ -22,9 +28,9 @@ def _pairs(text: Column, pattern: str, kind: int) -> Column:
 
 def label_pairs(text: Column) -> Column:
     """All label and value pairs, in the order of their weight."""
-    cells = F.filter(_pairs(text, r"\|(?:\*\*)?([^|]+?)(?:\*\*)?\|([^|\n]+)\|", 1), lambda p: ~p["k"].startswith("---") & (p["k"] != "") & (p["v"] != ""))
-    bold = F.filter(_pairs(text, r"\*\*(.+?):\*\*\s*(.+)", 2), lambda p: (p["k"] != "") & (p["v"] != ""))
-    plain = F.filter(_pairs(text, r"(?m)^\s*([A-Za-z0-9\s/_\-\(\)']+):\s*(.+)", 3), lambda p: (p["k"] != "") & (p["v"] != ""))
+    cells = F.filter(_pairs(text, CELLS, 1), lambda p: ~p["k"].startswith("---") & (p["k"] != "") & (p["v"] != ""))
+    bold = F.filter(_pairs(text, BOLD, 2), lambda p: (p["k"] != "") & (p["v"] != ""))
+    plain = F.filter(_pairs(text, PLAIN, 3), lambda p: (p["k"] != "") & (p["v"] != ""))
     all_lines = lines(text)
     following = F.slice(all_lines, 2, F.greatest(F.size(all_lines) - 1, F.lit(0)))
     next_line = F.transform(F.arrays_zip(F.slice(all_lines, 1, F.size(following)).alias("k"), following.alias("v")), lambda p: F.struct(F.lit(4).alias("kind"), F.lower(_bare(p["k"])).alias("k"), _bare(p["v"]).alias("v")))

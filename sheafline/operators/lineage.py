@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows, worked out once and kept in ``spark.checkpoint.dir``, so that a lost executor loses nothing.
-
-    Where that setting is absent a temporary folder serves if all of Spark runs on this machine; on a cluster this raises.
-    """
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one if all of Spark runs on this machine. On a cluster this raises."""
     context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="sheafline-")
     if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="sheafline-"))
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/sheafline/{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, worked out once and kept in the shared folder, so that a lost executor loses nothing."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

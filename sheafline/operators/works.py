@@ -72,14 +72,52 @@ def largest_gap(rows: DataFrame, keys: list[str], value: str = "contract_value",
     return two.groupBy(*keys).agg((F.max(value) - F.min(value)).alias(name), F.count("*").alias("_n")).where("_n = 2").drop("_n")
 
 
+def _band(value: Column, tolerance) -> Column:
+    """The number of the band of width ``tolerance`` that an exact value lies in."""
+    exact, width = value.cast("decimal(20,2)"), F.lit(tolerance).cast("decimal(20,2)")
+    return ((exact - F.pmod(exact, width)) / width).cast("bigint")
+
+
+def bands(rows: DataFrame, keys: list[Column], value: str, tolerance: float) -> DataFrame:
+    """What each band of values, and its two neighbours, know of ``rows``: _k0, _k1, ..., _band, _n, _least, _most, _below, _above.
+
+    _n, _least and _most are the rows of the band itself, its smallest and its largest value; _below is the largest value of the
+    band before, _above the smallest of the band after. Two values of one band are always closer than the tolerance, and others are
+    only if they are nearest across an edge: so one row for each band says whether a value has a close one,
+    whatever number of rows a key has. Nulls lie in no band.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    exact = rows.where(F.col(value).isNotNull()).select(*named, F.col(value).cast("decimal(20,2)").alias("_v"), _band(F.col(value), tolerance).alias("_b"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = exact.groupBy(*names, "_b").agg(F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    told = own.select(*names, "n", "least", "most", "_b", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_band"))
+    at = lambda step, c: F.max(F.when(F.col("_b") - F.col("_band") == step, F.col(c)))
+    return told.groupBy(*names, "_band").agg(at(0, "n").alias("_n"), at(0, "least").alias("_least"), at(0, "most").alias("_most"), at(-1, "most").alias("_below"), at(1, "least").alias("_above"))
+
+
+def close_to_another(rows: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """The rows whose value is closer than ``tolerance`` to that of another row with the same keys."""
+    told = bands(rows, [F.col(k) for k in keys], value, tolerance)
+    exact, width = F.col(value).cast("decimal(20,2)"), F.lit(tolerance).cast("decimal(20,2)")
+    same = _band(F.col(value), tolerance) == F.col("_band")
+    for i, k in enumerate(keys):
+        same &= F.col(k) == F.col(f"_k{i}")
+    near = (F.col("_n") > 1) | (exact - F.col("_below") < width) | (F.col("_above") - exact < width)
+    return rows.join(told.where("_n is not null"), same & near, "left_semi")
+
+
 def referenced(works: DataFrame, letters: DataFrame, client: str = "client_name", tolerance: float = 1000) -> DataFrame:
     """Adds ``referenced``: a letter has the work's package, or its client and a value closer than ``tolerance``.
 
-    works must have one row for each (client, doc_id).
+    works must have one row for each (client, doc_id). Letters meet works by bands of values, one row a band, so a client
+    with very many letters and works is no more than their number.
     """
     packages = letters.where("nullif(package_code, '') is not null").select(F.lower("package_code").alias("_package")).distinct().withColumn("_by_package", F.lit(True))
-    close = letters.where("contract_value is not null").select(F.lower("issuing_client").alias("_client"), F.col("contract_value").alias("_value")).distinct()
-    near = works.where("contract_value is not null and contract_value <> 0").join(close, (F.lower(client) == F.col("_client")) & (F.abs(F.col("contract_value") - F.col("_value")) < tolerance), "left_semi")
+    told = bands(letters, [F.lower("issuing_client")], "contract_value", tolerance)
+    exact, width = F.col("contract_value").cast("decimal(20,2)"), F.lit(tolerance).cast("decimal(20,2)")
+    close = F.col("_n").isNotNull() | (exact - F.col("_below") < width) | (F.col("_above") - exact < width)
+    in_band = (F.lower(client) == F.col("_k0")) & (_band(F.col("contract_value"), tolerance) == F.col("_band"))
+    near = works.where("contract_value is not null and contract_value <> 0").join(told, in_band & close, "left_semi")
     near = near.select(F.col("doc_id").alias("_doc"), F.lit(True).alias("_by_value")).distinct()
     out = works.join(packages, F.lower("package_code") == F.col("_package"), "left").join(near, F.col("doc_id") == F.col("_doc"), "left")
     return out.withColumn("referenced", F.coalesce("_by_package", "_by_value", F.lit(False))).drop("_package", "_by_package", "_doc", "_by_value")

@@ -189,9 +189,8 @@ def portfolio_dedup_baseline(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) < 1000)")
 def band_semi_join(spark, sf_dir):
-    a, b = (table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").alias(x) for x in "ab")
-    near = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") != F.col("b.o_orderkey")) & (F.abs(F.col("a.o_totalprice") - F.col("b.o_totalprice")) < 1000)
-    return a.join(b, near, "left_semi").select("a.o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return works.close_to_another(rows, ["o_custkey"], "o_totalprice", 1000).select("o_orderkey")
 
 
 @query(

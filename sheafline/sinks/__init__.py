@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import answer_text
 from ..operators.graph import EntityGraph
+from ..operators.lineage import cut
 from ..operators.works import top_row
 
 
@@ -43,6 +44,42 @@ def upsert(table: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     return top_row(both, [key], [F.desc("_new")]).drop("_new")
 
 
+#: The column by which an upserted table is partitioned.
+BUCKET = "_bucket"
+
+
+def _with_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+
+
+def create_table(rows: DataFrame, path: str, key: str = "doc_id", buckets: int = 256) -> None:
+    """Writes a table that ``upsert_into`` can change: partitioned by buckets of its key, one row for each key."""
+    one = top_row(rows, [key], [F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))])])
+    _with_bucket(one, key, buckets).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def upsert_into(path: str, new: DataFrame, key: str = "doc_id", order: str | None = None, buckets: int = 256) -> list[int]:
+    """New rows take the place of those with the same key, in the buckets that they touch; the others are neither read nor written.
+
+    Of new rows with one key the one with the largest ``order`` stands (without one, any of those that differ, the same each
+    time). Those buckets are worked out in full before one of them is replaced, and Spark puts them in their places only when
+    all are written: a run that breaks off before leaves the table as it was, and can be repeated. A null key is a key.
+    Returns the buckets that were replaced.
+    """
+    spark = new.sparkSession
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in new.columns])))
+    added = _with_bucket(new, key, buckets).withColumn("_new", F.lit(1))
+    added = cut(top_row(added, [key], [*([F.col(order).desc_nulls_last()] if order else []), row]))
+    touched = sorted(r[0] for r in added.select(BUCKET).distinct().collect())  # ``buckets`` at most
+    if not touched:
+        return []
+    kept = spark.read.schema(f"{new._jdf.schema().toDDL()}, {BUCKET} int").parquet(path).where(F.col(BUCKET).isin(touched)).withColumn("_new", F.lit(0))
+    both = kept.unionByName(added)
+    after = cut(top_row(both, [key], [F.desc("_new")]).drop("_new"))
+    after.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return touched
+
+
 def history(summary: DataFrame, path: str) -> None:
     """Append a row of scores with its time."""
     summary.withColumn("at", F.current_timestamp()).write.mode("append").json(path)

@@ -3,6 +3,8 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from sheafline import sinks
 from sheafline.operators import graph, resolve
 from sheafline.plans import ask
@@ -119,3 +121,83 @@ def test_later_layers_get_only_what_is_left(spark, monkeypatch):
     seen.clear()
     resolve.resolve(said.where("qid = '1'"), names)
     assert seen == []
+
+
+def test_bands_find_what_a_full_comparison_finds(spark):
+    import decimal
+
+    from sheafline.operators import works
+
+    random.seed(6)
+    value = lambda: decimal.Decimal(random.choice([random.randint(-400_000, 400_000), random.randint(0, 60) * 10_000, -10_000, 0])) / 100
+    rows = [(i, random.choice(["a", "b", None]), random.choice([value(), None])) for i in range(250)] + [(900 + i, "hot", decimal.Decimal(i * 1000)) for i in range(300)]
+    table = spark.createDataFrame(rows, "id int, k string, v decimal(18,2)").repartition(3)
+    want = {i for i, k, v in rows if k is not None and v is not None and any(j != i and k == q and w is not None and abs(v - w) < 1000 for j, q, w in rows)}
+    got = [r["id"] for r in works.close_to_another(table, ["k"], "v", 1000).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert works.close_to_another(table.where("false"), ["k"], "v", 1000).count() == 0
+    letters = [(None, "A" if k == "a" else k, v) for _, k, v in rows[:60]]
+    made = table.select(F.col("id").cast("string").alias("doc_id"), F.col("k").alias("client_name"), F.lit(None).cast("string").alias("package_code"), F.col("v").alias("contract_value"))
+    flags = {r["doc_id"]: r["referenced"] for r in works.referenced(made, spark.createDataFrame(letters, "package_code string, issuing_client string, contract_value decimal(18,2)")).collect()}
+    assert flags == {str(i): bool(k and v and any(q and q.lower() == k and w is not None and abs(v - w) < 1000 for _, q, w in letters)) for i, k, v in rows}
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = [(f"d{i}", i, "old") for i in range(200)] + [("d1", 1, "twin"), (None, -1, "old")]
+    sinks.create_table(spark.createDataFrame(old, "doc_id string, n int, origin string"), path, buckets=32)
+    read = lambda: {r["doc_id"]: (r["n"], r["origin"]) for r in spark.read.schema("doc_id string, n int, origin string, _bucket int").parquet(path).collect()}
+    first = read()
+    assert len(first) == 201
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([("d5", 1, "new"), ("d5", 3, "newer"), ("x", 0, "new"), (None, 9, "new")], "doc_id string, n int, origin string")
+    touched = sinks.upsert_into(path, new, order="n", buckets=32)
+    assert 1 <= len(touched) <= 3 and read() == first | {"d5": (3, "newer"), "x": (0, "new"), None: (9, "new")}
+    after = files()
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if int(f.parent.name.split("=")[1]) not in touched}
+    assert sinks.upsert_into(path, new, order="n", buckets=32) == touched and read()["d5"] == (3, "newer")  # repeated, it changes nothing
+    assert sinks.upsert_into(path, new.where("false"), buckets=32) == []
+
+
+def test_objects_of_any_shape_become_plain_json(spark):
+    import json
+
+    from sheafline.functions import objects
+
+    texts = ['{"b": [1, {"c": null, "a": "x\\"y"}, []], "a": {}}', "[]", '"é\\n"', "1.50", "true", "null", '{"t": [3, 1, 3, "z"], "u": {"t": [{"q": 2}, {"q": 1}, {"q": 2}]}}', None]
+    rows = spark.createDataFrame([(i % 7 if i else None, t) for i, t in enumerate(texts)], "k int, t string").select("k", F.parse_json("t").alias("v"))
+    got = sorted(r["json"] for r in objects.clean_json(rows, "k", "v", sets=("t",)).collect())
+    want = ['{"a":{},"b":[1,{"a":"x\\"y","c":null},[]]}', "[]", '"é\\n"', "1.5", "true", "null", '{"t":["z",1,3],"u":{"t":[{"q":1},{"q":2}]}}', "null"]
+    assert got == sorted(want) and [json.loads(t) for t in got]
+    typed = spark.sql("SELECT 1 AS k, to_variant_object(named_struct('d', DATE'2020-02-03', 'n', double('NaN'), 'i', float('-Infinity'), 't', TIMESTAMP'2020-02-03 04:05:06.7', 'm', map('x', 1.25BD))) AS v")
+    assert objects.clean_json(typed, "k", "v").first()["json"] == '{"d":"2020-02-03","i":null,"m":{"x":1.25},"n":null,"t":"2020-02-03T04:05:06.700000"}'
+    assert objects.clean_json(rows.where("false"), "k", "v").count() == 0
+
+
+def test_sql_text_can_use_the_functions(spark):
+    from sheafline.functions import text as T
+    from sheafline.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT parse_money('INR 1.5 Cr') AS a, parse_money(NULL) AS b, score_one(10, 9) AS c, score_one(0, NULL) AS d, normalize_mention('PWD, UP') AS e, money_mentions('Rs 5 and 2 lakh') AS f").first()
+    assert row[:5] == (15_000_000.0, None, 0.9, 0.0, "public works department uttar pradesh") and [tuple(m) for m in row["f"]] == [("Rs 5", 5.0), ("2 lakh", 200_000.0)]
+    said = "|Client|Port Trust|\n|---|---|\n**Value:** 5 Cr\nDate: 2021-01-02\nIssued\n 3 May \n\nend: "
+    spark.createDataFrame([(said,), (None,), ("",)], "t string").createOrReplaceTempView("said")
+    got = {(r["kind"], r["label"], r["value"]) for r in spark.sql("SELECT p.* FROM said, LATERAL label_pairs(t) p").collect()}
+    want = {(p["kind"], p["k"], p["v"]) for p in spark.table("said").select(F.explode(T.label_pairs(F.col("t"))).alias("p")).select("p.*").collect()}
+    assert got == want and (4, "issued", "3 May") in got and (1, "client", "Port Trust") in got
+
+
+def test_dates_in_any_writing(spark):
+    from sheafline.functions import dates
+
+    cases = [
+        ("the 3rd of May, 2021", D(2021, 5, 3)), ("May 3rd 2021", D(2021, 5, 3)), ("2021 Sept 9", D(2021, 9, 9)), ("7-sep-99", D(1999, 9, 7)), ("05.06.2020", D(2020, 6, 5)), ("13/02/2020", D(2020, 2, 13)), ("02-13-2020", D(2020, 2, 13)),
+        ("2020.06.05", D(2020, 6, 5)), ("Contract 12 of 1999 dated June 5, 2021", D(2021, 6, 5)), ("no date", None), ("May 2021", None), ("31 Feb 2020", None), (None, None), ("", None), ("1 Jan 2020 and 2 Feb 2021", D(2020, 1, 1)), ("123456", None), ("march on 5", None),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", dates.loose_date(F.col("t")).alias("d"), dates.loose_date(F.col("t"), day_first=False).alias("m"))
+    got = {r["i"]: r for r in rows.collect()}
+    assert [(t, got[i]["d"]) for i, (t, _) in enumerate(cases)] == cases
+    assert got[4]["m"] == D(2020, 5, 6) and got[5]["m"] == D(2020, 2, 13)
+    assert spark.range(1).select(dates.parse_date(F.lit("7-sep-99"), loose=True).alias("d")).first()["d"] == D(1999, 9, 7)

@@ -109,15 +109,32 @@ def test_orchestration_solves_what_is_not_kept(spark):
 
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0, datetime.datetime(2024, 1, 1, 0, 0)), ("a", 2.0, datetime.datetime(2024, 1, 1, 0, 5)), ("b", 3.0, datetime.datetime(2024, 1, 1, 0, 9))], "qid string, value double, ts timestamp")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = streaming.latest_answers(stream).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r["qid"] for r in spark.table("once").collect()} == {"a", "b"} and spark.table("once").count() == 2
     counts = streaming.windowed_counts(rows, "10 minutes", "1 hour").collect()
     assert [(r["n"], r["total"]) for r in counts] == [(3, 6.0)]
 
 
+def test_the_last_answer_of_a_stream_stands(spark, tmp_path):
+    """Answers come in three files, out of order, with ties, nulls and repeated rows; each file is a batch."""
+    from sheafline.operators.works import last_write_wins
+
+    path, log, checkpoint = (str(tmp_path / x) for x in ("in", "log", "checkpoint"))
+    schema = "qid string, answer double, row_num int"
+    parts = [[("a", 1.0, 5), ("b", 2.0, 1), (None, 9.0, 1)], [("a", 7.0, 2), ("b", 3.0, 4), ("b", 3.0, 4)], [("a", 8.0, 9), ("c", None, 1), (None, 4.0, 3)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        streaming.append_log(streaming.latest_answers(stream), log, checkpoint, mode="update", once=True).awaitTermination()
+    answers = streaming.read_log(spark, log, "qid string, row_num int, answer double, duplicated boolean")
+    assert {r["_batch"] for r in answers.collect()} == {0, 1, 2}
+    want = {tuple(r) for r in last_write_wins(spark.read.schema(schema).parquet(path)).select("qid", "row_num", "answer", "duplicated").collect()}
+    got = [tuple(r) for r in streaming.latest_of_log(answers).select("qid", "row_num", "answer", "duplicated").collect()]
+    assert len(got) == 4 and set(got) == want
+    # a batch that is written again changes nothing
+    before = sorted(map(str, answers.collect()))
+    streaming.write_batch(spark.createDataFrame([tuple(r)[:4] for r in answers.where("_batch = 1").collect()], "qid string, row_num int, answer double, duplicated boolean"), 1, log)
+    assert sorted(map(str, streaming.read_log(spark, log, "qid string, row_num int, answer double, duplicated boolean").collect())) == before
+
+
 @pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
 def test_the_entry_works_without_the_optional_parts(tmp_path, gone):
     """A copy of the library without the subpackage, and with or without the pipeline, imports and lists its other queries."""
