@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.basic import first_known, found, has_any, lines, strip
 from ..functions.dates import dates_named, parse_date
 from ..functions.money import cell_value, money_mentions, parse_money
-from ..functions.names import category_in_parentheses, letterhead_client, package_code, package_mention, without_parenthesis
-from ..functions.text import grading_sentence, line_after, line_before, table_rows, with_key_values
+from ..functions.names import letterhead_client, package_code, package_mention, without_parenthesis
+from ..functions.text import grading_sentence, table_rows, with_key_values
 
 # Labels of the fields, in their order.
 LABELS = {
@@ -49,8 +49,47 @@ LABELS = {
 LETTERHEAD = ("authority", "department", "dept", "office", "corporation", "corp", "bureau", "board", "limited", "ltd")
 NOT_LETTERHEAD = ("no.", "dated", "certificate", "office of")
 NOT_ISSUER = ("ref:", "date:", "subject:", "to whomsoever", "this letter", "page ")
-DAY = r"\d{1,2}[-/\s]\d{1,2}[-/\s]\d{2,4}|\d{4}-\d{2}-\d{2}"
-QUOTE, END_QUOTE = "[\"“”’'?]?", "[\"“”’'?]"
+# Patterns of the phrases that hold a field, read in any case unless named otherwise.
+PHRASES = {
+    "cert_project_awarded": r"""work of\s+["“’\'\?]?([^"”’\'\?\n]+?)["“”’\'\?]?(?:\s*\([^)]+\))?,\s*awarded""",
+    "cert_project": r"""work\s+(?:of\s+)?["“’\'\?]?([^"”’\'\?\n]+)["“”’\'\?]""",
+    "cert_end": r"""completed\s+(?:in all respects\s+)?on\s+([\d]{1,2}[-/\s][\d]{1,2}[-/\s][\d]{2,4}|[\d]{4}-\d{2}-\d{2}|[\d]{1,2}\s+[A-Za-z]+\s+[\d]{4})""",
+    "cert_lead": r"""supervised\s+(?:on the contractor\'s side\s+)?by\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)""",
+    "letter_subject": r"""Subject:.*?[“"’\'\?]?([^”"’\'\?\n]+?Pkg-[A-Za-z0-9-]+)[”"’\'\?]?""",
+    "letter_project": r"""for the work\s+[“"’\'\?]?([^”"’\'\?\n]+?)[”"’\'\?]?(?:\s*\((?:INR|Rs))?""",
+    "letter_end": r"""(?:completed|finished)\s+(?:on\s+)?([\d]{1,2}[-/\s][\d]{1,2}[-/\s][\d]{2,4}|[\d]{4}-\d{2}-\d{2}|[A-Za-z]+\s+[\d]{1,2},\s+[\d]{4})""",
+    "bond_project": r"""work of\s+["“’\'\?]?([^"”’\'\?\n]+?)["“”’\'\?]""",
+    "bond_bank": r"""(?:we,)\s+\*\*?([^*]+?(?:Bank|Financial))\*\*?""",
+    "bond_for": r"""To:\s*\n+([^\n]+)""",
+    "bond_amount": r"""exceeding\s+\*\*?([^*]+?)\*\*?""",
+    "bond_issue": r"""Issue Date:\s*([\d]{4}-\d{2}-\d{2}|[\d]{1,2}[-/\s][\d]{1,2}[-/\s][\d]{2,4})""",
+    "bond_end": r"""until\s+\*\*?([\d]{4}-\d{2}-\d{2}|[\d]{1,2}[-/\s][\d]{1,2}[-/\s][\d]{2,4})\*\*?""",
+    "person": r"""certify that\s*\n+#\s*\*\*([^*]+)\*\*""",
+    "employee_id": r"""Employee ID:\s*(EMP-[\d]+)""",
+    "credential_id": r"""Credential ID:\s*([A-Za-z0-9-]+)""",
+    "issued": r"""Issued:\s*([\d]{4}-\d{2}-\d{2})""",
+    "cv_row": r"""\|(?:\d+)?\|([^|]+)\|([^|]+)\|([^|]+)\|([^|]+)\|""",
+    "bill_client": r"""Contract\s+#[\d]+\s*·\s*([^\n]+)""",
+    # the second set, for texts that are read by lines
+    "line_project": r"""work of\s+[“"]([^”"]+)[”"]""",
+    "line_category": r"""\((buildings|bridges flyovers|water treatment|sewerage drainage|roads maintenance|tunnels|industrial epc|power infra|dam|drainage|large bridges|small buildings)\)""",
+    "line_value": r"""executed value of\s+([^(\n]+(?:\([^)]+\))?)""",
+    "line_end": r"""completed\s+(?:in all respects\s+)?on\s*([A-Za-z]+\s+\d{1,2},\s*\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s+[A-Za-z]+\s+\d{4})""",
+    "line_grade": r"""overall quality of the completed work is graded\s+([A-Za-z]+)""",
+    "line_letter_project": r"""for the work\s+[“"]?([^”"\n]+?)[”"]?\s*\((INR|Rs)""",
+    "line_person": r"""certify that\s*\n+([A-Z][A-Za-z\s]+)""",
+    "line_awarded": r"""awarded to\s+([A-Z][A-Za-z\s]+)""",
+    "line_credential": r"""(?:Credential ID|License No|Registration No):\s*([A-Za-z0-9-]+)""",
+    "line_issued": r"""(?:Issued|Date of Issue):\s*([\d]{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|[A-Za-z]+\s+\d{1,2},\s*\d{4})""",
+    "line_valid": r"""(?:Valid Through|Expiry Date):\s*([\d]{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|[A-Za-z]+\s+\d{1,2},\s*\d{4})""",
+}
+# Patterns whose letters' case counts.
+EXACT_PHRASES = {
+    "line_lead": r"""supervised on the contractor\'s side by\s+([A-Z][A-Za-z\s]+?)\.""",
+    "line_employee": r"""EMP-[\d]+""",
+    "line_designation": r"""Designation:\s*([^\n]+)""",
+    "line_cv_project": r"""(?:Project|Work):\s*([^\n]+?)\s*·\s*(Pkg-[\d\w-]+)""",
+}
 SUMMARY, GENERIC_SUMMARY = 500, 1000
 # Kinds of documents by parts of their file names, in their order.
 FILE_KINDS = (
@@ -59,6 +98,12 @@ FILE_KINDS = (
 )
 
 
+def _said(text: Column, phrase: str, group: int = 1) -> Column:
+    """What a phrase holds, stripped; null where the text does not say it."""
+    pattern = EXACT_PHRASES[phrase] if phrase in EXACT_PHRASES else f"(?i){PHRASES[phrase]}"
+    return F.nullif(strip(found(text, pattern, group)), F.lit(""))
+
+
 def kind_of_file(name: Column) -> Column:
     """The kind of a document from its file name; the order of the tests matters. Workbooks by their ending, certificates if nothing fits."""
     low = F.lower(name)
@@ -106,8 +151,8 @@ def certificates(docs: DataFrame) -> DataFrame:
     text, kv = F.col("text"), F.col("kv")
     project = F.coalesce(
         first_known(kv, LABELS["cert_project"]),
-        strip(found(text, rf"(?i)work of\s+{QUOTE}([^\"”’'?\n]+?){QUOTE}(?:\s*\([^)]+\))?,\s*awarded")),
-        strip(found(text, rf"(?i)work\s+(?:of\s+)?{QUOTE}([^\"”’'?\n]+){END_QUOTE}")),
+        _said(text, "cert_project_awarded"),
+        _said(text, "cert_project"),
     )
     headed = _first_line(text, lambda line: has_any(F.lower(line), LETTERHEAD) & ~_starts(F.lower(line), NOT_LETTERHEAD))
     client = F.coalesce(first_known(kv, LABELS["cert_client"]), F.nullif(_plain(headed), F.lit("")), F.nullif(_plain(F.try_element_at(lines(text), F.lit(1))), F.lit("")))
@@ -116,8 +161,8 @@ def certificates(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "doc_type", "project_name", _package(kv, F.col("project_name"), text).alias("package_code"), client.alias("client_name"),
         value.alias("contract_value"), raw.alias("raw_contract_value"), first_known(kv, LABELS["cert_start"]).alias("start_date"),
-        F.coalesce(first_known(kv, LABELS["cert_end"]), strip(found(text, rf"(?i)completed\s+(?:in all respects\s+)?on\s+({DAY}|\d{{1,2}}\s+[A-Za-z]+\s+\d{{4}})"))).alias("completion_date"),
-        F.coalesce(first_known(kv, LABELS["cert_lead"]), strip(found(text, r"(?i)supervised\s+(?:on the contractor's side\s+)?by\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"))).alias("project_lead"),
+        F.coalesce(first_known(kv, LABELS["cert_end"]), _said(text, "cert_end")).alias("completion_date"),
+        F.coalesce(first_known(kv, LABELS["cert_lead"]), _said(text, "cert_lead")).alias("project_lead"),
         grading_sentence(text).alias("grading_text"),
     )
 
@@ -126,8 +171,8 @@ def reference_letters(docs: DataFrame) -> DataFrame:
     text, kv = F.col("text"), F.col("kv")
     project = F.coalesce(
         first_known(kv, LABELS["letter_project"]),
-        strip(found(text, rf"(?i)Subject:.*?{QUOTE}([^\"”’'?\n]+?Pkg-[A-Za-z0-9-]+)")),
-        strip(found(text, rf"(?i)for the work\s+{QUOTE}([^\"”’'?\n]+?){QUOTE}(?:\s*\((?:INR|Rs))?")),
+        _said(text, "letter_subject"),
+        _said(text, "letter_project"),
     )
     issuer = _first_line(text, lambda line: ~_starts(F.lower(_plain(line)), NOT_ISSUER))
     raw, value = _money(kv, "letter_value", text)
@@ -135,26 +180,26 @@ def reference_letters(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "project_name", _package(kv, F.col("project_name"), text).alias("package_code"),
         F.coalesce(first_known(kv, LABELS["letter_client"]), _plain(issuer)).alias("issuing_client"), value.alias("contract_value"), raw.alias("raw_contract_value"),
-        F.coalesce(first_known(kv, LABELS["letter_end"]), strip(found(text, rf"(?i)(?:completed|finished)\s+(?:on\s+)?({DAY}|[A-Za-z]+\s+\d{{1,2}},\s+\d{{4}})"))).alias("completion_date"),
+        F.coalesce(first_known(kv, LABELS["letter_end"]), _said(text, "letter_end")).alias("completion_date"),
         F.substring(text, 1, SUMMARY).alias("recommendation_summary"),
     )
 
 
 def performance_bonds(docs: DataFrame) -> DataFrame:
     text, kv = F.col("text"), F.col("kv")
-    project = F.coalesce(first_known(kv, LABELS["bond_project"]), strip(found(text, rf"(?i)work of\s+{QUOTE}([^\"”’'?\n]+?){END_QUOTE}")))
+    project = F.coalesce(first_known(kv, LABELS["bond_project"]), _said(text, "bond_project"))
     bank_line = F.try_element_at(F.filter(F.slice(F.split(text, "\n"), 1, 5), lambda line: F.contains(F.lower(line), F.lit("bank"))), F.lit(1))
     labelled = first_known(kv, LABELS["bond_amount"])
-    stated = strip(found(text, r"(?i)exceeding\s+\*\*?([^*]+?)\*\*?"))
+    stated = _said(text, "bond_amount")
     raw = F.when(parse_money(labelled).isNotNull(), labelled).otherwise(F.coalesce(stated, labelled))
     rows = _labelled(docs, ("performance_bond",)).withColumn("project_name", project)
     return rows.select(
         "doc_id", "project_name", _package(kv, F.col("project_name"), text).alias("package_code"),
-        F.coalesce(first_known(kv, LABELS["bond_bank"]), strip(found(text, r"(?i)(?:we,)\s+\*\*?([^*]+?(?:Bank|Financial))\*\*?")), _plain(bank_line)).alias("issuing_bank"),
-        F.coalesce(first_known(kv, LABELS["bond_for"]), strip(found(text, r"(?i)To:\s*\n+([^\n]+)"))).alias("beneficiary"),
+        F.coalesce(first_known(kv, LABELS["bond_bank"]), _said(text, "bond_bank"), _plain(bank_line)).alias("issuing_bank"),
+        F.coalesce(first_known(kv, LABELS["bond_for"]), _said(text, "bond_for")).alias("beneficiary"),
         parse_money(raw).alias("guarantee_amount"), raw.alias("raw_guarantee_amount"),
-        F.coalesce(first_known(kv, LABELS["bond_issue"]), found(text, rf"(?i)Issue Date:\s*({DAY})")).alias("issue_date"),
-        F.coalesce(first_known(kv, LABELS["bond_end"]), found(text, rf"(?i)until\s+\*\*?({DAY})\*\*?")).alias("expiry_date"),
+        F.coalesce(first_known(kv, LABELS["bond_issue"]), _said(text, "bond_issue")).alias("issue_date"),
+        F.coalesce(first_known(kv, LABELS["bond_end"]), _said(text, "bond_end")).alias("expiry_date"),
     )
 
 
@@ -166,11 +211,11 @@ def personnel_certificates(docs: DataFrame) -> DataFrame:
     text, kv = F.col("text"), F.col("kv")
     return _labelled(docs, ("personnel_certificate",)).select(
         "doc_id",
-        F.coalesce(first_known(kv, LABELS["person"]), strip(found(text, r"(?i)certify that\s*\n+#\s*\*\*([^*]+)\*\*"))).alias("engineer_name"),
-        F.coalesce(first_known(kv, ("employee id",)), found(text, r"(?i)Employee ID:\s*(EMP-\d+)")).alias("employee_id"),
+        F.coalesce(first_known(kv, LABELS["person"]), _said(text, "person")).alias("engineer_name"),
+        F.coalesce(first_known(kv, ("employee id",)), _said(text, "employee_id")).alias("employee_id"),
         F.coalesce(first_known(kv, LABELS["credential"]), credential_type(text)).alias("certification_type"),
-        F.coalesce(first_known(kv, LABELS["credential_id"]), found(text, r"(?i)Credential ID:\s*([A-Za-z0-9-]+)")).alias("credential_id"),
-        F.coalesce(first_known(kv, LABELS["issued"]), found(text, r"(?i)Issued:\s*(\d{4}-\d{2}-\d{2})")).alias("issue_date"),
+        F.coalesce(first_known(kv, LABELS["credential_id"]), _said(text, "credential_id")).alias("credential_id"),
+        F.coalesce(first_known(kv, LABELS["issued"]), _said(text, "issued")).alias("issue_date"),
         first_known(kv, LABELS["valid"]).alias("expiry_date"),
     )
 
@@ -179,8 +224,7 @@ def cvs(docs: DataFrame) -> DataFrame:
     """CVs with projects_led, from table rows of four cells after an optional number."""
     text, kv = F.col("text"), F.col("kv")
     names = ("project_name", "package_code", "client", "role")
-    pattern = r"\|(?:\d+)?\|([^|]+)\|([^|]+)\|([^|]+)\|([^|]+)\|"
-    columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    columns = [F.regexp_extract_all(text, F.lit(PHRASES["cv_row"]), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
     led = F.transform(F.arrays_zip(*columns), lambda r: F.struct(*[strip(r[n]).alias(n) for n in names]))
     led = F.filter(led, lambda r: ~r["project_name"].startswith("---") & ~F.contains(F.lower(r["project_name"]), F.lit("project name")))
     fields = (("engineer_name", "name"), ("employee_id", "employee id"), ("designation", "designation"), ("total_experience", "total experience"), ("qualification", "qualification"))
@@ -196,7 +240,7 @@ def bills(docs: DataFrame) -> DataFrame:
     items = F.transform(items, lambda r: F.struct(F.replace(r[0], F.lit("*"), F.lit("")).alias("item_no"), r[1].alias("description"), r[2].alias("unit"), cell_value(r[3]).alias("rate"), cell_value(r[4]).alias("qty"), cell_value(r[5]).alias("amount")))
     return _labelled(docs, ("ra_bill", "final_ra_bill")).select(
         "doc_id", "doc_type", first_known(kv, LABELS["bill_project"]).alias("project_name"), first_known(kv, ("package code",)).alias("package_code"),
-        F.coalesce(first_known(kv, LABELS["bill_client"]), strip(found(text, r"(?i)Contract\s+#\d+\s*·\s*([^\n]+)"))).alias("client_name"),
+        F.coalesce(first_known(kv, LABELS["bill_client"]), _said(text, "bill_client")).alias("client_name"),
         first_known(kv, LABELS["bill_no"]).alias("bill_number"), first_known(kv, LABELS["bill_date"]).alias("bill_date"),
         value.alias("contract_value"), billed.alias("billed_value"), items.alias("boq_items"),
     )
@@ -208,38 +252,86 @@ def generic(docs: DataFrame) -> DataFrame:
     return with_key_values(docs, name="key_values").select("doc_id", "doc_type", "key_values", money_mentions(text).alias("money_mentions"), dates_named(text).alias("extracted_dates"), F.substring(text, 1, GENERIC_SUMMARY).alias("summary_text"))
 
 
+def _next_line(all_lines: Column, test, fits=None) -> Column:
+    """The line after the first one that passes ``test`` and whose next line ``fits``."""
+    pairs = F.arrays_zip(F.slice(all_lines, 1, F.greatest(F.size(all_lines) - 1, F.lit(0))).alias("k"), F.slice(all_lines, 2, F.size(all_lines)).alias("v"))
+    hits = F.filter(pairs, lambda p: test(F.lower(p["k"])) & (fits(p["v"]) if fits else F.lit(True)))
+    return F.try_element_at(hits, F.lit(1))["v"]
+
+
+def _with_lines(docs: DataFrame, *kinds: str) -> DataFrame:
+    return docs.where(F.col("doc_type").isin(*kinds)).withColumn("_lines", F.coalesce(lines(F.col("text")), F.array().cast("array<string>")))
+
+
+def _letterhead() -> Column:
+    return letterhead_client(F.try_element_at("_lines", F.lit(1)), F.try_element_at("_lines", F.lit(2)))
+
+
+def _first_mention(text: Column) -> Column:
+    return F.try_element_at(money_mentions(text), F.lit(1))["value"]
+
+
 def line_certificates(docs: DataFrame) -> DataFrame:
-    """Completion certificates by lines: a label stands alone and its value on the next line."""
-    text = F.col("text")
-    rows = docs.where(F.col("doc_type").isin("completion_certificate", "company_completion_certificate"))
-    name = F.coalesce(line_after(text, "name of work"), line_after(text, "project name"))
-    first = F.try_element_at(money_mentions(text), F.lit(1))
+    """Completion certificates by lines: a label stands alone and its value on the next line; phrases come before or after, as the field has it. A null text has no fields."""
+    text, all_lines = F.col("text"), F.col("_lines")
+    starts = lambda line, word: F.startswith(F.lower(line), F.lit(word))
+    has = lambda line, word: F.contains(line, F.lit(word))
+    named = _next_line(all_lines, lambda k: k.isin("name of work", "particulars of the work"), lambda v: ~starts(v, "nature"))
+    worth = _next_line(all_lines, lambda k: has(k, "contract value") | has(k, "executed value"), lambda v: F.coalesce(parse_money(v) != 0, F.lit(False)))
+    completed = F.filter(F.transform(F.arrays_zip(F.slice(all_lines, 1, F.greatest(F.size(all_lines) - 1, F.lit(0))).alias("k"), F.slice(all_lines, 2, F.size(all_lines)).alias("v")), lambda p: F.when(F.lower(p["k"]).isin("completion date", "actual completion date"), parse_date(p["v"], loose=True))), lambda d: d.isNotNull())
+    manager = _next_line(all_lines, lambda k: has(k, "contractor") & has(k, "manager"), lambda v: (F.length(v) < 40) & ~starts(v, "national"))
+    triples = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), all_lines).alias("before"), all_lines.alias("line"), F.slice(all_lines, 2, F.size(all_lines)).alias("after"))
+    signed = F.filter(triples, lambda t: (F.lower(t["line"]) == "project manager") & has(F.lower(t["after"]), "national infra") & t["before"].isNotNull())
+    rows = _with_lines(docs, "completion_certificate", "company_completion_certificate")
+    rows = rows.withColumn("project_name", strip(without_parenthesis(F.coalesce(named, _said(text, "line_project")))))
     return rows.select(
-        "doc_id", "doc_type", without_parenthesis(name).alias("project_name"), package_code(text).alias("package_code"),
-        F.coalesce(line_after(text, "client"), letterhead_client(F.try_element_at(lines(text), F.lit(1)), F.try_element_at(lines(text), F.lit(2)))).alias("client_name"),
-        F.coalesce(F.lower(line_after(text, "category")), category_in_parentheses(text)).alias("category"),
-        first["value"].alias("contract_value"), first["raw"].alias("raw_contract_value"),
-        parse_date(F.coalesce(line_after(text, "completion date"), line_after(text, "date of completion"), text)).alias("completion_date"),
-        F.coalesce(line_after(text, "project manager"), line_before(text, "project manager")).alias("project_lead"),
-        F.lower(found(text, r"(?i)graded\s+(\w+)")).alias("grade"),
+        "doc_id", "doc_type", "project_name", package_code(F.col("project_name")).alias("package_code"), _letterhead().alias("client_name"),
+        F.coalesce(_next_line(all_lines, lambda k: has(k, "category")), _said(text, "line_category")).alias("category"),
+        F.coalesce(parse_money(worth), parse_money(_said(text, "line_value")), _first_mention(text)).alias("contract_value"),
+        F.coalesce(parse_date(_said(text, "line_end"), loose=True), F.try_element_at(completed, F.lit(1))).alias("completion_date"),
+        F.coalesce(manager, _said(text, "line_lead"), F.try_element_at(signed, F.lit(1))["before"]).alias("project_lead"),
+        _said(text, "line_grade").alias("grade"),
     )
 
 
+def line_letters(docs: DataFrame) -> DataFrame:
+    """Reference letters by lines."""
+    text, all_lines = F.col("text"), F.col("_lines")
+    project = F.coalesce(_said(text, "line_letter_project"), _next_line(all_lines, lambda k: k.isin("name of work", "project title", "work")))
+    rows = _with_lines(docs, "reference_letter").withColumn("project_name", project)
+    return rows.select("doc_id", "project_name", package_code(F.col("project_name")).alias("package_code"), _letterhead().alias("issuing_client"), _first_mention(text).alias("contract_value"), parse_date(text).alias("completion_date"))
+
+
+def line_bonds(docs: DataFrame) -> DataFrame:
+    """Performance bonds by lines: their amount is the first that the text names."""
+    return docs.where("doc_type = 'performance_bond'").select("doc_id", _first_mention(F.col("text")).alias("guarantee_amount"))
+
+
 def line_personnel(docs: DataFrame) -> DataFrame:
+    """Personnel certificates by phrases."""
     text = F.col("text")
+    kind = F.when(F.contains(text, F.lit("PMP")) | F.contains(text, F.lit("Project Management Professional")), "PMP").when(F.contains(text, F.lit("Six Sigma")), "Six Sigma Black Belt")
     return docs.where("doc_type = 'personnel_certificate'").select(
-        "doc_id", F.coalesce(line_after(text, "employee name"), line_after(text, "this is to certify that")).alias("engineer_name"), found(text, r"(EMP-\d+)").alias("employee_id"),
-        credential_type(text).alias("certification_type"), found(text, r"(?i)Credential\s*(?:ID|/ License No\.?)\s*:?\s*([A-Z0-9-]+)").alias("credential_id"),
-        parse_date(F.coalesce(found(text, r"(?i)(?:Issued|Date of issue)\s*:?\s*([^\n]+)"), text)).alias("issue_date"), parse_date(found(text, r"(?i)(?:Valid (?:through|until)|Expiry)\s*:?\s*([^\n]+)")).alias("expiry_date"),
+        "doc_id", F.coalesce(_said(text, "line_person"), _said(text, "line_awarded")).alias("engineer_name"), _said(text, "employee_id").alias("employee_id"), kind.alias("certification_type"),
+        _said(text, "line_credential").alias("credential_id"), parse_date(_said(text, "line_issued"), loose=True).alias("issue_date"), parse_date(_said(text, "line_valid"), loose=True).alias("expiry_date"),
     )
 
 
+def line_cvs(docs: DataFrame) -> DataFrame:
+    """CVs by lines: doc_id, engineer_name, employee_id, designation."""
+    text, all_lines = F.col("text"), F.col("_lines")
+    headed = strip(F.replace(F.try_element_at(all_lines, F.lit(1)), F.lit("CURRICULUM VITAE"), F.lit("")))
+    name = F.coalesce(_next_line(all_lines, lambda k: k.isin("name", "full name", "curriculum vitae")), headed)
+    return _with_lines(docs, "cv").select("doc_id", name.alias("engineer_name"), _said(text, "line_employee", 0).alias("employee_id"), _said(text, "line_designation").alias("designation"))
+
+
 def line_cv_projects(docs: DataFrame) -> DataFrame:
-    """Projects of CVs written as ``Project: name · Pkg-12``."""
-    names, codes = (F.regexp_extract_all("text", F.lit(r"Project:\s*([^·\n]+?)\s*·\s*(Pkg-[A-Za-z0-9-]+)"), F.lit(i)) for i in (1, 2))
+    """The projects that CVs name with a package: doc_id, engineer_name, project_name, package_code."""
+    names, codes = (F.transform(F.regexp_extract_all("text", F.lit(EXACT_PHRASES["line_cv_project"]), F.lit(i)), strip) for i in (1, 2))
     pairs = F.explode(F.arrays_zip(names.alias("project_name"), codes.alias("package_code")))
-    return docs.where("doc_type = 'cv'").select("doc_id", F.col("text"), pairs.alias("p")).select("doc_id", line_after(F.col("text"), "name").alias("engineer_name"), "p.project_name", "p.package_code")
+    listed = docs.where("doc_type = 'cv'").select("doc_id", pairs.alias("p"))
+    return listed.join(line_cvs(docs).select("doc_id", "engineer_name"), "doc_id").select("doc_id", "engineer_name", "p.project_name", "p.package_code")
 
 
 LABELLED = {"certificates": certificates, "reference_letters": reference_letters, "performance_bonds": performance_bonds, "personnel_certificates": personnel_certificates, "cvs": cvs, "bills": bills}
-BY_LINE = {"certificates": line_certificates, "personnel_certificates": line_personnel, "cv_projects": line_cv_projects}
+BY_LINE = {"certificates": line_certificates, "reference_letters": line_letters, "performance_bonds": line_bonds, "personnel_certificates": line_personnel, "cvs": line_cvs, "cv_projects": line_cv_projects}

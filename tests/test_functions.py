@@ -1,5 +1,7 @@
 """Expressions against tables of known results."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,6 @@ def test_names(spark):
     assert results(spark, ["Certificate of work"], lambda v: names.letterhead_client(v, F.lit(None).cast("string"))) == [None]
     assert results(spark, ["DOC-CC-021"], names.package_from_id) == ["Pkg-21"]
     assert results(spark, ["Road — north", "Bridge-2"], names.category_before_dash) == ["Road", "Bridge"]
-    assert results(spark, ["Work (Large Bridges) x"], names.category_in_parentheses) == ["large bridges"]
 
 
 def test_fields_of_a_text(spark):
@@ -104,5 +105,29 @@ def test_typed_records(spark):
     assert one["bills"]["client_name"] == "Port Trust" and one["bills"]["boq_items"][0]["amount"] == 50.0 and one["bills"]["billed_value"] == 900.0
 
 
+def test_records_by_lines(spark):
+    docs = [
+        ("C1", "completion_certificate", "Water Board of\nNorth Zone\nName of Work\nNature of things\nParticulars of the work\nTank Pkg-12 (phase 2)\nNature / Category\nwater treatment\nContract Value\nnone\nExecuted Value\nRs. 3 Cr\nActual completion date\n5-Mar-2020\nContractor's Manager\nNational Infra\nThe overall quality of the completed work is graded Good.\nAsha Rao\nProject Manager\nNational Infra Ltd"),
+        ("C2", "company_completion_certificate", "Ref: No. 7\nThe work of \u201cRoad Pkg-3 (large bridges)\u201d with an executed value of INR 2 lakh (two) was completed in all respects on 12 May 2021, supervised on the contractor's side by Bela Iyer. INR 9"),
+        ("C3", "completion_certificate", None), ("C4", "completion_certificate", ""),
+        ("L1", "reference_letter", "Port Trust\nfor the work \u201cQuay Package 8\u201d (INR 4 Cr) done on 2019-01-31"), ("L2", "reference_letter", "Port Trust\nWork\nMole"),
+        ("B1", "performance_bond", "a sum of Rs. 7 lakh, later Rs. 8 lakh"),
+        ("P1", "personnel_certificate", "This is to certify that\n\nC. Das\nEmployee ID: EMP-9\nproject management professional: Project Management Professional\nLicense No: X-1\nDate of Issue: March 10, 2021\nValid Through: 2024-03-10"), ("P2", "personnel_certificate", "awarded to Dev Sen, Six Sigma"),
+        ("V1", "cv", "CURRICULUM VITAE\nE. Fox\nDesignation: Lead\nid EMP-77\nProject: Road A \u00b7 Pkg-1\nWork:  Dam  \u00b7 Pkg-x2"), ("V2", "cv", "G. Hall\nno label"), ("V3", "cv", None),
+    ]
+    rows = spark.createDataFrame(docs, "doc_id string, doc_type string, text string")
+    got = {k: {r["doc_id"]: r for r in f(rows).collect()} for k, f in extract.BY_LINE.items() if k != "cv_projects"}
+    day = lambda *a: datetime.date(*a)
+    c = got["certificates"]
+    assert tuple(c["C1"])[2:] == ("Tank Pkg-12", "Pkg-12", "Water Board of North Zone", "water treatment", 30_000_000.0, day(2020, 3, 5), "Asha Rao", "Good")
+    assert tuple(c["C2"])[2:] == ("Road Pkg-3", "Pkg-3", None, "large bridges", 200_000.0, day(2021, 5, 12), "Bela Iyer", None)
+    assert set(tuple(c["C3"])[2:]) == set(tuple(c["C4"])[2:]) == {None}
+    assert tuple(got["reference_letters"]["L1"])[1:] == ("Quay Package 8", "Pkg-8", "Port Trust", 40_000_000.0, day(2019, 1, 31)) and got["reference_letters"]["L2"]["project_name"] == "Mole"
+    assert got["performance_bonds"]["B1"]["guarantee_amount"] == 700_000.0
+    assert tuple(got["personnel_certificates"]["P1"])[2:] == ("EMP-9", "PMP", "X-1", day(2021, 3, 10), day(2024, 3, 10)) and got["personnel_certificates"]["P2"]["certification_type"] == "Six Sigma Black Belt"
+    assert tuple(got["cvs"]["V1"])[1:] == ("E. Fox", "EMP-77", "Lead") and got["cvs"]["V2"]["engineer_name"] == "G. Hall" and got["cvs"]["V3"]["engineer_name"] is None
+    assert {tuple(r) for r in extract.line_cv_projects(rows).collect()} == {("V1", "E. Fox", "Road A", "Pkg-1"), ("V1", "E. Fox", "Dam", "Pkg-x2")}
+
+
 def test_column_letters(spark):
     assert results(spark, [0, 25, 26, 701], column_letter, "int") == ["A", "Z", "AA", "ZZ"]
