@@ -9,6 +9,7 @@ two vectors share a bucket are a candidate pair; its cosine is verified.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,14 +31,31 @@ BUCKET = 1 / 8
 #: Vectors of a bucket that one comparison holds; a larger bucket is compared block against block.
 BLOCK = 512
 SEED = 42
-#: Chance that a part of the hash, with its probes, agrees at the threshold; and the share of the closest pairs that all tables may miss.
-AGREE, MISS = 0.7, 0.001
+#: The share of pairs just at the threshold that all tables may miss; closer pairs are missed far less.
+MISS = 0.005
+#: Pairs at the threshold on which the chance to share a bucket of one table is measured, and tables that are tried for that.
+TRIED_PAIRS, TRIED_TABLES = 1000, 4
 
 
-def plan_tables(vectors: int, dimension: int) -> tuple[int, int]:
-    """Parts of a hash, so that there are about vectors / BUCKET buckets, and tables, so that at most MISS of the closest pairs share none."""
+def plan_tables(vectors: int, dimension: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Parts of a hash, so that there are about vectors / BUCKET buckets, and tables, so that at most MISS of the pairs at the threshold share none."""
     hashes = max(1, math.ceil(math.log(max(2.0, vectors / BUCKET)) / math.log(2 * dimension)))
-    return hashes, max(4, math.ceil(math.log(MISS) / math.log(1 - AGREE**hashes)))
+    return hashes, max(4, math.ceil(math.log(MISS) / math.log(1 - chance_to_meet(dimension, hashes, threshold))))
+
+
+@functools.cache
+def chance_to_meet(dimension: int, hashes: int, threshold: float) -> float:
+    """The share of tables in which two random unit vectors of cosine ``threshold`` have a bucket in common, by trial: the same on every machine, and of no data."""
+    if dimension == 1:
+        return 0.999
+    random = np.random.default_rng([SEED, dimension, hashes])
+    one, other = random.normal(size=(2, TRIED_PAIRS, dimension))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other *= math.sqrt(max(0.0, 1 - threshold * threshold)) / np.linalg.norm(other, axis=1, keepdims=True)
+    both = [bucket_codes(x, hashes, TRIED_TABLES, seed=SEED + 1).reshape(TRIED_PAIRS, TRIED_TABLES, -1) for x in (one, threshold * one + other)]
+    met = (both[0][:, :, :, None] == both[1][:, :, None, :]).any(axis=(2, 3))
+    return min(0.999, max(0.01, float(met.mean())))
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -164,7 +182,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         for batch in batches:
             for size, part in batch.groupby(batch["vector"].str.len()):
                 dimension = size // number().itemsize
-                hashes, tables = plan_tables(count, dimension)
+                hashes, tables = plan_tables(count, dimension, threshold)
                 for at in range(0, len(part), 2048):
                     some = part.iloc[at : at + 2048]
                     codes = bucket_codes(_unit(np.frombuffer(b"".join(some["vector"]), dtype=number).reshape(len(some), dimension)), hashes, tables).view(np.int64)

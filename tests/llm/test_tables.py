@@ -138,6 +138,23 @@ def test_embedding_links(spark, monkeypatch, block):
     assert embeddings.near_duplicates(table.where("vec_id < -5")).count() == 0
 
 
+def test_recall_of_planted_pairs_by_band(spark):
+    """Pairs of known cosine, alone among random vectors: in every band at least 98 of 100 are found, and nothing below the threshold is."""
+    random = np.random.default_rng(11)
+    bands = [0.9501, 0.955, 0.96, 0.97, 0.985, 0.999, 0.9499, 0.94]
+    rows = []
+    for b, cosine in enumerate(bands):
+        one, other = random.normal(size=(2, 300, 64))
+        one /= np.linalg.norm(one, axis=1, keepdims=True)
+        other -= (other * one).sum(axis=1, keepdims=True) * one
+        other *= np.sqrt(1 - cosine**2) / np.linalg.norm(other, axis=1, keepdims=True)
+        rows += [(100_000 * b + 2 * i + side, (random.uniform(0.1, 9) * v).tolist()) for i in range(300) for side, v in enumerate((one[i], cosine * one[i] + other[i]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for b, cosine in enumerate(bands):
+        found = sum(got[100_000 * b + 2 * i] == (1, 100_000 * b + 2 * i) and got[100_000 * b + 2 * i + 1] == (1, 100_000 * b + 2 * i) for i in range(300))
+        assert found >= 0.98 * 300 if cosine > 0.95 else found == 0, (cosine, found)
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
