@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 import subprocess
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,12 +87,25 @@ def history(summary: DataFrame, path: str) -> None:
     summary.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
 
 
+ANSWERS = "qid string, answer double"
+
+
 def cached_answers(spark: SparkSession, questions: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """The answers kept at ``path``, and the questions that have none yet."""
-    kept = spark.read.parquet(path)
+    """The answers kept at ``path``, none where nothing is kept yet, and the questions that have no answer among them."""
+    try:
+        kept = spark.read.schema(ANSWERS).parquet(path).where("answer is not null").dropDuplicates(["qid"])
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = spark.createDataFrame([], ANSWERS)
     return kept, questions.join(kept, "qid", "left_anti")
 
 
+def keep_answers(answers: DataFrame, path: str) -> None:
+    """Adds answers (qid, answer) to those kept at ``path``; unknown ones are left to be asked again."""
+    answers.where("answer is not null").select(F.col("qid").cast("string"), F.col("answer").cast("double")).write.mode("append").parquet(path)
+
+
 def manifest(spark: SparkSession, path: str, valid: bool) -> dict:
     """What a release is made of: time, commit, rows and SHA-256 of each file."""
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
@@ -109,5 +124,27 @@ def markdown(title: str, sections: dict[str, DataFrame], most: int = 25) -> str:
     return "\n".join(out)
 
 
+def freeze(spark: SparkSession, path: str, valid: bool) -> str:
+    """Keeps a release: its manifest beside it, and a copy of both below ``archive`` under the time and the digest; returns the copy's folder.
+
+    The files are copied as they are, by the file system's own client. Answers that are not valid are refused.
+    """
+    if not valid:
+        raise ValueError("answers that are not valid are not released")
+    found = manifest(spark, path, valid)
+    digest = hashlib.sha256("".join(f["sha256"] for f in found["files"]).encode()).hexdigest()
+    parent, name = path.rstrip("/").rpartition("/")[::2]
+    at = found["timestamp"].replace(":", "").replace("-", "")[:15]
+    folder = f"{parent or '.'}/archive/{name}-{at}-{digest[:12]}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, copy = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{folder}/answers"))
+    source.getFileSystem(conf).mkdirs(copy.getParent())
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
+    text = spark.createDataFrame([(manifest_json(found),)], "value string")
+    for place in (f"{path.rstrip('/')}.manifest", f"{folder}/manifest"):
+        text.write.mode("overwrite").text(place)
+    return folder
+
+
 def manifest_json(found: dict) -> str:
     return json.dumps(found, indent=2, sort_keys=True)

@@ -201,3 +201,48 @@ def test_dates_in_any_writing(spark):
     assert [(t, got[i]["d"]) for i, (t, _) in enumerate(cases)] == cases
     assert got[4]["m"] == D(2020, 5, 6) and got[5]["m"] == D(2020, 2, 13)
     assert spark.range(1).select(dates.parse_date(F.lit("7-sep-99"), loose=True).alias("d")).first()["d"] == D(1999, 9, 7)
+
+
+def test_lookups_in_the_store(spark):
+    from sheafline.operators import store
+
+    rows = certs(spark).withColumn("doc_type", F.when(F.col("doc_id") == "C1", "completion_certificate").otherwise("company_completion_certificate"))
+    asked = spark.createDataFrame([("1", "ROADS dep"), ("2", "port_trust"), ("3", "r%s dep%"), ("4", None), ("5", "%_"), ("6", "100%"), ("7", "\\")], "qid string, pattern string")
+    assert {tuple(r) for r in store.like_pairs(asked, store.all_clients(rows).withColumnRenamed("client", "name")).collect()} == {("1", "Roads Dept (PSU)"), ("1", "Roads Department"), ("2", "Port Trust"), ("3", "Roads Dept (PSU)"), ("3", "Roads Department")}
+    assert {(r["qid"], r["doc_id"]) for r in store.client_projects(asked, rows).collect()} == {("1", "C1"), ("1", "C2"), ("2", "C3"), ("3", "C1"), ("3", "C2")}
+    leads = spark.createDataFrame([("a", "rao"), ("b", "nobody")], "qid string, pattern string")
+    assert {(r["qid"], r["doc_id"]) for r in store.engineer_projects(leads, rows).collect()} == {("a", "C1"), ("a", "C3")}
+    people = spark.createDataFrame([("P1", "Asha Rao", "PMP", D(2021, 1, 1)), ("P2", "asha rao", "Six Sigma", None), ("P3", "B. Iyer", "PMP", None)], "doc_id string, engineer_name string, certification_type string, issue_date date")
+    assert [(r["doc_id"], r["nth"]) for r in store.engineer_certifications(leads, people).orderBy("nth").collect()] == [("P2", 1), ("P1", 2)]
+    assert [r["doc_id"] for r in store.engineer_certifications(leads.withColumn("kind", F.lit("pm")), people).collect()] == ["P1"]
+    letters = spark.createDataFrame([("Port Trust", "a"), ("Port Trust", "a"), ("Port Trust", None), ("Roads Department", "b")], "issuing_client string, project_name string")
+    assert {r["qid"]: r["letters"] for r in store.letter_counts(asked, letters).collect()} == {"1": 1, "2": 1, "3": 1, "4": 0, "5": 0, "6": 0, "7": 0}
+
+
+def test_commands_from_questions_to_a_release(spark, tmp_path, capsys):
+    import json
+
+    from sheafline.__main__ import main
+
+    questions = tmp_path / "q.json"
+    questions.write_text(json.dumps({"questions": [{"qid": "a", "question": "Total value of all completed assignments of the Port Trust?", "answer_type": "money", "answer": 50.0, "shape": "s", "hops": 1}, {"qid": "b", "question": "nothing known", "answer_type": "percent"}]}))
+    tables = tmp_path / "tables"
+    certs(spark).write.parquet(str(tables / "certificates.parquet"))
+    spark.createDataFrame([], "package_code string, issuing_client string, contract_value double").write.parquet(str(tables / "letters.parquet"))
+    spark.createDataFrame([], "client_name string, invoiced double, received double").write.parquet(str(tables / "receivables.parquet"))
+    spark.createDataFrame([], "doc_id string, engineer_name string, issue_date date").write.parquet(str(tables / "personnel.parquet"))
+    out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
+    assert main(["self-test"], spark) == 0
+    for _ in range(2):  # the second run finds all answers kept
+        assert main(["e2e", str(questions), str(tables), out, "--cache", cache, "--report", str(tmp_path / "r.md")], spark) == 0
+        assert {tuple(r) for r in spark.read.csv(out, header=True).collect()} == {("a", "50"), ("b", "50")}
+    assert spark.read.parquet(cache).count() == 2 and "| shape | s | 1.00 |" in (tmp_path / "r.md").read_text()
+    assert main(["answers", str(questions), str(tables), str(tmp_path / "plain")], spark) == 0 and spark.read.csv(str(tmp_path / "plain"), header=True).count() == 2
+    capsys.readouterr()
+    assert main(["freeze", str(questions), out], spark) == 0
+    folder = capsys.readouterr().out.strip()
+    assert {tuple(r) for r in spark.read.csv(folder + "/answers", header=True).collect()} == {("a", "50"), ("b", "50")}
+    kept = json.loads(spark.read.text(folder + "/manifest", wholetext=True).first()[0])
+    assert kept["rows"] == 2 and kept["validator_passed"] and spark.read.text(out + ".manifest").count() > 0
+    (tmp_path / "bad.csv").write_text("question_id,answer\na,-5\nb,50\n")
+    assert main(["freeze", str(questions), str(tmp_path / "bad.csv")], spark) == 1
