@@ -371,3 +371,28 @@ def upsert_buckets(spark, sf_dir):
     new = new.unionByName(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("S").alias("status"), F.lit("new").alias("origin")))
     sinks.upsert_into(path, new, "o_orderkey", buckets=16)
     return spark.read.schema("o_orderkey bigint, status string, origin string, _bucket int").parquet(path).drop("_bucket")
+
+
+@query(
+    f"""WITH {_PORTFOLIOS},
+    asked AS (SELECT c_custkey AS qid, replace(c_name, '#', CASE WHEN c_custkey % 2 = 0 THEN '_' ELSE '%0' END) AS pattern FROM customer),
+    hit AS (SELECT qid, cert.*, row_number() OVER (PARTITION BY qid, package ORDER BY v DESC, k) AS nth FROM asked JOIN cert ON lower(client) LIKE '%' || lower(pattern) || '%'),
+    lettered AS (SELECT qid, count(DISTINCT letter.package) AS letters FROM asked LEFT JOIN letter ON lower(letter.client) LIKE '%' || lower(pattern) || '%' GROUP BY qid),
+    lead AS (SELECT s_suppkey, cert.* FROM supplier JOIN cert ON lead = s_name), led AS (SELECT s_suppkey, count(*) AS works, arg_min(k, {{'d': day, 'k': k}}) AS first FROM lead GROUP BY s_suppkey)
+    SELECT 'client' AS part, qid, count(k) FILTER (WHERE nth = 1) AS works, CAST(sum(v) FILTER (WHERE nth = 1) AS DOUBLE) AS value, max(letters) AS letters FROM asked LEFT JOIN hit USING (qid) JOIN lettered USING (qid) GROUP BY qid
+    UNION ALL SELECT 'engineer', s_suppkey, works, NULL, first FROM led"""
+)
+def store_lookups(spark, sf_dir):
+    """The works and letters of clients and the works of engineers, looked up by patterns with wildcards."""
+    from .operators import store
+
+    certs, letters, _, _ = portfolio_records(spark, sf_dir)
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(key.cast("string").alias("qid"), F.replace("c_name", F.lit("#"), F.when(key % 2 == 0, "_").otherwise("%0")).alias("pattern"))
+    works = store.client_projects(asked, certs.withColumn("project_name", F.lit(None).cast("string")).withColumn("doc_type", F.lit("company_completion_certificate")))
+    named = letters.select("issuing_client", F.col("package_code").alias("project_name"))
+    of_client = works.groupBy("qid").agg(F.count("*").alias("works"), F.sum("contract_value").cast("double").alias("value"))
+    clients = store.letter_counts(asked, named).join(of_client, "qid", "left").select(F.lit("client").alias("part"), F.col("qid").cast("bigint").alias("qid"), F.coalesce("works", F.lit(0)).alias("works"), "value", "letters")
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("qid"), F.lower("s_name").alias("pattern"))
+    led = store.engineer_projects(people, certs).groupBy("qid").agg(F.count("*").alias("works"), F.min_by("doc_id", F.struct("completion_date", "doc_id")).alias("first"))
+    return clients.unionByName(led.select(F.lit("engineer").alias("part"), F.col("qid").cast("bigint").alias("qid"), "works", F.lit(None).cast("double").alias("value"), F.col("first").alias("letters")))

@@ -72,6 +72,11 @@ def named_entity(questions: DataFrame, names: DataFrame, parts: bool) -> DataFra
     return top_row(hits, ["qid"], [F.col("_whole").desc(), F.when(F.col("_whole"), F.length("name")).desc_nulls_last(), F.col("name")]).select("qid", "name")
 
 
+def _exact(value: str) -> Column:
+    """A value as a decimal, 0 where it is not known: sums do not depend on the order of rows."""
+    return F.coalesce(F.col(value).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+
+
 def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel: DataFrame) -> DataFrame:
     """qid, shape, answer (within its bounds) of every question; tables as for the primary solver, certs with doc_type.
 
@@ -90,26 +95,27 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel:
     certified = first_certification(personnel).select(F.lower("engineer_name").alias("_certified"), F.col("issue_date").alias("_issued"))
     q = q.join(certified, F.lower("_engineer") == F.col("_certified"), "left").withColumn("since", F.coalesce("asked_date", "_issued"))
 
-    works = portfolio_baseline(certs.where("client_name is not null")).select(F.lower("client_name").alias("_of"), F.coalesce(F.col("contract_value").cast("double"), F.lit(0.0)).alias("v"), F.lower(F.coalesce("project_name", F.lit(""))).alias("_name"))
+    works = portfolio_baseline(certs.where("client_name is not null")).select(F.lower("client_name").alias("_of"), _exact("contract_value").alias("v"), F.lower(F.coalesce("project_name", F.lit(""))).alias("_name"))
     value = F.col("v")
+    nothing = F.lit(0).cast("decimal(18,2)")
     joined = q.join(works, F.lower("_client") == F.col("_of"))
     of_client = joined.groupBy("qid").agg(
         F.count("*").alias("works"),
         F.sum(value).alias("sum"),
-        F.sum(F.when(F.coalesce(F.contains("_name", "term"), F.lit(False)), 0.0).otherwise(value)).alias("kept_sum"),
-        F.sum(F.when(value >= F.coalesce("first_amount", F.lit(THRESHOLD)), value).otherwise(0.0)).alias("sum_above"),
+        F.sum(F.when(F.coalesce(F.contains("_name", "term"), F.lit(False)), nothing).otherwise(value)).alias("kept_sum"),
+        F.sum(F.when(value >= F.coalesce("first_amount", F.lit(THRESHOLD)), value).otherwise(nothing)).alias("sum_above"),
         F.max("v").alias("top"),
     )
     of_client = of_client.join(largest_gap(joined, ["qid"], "v", "top_gap"), "qid", "left")
-    averages = q.select("qid", F.coalesce("_client", "_led_client").alias("_for")).join(works, F.lower("_for") == F.col("_of")).groupBy("qid").agg(F.avg(F.nullif(value, F.lit(0.0))).alias("mean"))
+    averages = q.select("qid", F.coalesce("_client", "_led_client").alias("_for")).join(works, F.lower("_for") == F.col("_of")).groupBy("qid").agg(F.avg(F.nullif(value, nothing)).alias("mean"))
     letter_counts = letters.groupBy(F.lower("issuing_client").alias("_issuer")).agg(F.count_distinct("project_name").alias("letters"))
-    led_values = led.select("_lead", F.lower("client_name").alias("_led_for"), F.coalesce(F.col("contract_value").cast("double"), F.lit(0.0)).alias("v"), "completion_date", F.lower(category_before_dash(F.col("project_name"))).alias("_kind"))
+    led_values = led.select("_lead", F.lower("client_name").alias("_led_for"), _exact("contract_value").alias("v"), "completion_date", F.lower(category_before_dash(F.col("project_name"))).alias("_kind"))
     of_lead = q.join(led_values, F.lower("_engineer") == F.col("_lead")).groupBy("qid").agg(
         F.count("*").alias("led"),
         F.sum("v").alias("led_sum"),
         F.count_if(F.contains("_led_for", F.lower("_client"))).alias("both"),
         F.sum(F.when(F.contains("_led_for", F.lower("_client")), F.col("v"))).alias("both_sum"),
-        F.sum(F.when(F.col("completion_date") > F.col("since"), F.col("v")).otherwise(0.0)).alias("after_sum"),
+        F.sum(F.when(F.col("completion_date") > F.col("since"), F.col("v")).otherwise(nothing)).alias("after_sum"),
         F.count_distinct(F.nullif("_kind", F.lit(""))).alias("kinds"),
     )
     projects = certs.where("completion_date is not null and nullif(trim(project_name), '') is not null").select("doc_id", "completion_date", F.explode(F.array_distinct(F.concat(F.array("project_name"), F.split("project_name", "—")))).alias("_part"))
@@ -127,7 +133,7 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel:
         "distinct_count": F.when(has_engineer, F.greatest(F.lit(1), F.coalesce("kinds", F.lit(0))).cast("double")),
         "hop_aggregate": F.coalesce(F.when(has_engineer & has_client & (F.col("both") > 0), F.col("both_sum")), F.when(F.col("works") > 0, F.col("sum")), F.when(F.col("led") > 0, F.col("led_sum"))),
         "temporal_chain": F.when(has_engineer & F.col("since").isNotNull() & (F.col("after_sum") > 0), F.col("after_sum")),
-        "avg_work_size": F.bround("mean", 0),
+        "avg_work_size": F.bround(F.col("mean").cast("double"), 0),
         "exclusion_aggregate": F.when(has_client, F.coalesce("kept_sum", zero)),
         "gap_to_threshold": F.when(has_client, F.greatest(zero, F.coalesce("first_amount", F.lit(GOAL)) - F.coalesce("sum", zero))),
         "rank_value": F.when(F.col("works") >= 2, F.col("top_gap")).when(F.col("works") == 1, F.col("top")),

@@ -466,22 +466,65 @@ def primary_solver(spark, sf_dir):
     return primary.solve(_inline_questions(spark), certs, letters, none, people)
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT o_custkey, v FROM (SELECT *, {PRICE} AS v, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY (o_orderstatus = 'F') DESC,
+        CASE WHEN o_orderstatus = 'F' THEN {PRICE} END ASC NULLS FIRST, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END DESC NULLS LAST, CASE WHEN o_orderstatus <> 'F' THEN {PRICE} END DESC NULLS LAST, o_orderkey) AS n FROM orders) WHERE n = 1),
+    a AS (SELECT c_custkey AS k, count(v) AS works, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(v) AS DOUBLE) / count(v) AS mean, CAST(coalesce(sum(v) FILTER (WHERE v >= 100000), 0) AS DOUBLE) AS above, list_sort(list(v), 'DESC') AS vs FROM customer LEFT JOIN w ON c_custkey = o_custkey GROUP BY c_custkey)
+    SELECT k || '-0' AS qid, 'hop_aggregate' AS shape, CASE WHEN works > 0 THEN total ELSE 5e8 END AS answer FROM a
+    UNION ALL SELECT k || '-1', 'avg_work_size', CASE WHEN works > 0 THEN round_even(mean, 0) ELSE 2e8 END FROM a
+    UNION ALL SELECT k || '-2', 'rank_value', CASE WHEN works > 1 THEN CAST(vs[1] - vs[2] AS DOUBLE) WHEN works = 1 THEN CAST(vs[1] AS DOUBLE) ELSE 5e7 END FROM a
+    UNION ALL SELECT k || '-3', 'threshold_aggregate', CASE WHEN works > 0 THEN above ELSE 5e8 END FROM a"""
+)
 def baseline_solver(spark, sf_dir):
-    """The baseline solver on customers' names in questions."""
+    """Four questions about every customer, by the customers' names in their texts."""
     names_of = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), "c_name")
     certs = certificates(spark, sf_dir).join(names_of, F.col("client_name") == F.col("k")).withColumn("client_name", F.col("c_name")).withColumn("project_name", F.lit(None).cast("string"))
     letters = certs.where("doc_type = 'completion_certificate'").select(F.col("client_name").alias("issuing_client"), F.col("package_code").alias("project_name"))
-    first = names_of.where(F.col("k").isin("1", "2", "3", "4", "5"))  # the clients that the questions are about
     texts = ("Total value delivered for {}?", "What is the mean size of the works of {}?", "By how much is the largest above the second largest of {}?", "All works of {} over 1 lakh?")
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(texts)]))
-    asked = first.select("k", "c_name", kinds.alias("x")).select(F.concat_ws("-", "k", F.col("x.i").cast("string")).alias("qid"), F.replace(F.col("x.t"), F.lit("{}"), F.col("c_name")).alias("question"), F.lit("money").alias("answer_type"))
+    asked = names_of.select("k", "c_name", kinds.alias("x")).select(F.concat_ws("-", "k", F.col("x.i").cast("string")).alias("qid"), F.replace(F.col("x.t"), F.lit("{}"), F.col("c_name")).alias("question"), F.lit("money").alias("answer_type"))
     people = spark.createDataFrame([], "doc_id long, engineer_name string, issue_date date")
     return baseline.solve(asked, certs, letters, people)
 
 
-@query()
+# A text of each kind of record, from an order; both engines read the records out of the same text.
+_K, _P, _D = "CAST(o_orderkey AS STRING)", "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)", "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+RECORDS = (
+    ("completion_certificate", f"'Roads Authority ' || {_K} || chr(10) || 'This is to certify that the work of \"Bridge Pkg-' || {_K} || '\", awarded to us for INR ' || {_P} || ', was completed on ' || {_D} || '. It was supervised by Asha Rao. The work was graded Good by all.'"),
+    ("reference_letter", f"'Ref: ' || {_K} || chr(10) || 'Water Board ' || {_K} || chr(10) || 'Subject: \"WTP Pkg-' || {_K} || '\"' || chr(10) || 'Value: Rs. ' || {_P} || chr(10) || 'completed on ' || {_D}"),
+    ("performance_bond", f"'**Guarantee amount:** INR ' || {_P} || chr(10) || 'ABC Bank ' || {_K} || chr(10) || 'work of \"Dam Pkg-' || {_K} || '\".' || chr(10) || 'until **' || {_D} || '**'"),
+    ("personnel_certificate", f"'Employee Name: B Iyer ' || {_K} || chr(10) || 'Employee ID: EMP-' || {_K} || chr(10) || 'PMP' || chr(10) || 'Issued: ' || {_D}"),
+    ("cv", f"'Name: C Das ' || {_K} || chr(10) || 'Designation: Lead' || chr(10) || '|1|Road ' || {_K} || '|Pkg-' || {_K} || '|PWD|Lead|'"),
+    ("ra_bill", f"'Contract #' || {_K} || ' · Port ' || {_K} || chr(10) || 'Bill No: ' || {_K} || chr(10) || '|1|Earth|m3|10|5|50|' || chr(10) || 'Rs. ' || {_P}"),
+)
+_TEXTS = " ".join(f"WHEN {i} THEN {made}" for i, (_, made) in enumerate(RECORDS))
+_KINDS = " ".join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate(RECORDS))
+
+
+@query(
+    rf"""WITH d AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 {_KINDS} END AS kind, CASE o_orderkey % 6 {_TEXTS} END AS t FROM orders)
+    SELECT doc_id, kind, CASE kind WHEN 'cv' THEN regexp_extract(t, '\|1\|([^|]+)', 1) WHEN 'reference_letter' THEN regexp_extract(t, 'Subject: "([^"]+)', 1) ELSE nullif(regexp_extract(t, 'work of "([^"]+)', 1), '') END AS project,
+    nullif(regexp_extract(t, 'Pkg-[0-9]+'), '') AS package,
+    CASE kind WHEN 'completion_certificate' THEN regexp_extract(t, '^[^\n]+') WHEN 'reference_letter' THEN regexp_extract(t, 'Water [^\n]+') WHEN 'performance_bond' THEN regexp_extract(t, 'ABC [^\n]+') WHEN 'ra_bill' THEN regexp_extract(t, 'Port [^\n]+') ELSE regexp_extract(t, 'Name: ([^\n]+)', 1) END AS party,
+    CASE WHEN kind NOT IN ('personnel_certificate', 'cv') THEN CAST(regexp_extract(t, '(?:INR|Rs\.) ([0-9.]+[0-9])', 1) AS DOUBLE) END AS value, CASE WHEN kind NOT IN ('cv', 'ra_bill') THEN nullif(regexp_extract(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), '') END AS day,
+    CASE kind WHEN 'completion_certificate' THEN regexp_extract(t, 'The work was graded .*$') WHEN 'personnel_certificate' THEN regexp_extract(t, 'EMP-[0-9]+') WHEN 'cv' THEN regexp_extract(t, 'Designation: ([^\n]+)', 1) WHEN 'ra_bill' THEN regexp_extract(t, 'Bill No: ([0-9]+)', 1) || ' Earth 50.0' END AS more FROM d"""
+)
 def extract_records(spark, sf_dir):
-    """Typed certificates from texts of documents: each has a label block before the document's text."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("DOC-CC-"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("completion_certificate").alias("doc_type"), F.concat(F.lit("|Name of work|Road Pkg-"), F.col("doc_id").cast("string"), F.lit("|\n|Client|PWD|\n|Contract value|Rs. "), F.col("n_chars").cast("string"), F.lit(" lakh|\n"), F.col("text")).alias("text"))
-    return extract.certificates(docs)
+    """Typed records of all six kinds of documents from their texts."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(f"CASE o_orderkey % 6 {_KINDS} END").alias("doc_type"), F.expr(f"CASE o_orderkey % 6 {_TEXTS} END").alias("text"))
+    col, null = F.col, F.lit(None)
+
+    def shaped(kind: str, rows: DataFrame, project, package, party, value, day, more) -> DataFrame:
+        texts = [c.cast("string").alias(n) for n, c in (("project", project), ("package", package), ("party", party))]
+        return rows.select("doc_id", F.lit(kind).alias("kind"), *texts, value.cast("double").alias("value"), day.cast("string").alias("day"), more.cast("string").alias("more"))
+
+    name, code = col("project_name"), col("package_code")
+    led, item = col("projects_led")[0], col("boq_items")[0]
+    return (
+        shaped("completion_certificate", extract.certificates(docs), name, code, col("client_name"), col("contract_value"), col("completion_date"), col("grading_text"))
+        .unionByName(shaped("reference_letter", extract.reference_letters(docs), name, code, col("issuing_client"), col("contract_value"), col("completion_date"), null))
+        .unionByName(shaped("performance_bond", extract.performance_bonds(docs), name, code, col("issuing_bank"), col("guarantee_amount"), col("expiry_date"), null))
+        .unionByName(shaped("personnel_certificate", extract.personnel_certificates(docs), null, null, col("engineer_name"), null, col("issue_date"), col("employee_id")))
+        .unionByName(shaped("cv", extract.cvs(docs), led["project_name"], led["package_code"], col("engineer_name"), null, null, col("designation")))
+        .unionByName(shaped("ra_bill", extract.bills(docs), null, null, col("client_name"), col("billed_value"), null, F.concat_ws(" ", "bill_number", item["description"], item["amount"].cast("string"))))
+    )

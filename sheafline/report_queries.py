@@ -81,11 +81,12 @@ def question_distribution(spark, sf_dir):
 
 
 @query(
-    """SELECT 'clients' AS metric, count(DISTINCT o_custkey) AS value FROM orders UNION ALL SELECT 'project leads', 0 UNION ALL SELECT 'projects with value', count(*) FILTER (WHERE o_totalprice > 0) FROM orders
+    """SELECT 'clients' AS metric, count(DISTINCT o_custkey) AS value FROM orders UNION ALL SELECT 'project leads', count(DISTINCT lead) FROM (SELECT min(l_suppkey) AS lead FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey) UNION ALL SELECT 'projects with value', count(*) FILTER (WHERE o_totalprice > 0) FROM orders
     UNION ALL SELECT 'projects with date', count(o_orderdate) FROM orders UNION ALL SELECT 'certified engineers', count(DISTINCT s_name) FROM supplier UNION ALL SELECT 'rows of projects', count(*) FROM orders UNION ALL SELECT 'rows of bills', count(*) FROM lineitem"""
 )
 def graph_health(spark, sf_dir):
-    works, people = certificates(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_name").alias("engineer_name"))
+    leads = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_suppkey").cast("string").alias("project_lead"))
+    works, people = certificates(spark, sf_dir).drop("project_lead").join(leads, "doc_id", "left"), table(spark, sf_dir, "supplier").select(F.col("s_name").alias("engineer_name"))
     return reports.graph_health({"projects": works, "bills": table(spark, sf_dir, "lineitem")}, works, people)
 
 
@@ -111,9 +112,24 @@ def find_clients(spark, sf_dir):
     return resolve.find_clients(asked, table(spark, sf_dir, "customer").select(F.col("c_name").alias("client")))
 
 
-@query("SELECT 'HEADER' AS qid, 'MISSING_STANDARD_HEADER' AS code, 'WARNING' AS severity FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation) AND lower(n_name) NOT IN ('qid', 'question_id')")
+@query(
+    """WITH l AS (SELECT 'nations' AS file, n_nationkey AS r, n_name || ',1' AS line FROM nation UNION ALL SELECT 'blank', r_regionkey, repeat(' ', CAST(r_regionkey AS INT)) FROM region
+        UNION ALL SELECT 'parts', p_partkey, CASE WHEN p_partkey = (SELECT min(p_partkey) FROM part) THEN 'x, "Question_ID" ,answer' ELSE p_name END FROM part),
+    f AS (SELECT file, count(*) FILTER (WHERE trim(line) <> '') AS n, arg_min(line, r) FILTER (WHERE trim(line) <> '') AS head FROM l GROUP BY file)
+    SELECT file, 'HEADER' AS qid, CASE WHEN n = 0 THEN 'EMPTY_FILE' ELSE 'MISSING_STANDARD_HEADER' END AS code, CASE WHEN n = 0 THEN 'ERROR' ELSE 'WARNING' END AS severity
+    FROM f WHERE n = 0 OR NOT list_has_any(list_transform(string_split(lower(head), ','), lambda c: trim(replace(c, '"', ''))), ['qid', 'question_id'])"""
+)
 def file_issues(spark, sf_dir):
-    return quality.file_issues(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_num"), F.concat("n_name", F.lit(",1")).alias("line")))
+    """Three files: one without a heading, one of blank lines, one as it should be."""
+    part = table(spark, sf_dir, "part")
+    first = part.agg(F.min("p_partkey").alias("first"))
+    files = {
+        "nations": table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_num"), F.concat("n_name", F.lit(",1")).alias("line")),
+        "blank": table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("row_num"), F.expr("repeat(' ', cast(r_regionkey as int))").alias("line")),
+        "parts": part.join(F.broadcast(first)).select(F.col("p_partkey").alias("row_num"), F.when(F.col("p_partkey") == F.col("first"), 'x, "Question_ID" ,answer').otherwise(F.col("p_name")).alias("line")),  # one row
+    }
+    found = [quality.file_issues(lines).select(F.lit(name).alias("file"), "qid", "code", "severity") for name, lines in files.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("SELECT lang AS doc_id, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters FROM documents GROUP BY lang")
@@ -121,45 +137,112 @@ def sheet_text_lengths(spark, sf_dir):
     return reports.text_lengths(table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.col("text").alias("value")))
 
 
-def text_query(name: str, of: str, key: str, made: str, expression: Callable, kind: str, wanted: str) -> None:
-    """A text expression on texts ``made`` from a table's columns, and what is ``wanted`` of them, also from the columns."""
+def text_query(name: str, of: str, key: str, made: str, expression: Callable, kind: str, result: str) -> None:
+    """A text expression on texts ``made`` from a table's columns, on all documents and on all turns of conversations.
+
+    ``result`` is SQL that works it out from the text, {t}, in its own way.
+    """
 
     def run(spark, sf_dir):
-        return table(spark, sf_dir, of).select(key, F.expr(made).alias("t")).select(key, "t", expression(F.col("t")).cast(kind).alias("result"))
+        texts = table(spark, sf_dir, of).select(F.lit(of).alias("origin"), F.col(key).cast("string").alias("key"), F.expr(made).alias("t"))
+        texts = texts.unionByName(table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("t")))
+        texts = texts.unionByName(table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), F.concat_ws(":", "conv_id", "turn").alias("key"), F.col("text").alias("t")))
+        return texts.select("origin", "key", expression(F.col("t")).cast(kind).alias("result"))
 
     QUERIES[name] = run
-    SQL[name] = f"SELECT {key}, {made} AS t, CAST({wanted} AS {kind.upper()}) AS result FROM {of}"
+    SQL[name] = f"""WITH x AS (SELECT '{of}' AS origin, CAST({key} AS VARCHAR) AS key, {made} AS t FROM {of} UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), text FROM documents UNION ALL SELECT 'conversations', conv_id || ':' || turn, text FROM conversations)
+    SELECT origin, key, CAST({result.replace("{t}", "t")} AS {kind.upper()}) AS result FROM x"""
 
 
 _K, _N = "CAST(o_orderkey AS STRING)", "CAST(o_orderkey % 900 + 1 AS STRING)"
-_V = "(o_orderkey % 900 + 1)"
 
 
 def _case(*texts: str, by: str = "o_orderkey") -> str:
     return f"CASE {by} % {len(texts)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts[:-1])) + f" ELSE {texts[-1]} END"
 
 
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _number(x: str) -> str:
+    """SQL for a number as a program writes it."""
+    return rf"CASE WHEN regexp_full_match({_strip(x)}, '[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))') THEN TRY_CAST({_strip(x)} AS DOUBLE) END"
+
+
+def _money(x: str) -> str:
+    """SQL for an amount of money with currency, unit and closing mark."""
+    bare = _strip(rf"regexp_replace({_strip(f"regexp_replace({_strip(x)}, '/-?$', '')")}, '(?i)^(?:INR|Rs\.?|₹)\s*', '')")
+    shape = r"'(?i)^([0-9,]+(?:\.[0-9]+)?)\s*(crores?|cr|lakhs?|lacs?|thousand|k)?$'"
+    unit = f"substr(lower(regexp_extract({bare}, {shape}, 2)), 1, 1)"
+    factor = f"CASE {unit} WHEN 'c' THEN 10000000 WHEN 'l' THEN 100000 WHEN 't' THEN 1000 WHEN 'k' THEN 1000 ELSE 1 END"
+    digits = f"replace(regexp_extract({bare}, {shape}, 1), ',', '')"
+    return f"CASE WHEN regexp_matches({bare}, {shape}) THEN CAST(TRY_CAST({digits} AS DECIMAL(26,6)) * {factor} AS DOUBLE) ELSE {_number(f"replace({bare}, ',', '')")} END"
+
+
+_MENTION = r"'(?i)(?:INR|Rs\.?|₹)\s*[0-9,]+(?:\.[0-9]+)?(?:\s*(?:crores?|cr|lakhs?|lacs?|thousand|k))?(?:\s*/-)?|[0-9,]+(?:\.[0-9]+)?\s*(?:crores?|cr|lakhs?|lacs?)\b'"
+_TENS, _ONES = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"), ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_TEENS = ("zero", *_ONES, "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+_VALUE_OF = "CASE x.w " + " ".join(f"WHEN '{w}' THEN {n}" for n, w in [*enumerate(_TEENS), *((20 + 10 * i, w) for i, w in enumerate(_TENS))]) + r" ELSE CASE WHEN regexp_full_match(x.w, '[0-9,]*[0-9][0-9,]*(\.[0-9]+)?') THEN TRY_CAST(replace(x.w, ',', '') AS DOUBLE) END END"
+_STATE = "{{'total': {0}::DOUBLE, 'part': {1}::DOUBLE, 'some': {2}, 'w': {3}}}"
+_LARGE = "CASE WHEN starts_with(x.w, 'crore') OR x.w = 'cr' THEN 1e7 WHEN starts_with(x.w, 'lakh') OR starts_with(x.w, 'lac') THEN 1e5 END"
+_FOLD = f"""list_reduce(list_prepend({_STATE.format("0", "0", "false", "''")}, list_transform(string_split_regex({_strip("replace(lower({t}), '-', ' ')")}, '\\s+'), lambda w: {_STATE.format("0", "0", "false", "w")})),
+    lambda a, x: CASE WHEN ({_VALUE_OF}) IS NOT NULL THEN {_STATE.format("a.total", f"(a.part + ({_VALUE_OF}))", "true", "''")} WHEN x.w = 'hundred' THEN {_STATE.format("a.total", "(a.part * 100)", "a.some", "''")}
+    WHEN ({_LARGE}) IS NOT NULL THEN {_STATE.format(f"(a.total + a.part * ({_LARGE}))", "0", "a.some", "''")} ELSE a END)"""
+_CODE = r"regexp_extract({t}, '(?i)\b(?:Pkg|Package)[- ]?([A-Za-z0-9]+)\b', 1)"
+
+
+def _has(words: str, x: str = "lower({t})") -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words.split("|")) + ")"
+
+
+def _replaced(x: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+_TERM = r"trim(nullif(regexp_extract({t}, '(?i)(?:excluding|remove|minus)\s+([A-Za-z0-9_\s]+?)(?:,|\s+what|\s+before|\s+so|\s*;|\s*—|\s*-|\s*\?|\s*:|\s*\.|\s*$)', 1), ''))"
+_TERM = f"lower({_TERM})"
+for _word in ("the", "a", "an"):
+    _TERM = f"trim(regexp_replace({_TERM}, '^{_word} ', ''))"
+for _word in ("segment", "division", "scope", "sector", "category", "works", "piece", "side"):
+    _TERM = f"trim(regexp_replace({_TERM}, ' {_word}$', ''))"
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace({{t}}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_strip("replace(s, chr(10), ' ')")}), lambda s: length(s) > 15)"
+_CANON = _replaced("{t}", (r"(?i)\s*\((?:psu|government|private|govt)\)", ""))
+_CANON = _replaced(_strip(_CANON), (r"(?i)\bCorp\b", "Corporation"), (r"(?i)\bDept\b", "Department"), (r"(?i)\bGovt\b", "Government"), (r"\s*,\s*", ", "), (r"\s+", " "))
+# a word's bounds with all letters, which \\b of this engine does not know; twice, for what stands between two words is shared
+_WORD = r"[\p{L}\p{N}_]"
+_MENTIONED = _replaced("lower(coalesce({t}, ''))", *[step for a, b in (*names.ABBREVIATIONS.items(), *names.STATES.items()) for step in [(rf"(^|[^\p{{L}}\p{{N}}_]){a.replace('.', chr(92) + '.')}({_WORD if a.endswith('.') else r'$|[^\p{L}\p{N}_]'})", rf"\1{b}\2")] * 2])
+_MENTIONED = _replaced(_MENTIONED, (r"[^\s\p{L}\p{N}_]", " "), (r"\s+", " "))
+
 text_query("money_parse", "orders", "o_orderkey",
            _case(f"'INR ' || {_N} || ',00,000'", f"'Rs. ' || {_N} || '.13 Cr'", f"'₹ ' || {_N} || '.5 lakhs'", f"{_N} || ' Crores'", f"'Rs ' || {_N} || 'K'", f"'-' || {_N}", f"{_N} || ' thousand'", f"'about ' || {_N} || ' or so'", f"{_N} || '/-'"),
-           money.parse_money, "double", _case(f"{_V} * 100000", f"{_V} * 10000000 + 1300000", f"{_V} * 100000 + 50000", f"{_V} * 10000000", f"{_V} * 1000", f"-{_V}", f"{_V} * 1000", "NULL", _V))
+           money.parse_money, "double", _money("{t}"))
 text_query("money_mentions", "orders", "o_orderkey", _case(f"'paid INR ' || {_N} || ' Cr and then Rs. 20,000/- of 3 lakh'", f"{_N} || ' workers, 2 Crores'", "'no money'"),
-           lambda t: F.aggregate(money.money_mentions(t), F.lit(0.0), lambda a, m: a + m["value"].cast("double")), "double", _case(f"{_V} * 10000000 + 320000", "20000000", "0"))
-_TENS, _ONES = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"), ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+           lambda t: F.aggregate(money.money_mentions(t), F.lit(0.0), lambda a, m: a + m["value"].cast("double")), "double", f"coalesce(list_sum(list_transform(regexp_extract_all({{t}}, {_MENTION}), lambda m: {_money('m')})), 0)")
 _WORDS = _case(*[f"'{w}'" for w in _TENS]) + " || '-' || " + _case(*[f"'{w}'" for w in _ONES])
-_COUNT = f"((o_orderkey % {len(_TENS)} + 2) * 10 + o_orderkey % {len(_ONES)} + 1)"
-text_query("num_words", "orders", "o_orderkey", f"'the sum of ' || {_WORDS} || {_case(chr(39) + ' lakh' + chr(39), chr(39) + ' crore' + chr(39), chr(39) + chr(39))}", money.number_in_words, "double", f"{_COUNT} * {_case('100000', '10000000', '1')}")
-text_query("package_code", "orders", "o_orderkey", _case(f"'works of Pkg-' || {_K} || ' here'", f"'PACKAGE ' || {_K}", f"'pkg' || {_K}", "'none of these'"), names.package_code, "string", _case(*[f"'Pkg-' || {_K}"] * 3, "NULL"))
-text_query("normalized_package", "orders", "o_orderkey", _case(f"'AB-CD-' || {_K} || ' of Pkg-3'", f"'Pkg-' || {_K}", f"'Package ' || {_K}", "'Pkg-A'"), lambda t: names.normalized_package(t, F.lit(None).cast("string")), "string", _case(f"'AB-CD-' || {_K}", *[f"'Pkg-' || {_K}"] * 2, "NULL"))
-text_query("number_validity", "orders", "o_orderkey", _case(f"' ' || {_N} || ',000.50 '", f"'INR ' || {_N}", f"{_N} || '.5%'", f"{_N} || ' Cr'", f"'₹' || {_N}", "'inf'"), A.valid_number, "double", _case(f"{_V} * 1000 + 0.5", _V, f"{_V} + 0.5", "NULL", _V, "NULL"))
+text_query("num_words", "orders", "o_orderkey", f"'the sum of ' || {_WORDS} || {_case(chr(39) + ' lakh' + chr(39), chr(39) + ' crore and two hundred lakh' + chr(39), chr(39) + chr(39))}", money.number_in_words, "double", f"CASE WHEN ({_FOLD}).some THEN ({_FOLD}).total + ({_FOLD}).part END")
+text_query("package_code", "orders", "o_orderkey", _case(f"'works of Pkg-' || {_K} || ' here'", f"'PACKAGE ' || {_K}", f"'pkg' || {_K}", "'none of these'"), names.package_code, "string", r"'Pkg-' || nullif(regexp_extract({t}, '(?i)(?:Pkg|Package)[- ]?([A-Za-z0-9-]+)', 1), '')")
+text_query("normalized_package", "orders", "o_orderkey", _case(f"'AB-CD-' || {_K} || ' of Pkg-3'", f"'Pkg-' || {_K}", f"'Package ' || {_K}", "'Pkg-A'"), lambda t: names.normalized_package(t, F.lit(None).cast("string")), "string",
+           rf"coalesce(nullif(regexp_extract({{t}}, '\b([A-Z]{{2}}-[A-Z]{{2}}-[0-9]+)\b', 1), ''), CASE WHEN {_CODE} <> '' AND NOT regexp_full_match({_CODE}, '[A-Za-z]') THEN 'Pkg-' || {_CODE} END)")
+_VALID = _number("regexp_replace({t}, '[,₹%]|INR', '', 'g')")
+text_query("number_validity", "orders", "o_orderkey", _case(f"' ' || {_N} || ',000.50 '", f"'INR ' || {_N}", f"{_N} || '.5%'", f"{_N} || ' Cr'", f"'₹' || {_N}", "'inf'"), A.valid_number, "double", f"CASE WHEN isfinite({_VALID}) THEN {_VALID} END")
 text_query("shape_router", "orders", "o_orderkey", _case(f"'How many of ' || {_N} || ' works have no client reference?'", "'what is the mean size of works'", "'the largest and the second largest work'", "'total excluding roads'", f"'works above ' || {_N} || ' Cr'", f"'all works of ' || {_N}"),
-           lambda t: baseline.infer_shape(t, F.lit("money")), "string", _case("'absence'", "'avg_work_size'", "'rank_value'", "'exclusion_aggregate'", "'threshold_aggregate'", "'hop_aggregate'"))
+           lambda t: baseline.infer_shape(t, F.lit("money")), "string",
+           f"CASE WHEN {_has('no client reference|lack a client reference|no reference letter|without reference')} THEN 'absence' WHEN {_has('distinct|different categories|classifications')} THEN 'distinct_count' WHEN {_has('after that date|after her pmp|after his pmp|after certification')} THEN 'temporal_chain' "
+           f"WHEN {_has('average size|mean size')} THEN 'avg_work_size' WHEN {_has('exclud')} AND {_has('excluding|exclude')} THEN 'exclusion_aggregate' WHEN {_has('additional work|reach our credential target|gap between')} THEN 'gap_to_threshold' WHEN {_has('second largest')} THEN 'rank_value' "
+           f"WHEN {_has('share of completed|divided by the total|collection figure|collection percentage|collected against')} THEN 'referenced_share' WHEN {_has('crossing|hitting the|above|over')} THEN 'threshold_aggregate' ELSE 'hop_aggregate' END")
 text_query("file_kind", "orders", "o_orderkey", _case(f"'DOC-CC-' || {_K} || '.pdf'", f"'DOC-REF-' || {_K} || '.pdf'", f"'bond_' || {_K} || '.pdf'", f"{_K} || '-personnel.pdf'", f"'my-cv-' || {_K} || '.pdf'", f"'RA-bill' || {_K} || '.pdf'", f"'ageing' || {_K} || '.xlsx'"),
-           extract.kind_of_file, "string", _case("'completion_certificate'", "'reference_letter'", "'performance_bond'", "'personnel_certificate'", "'cv'", "'ra_bill'", "'workbook'"))
-text_query("excluded_term", "orders", "o_orderkey", _case(f"'Total excluding the bridges' || {_K} || ' segment, please'", f"'remove a road' || {_K} || ' works - now'", f"'minus tunnels' || {_K}", "'nothing'"), primary.excluded_term, "string", _case(f"'bridges' || {_K}", f"'road' || {_K}", f"'tunnels' || {_K}", "NULL"))
+           extract.kind_of_file, "string",
+           f"CASE WHEN {_has('cc|completion')} THEN 'completion_certificate' WHEN {_has('ref|recommendation')} THEN 'reference_letter' WHEN {_has('bond|guarantee')} THEN 'performance_bond' WHEN {_has('pcert|personnel')} THEN 'personnel_certificate' WHEN {_has('cv')} THEN 'cv' WHEN {_has('bill|ra')} THEN 'ra_bill' WHEN ends_with(lower({{t}}), '.xlsx') THEN 'workbook' ELSE 'completion_certificate' END")
+text_query("excluded_term", "orders", "o_orderkey", _case(f"'Total excluding the bridges' || {_K} || ' segment, please'", f"'remove a road' || {_K} || ' works - now'", f"'minus tunnels' || {_K}", "'nothing'"), primary.excluded_term, "string", _TERM)
 text_query("grading_sentence", "orders", "o_orderkey", _case(f"'We did it. The work ' || {_K} || ' was graded Excellent by all. End.'", f"'Workmanship of ' || {_K} || ' was found satisfactory indeed. Bye.'", "'None here.'"),
-           text.grading_sentence, "string", _case(f"'The work ' || {_K} || ' was graded Excellent by all.'", f"'Workmanship of ' || {_K} || ' was found satisfactory indeed.'", "NULL"))
-text_query("client_key", "customer", "c_custkey", "'Public Works Dept , Govt of X' || CAST(c_custkey AS STRING) || ' (PSU)'", names.client_key, "string", "'public works department government of x' || CAST(c_custkey AS STRING)")
-text_query("mention_normalize", "customer", "c_custkey", "'Irrig. Dept of Z' || CAST(c_custkey AS STRING) || '!'", names.normalize_mention, "string", "'irrigation department of z' || CAST(c_custkey AS STRING)")
+           text.grading_sentence, "string",
+           f"coalesce(list_filter({_SENTENCES}, lambda s: {_has('graded|quality of the completed work|overall quality', 'lower(s)')})[1], list_filter({_SENTENCES}, lambda s: contains(lower(s), 'workmanship') AND contains(lower(s), 'satisfactory'))[1])")
+text_query("client_key", "customer", "c_custkey", "'Public Works Dept , Govt of X' || CAST(c_custkey AS STRING) || ' (PSU)'", names.client_key, "string",
+           rf"CASE WHEN NOT {_has('national infrastructure corp|government of india / state authority|issued under the provisions')} THEN {_strip(rf"regexp_replace(replace(replace(lower(nullif({_strip(_CANON)}, '')), ',', ''), '&', 'and'), '\s+', ' ', 'g')")} END")
+text_query("mention_normalize", "customer", "c_custkey", "'Irrig. Dept of Z' || CAST(c_custkey AS STRING) || '!'", names.normalize_mention, "string", _strip(_MENTIONED))
 
 
 @query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS result FROM orders")
