@@ -113,11 +113,15 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 class Automaton:
-    """The states and arcs that the texts of a piece can reach.
+    """The states that the texts of a piece can reach, and the arcs that each of their tokens can take.
 
     grams: for n from 1 the n-gram that ends at each token, as the number of it
     among the distinct ones; first: the place of each distinct one's first
     occurrence; counts: how often training saw it. offsets: where texts begin.
+
+    A token can take one arc from a state of each length, the one of the n-gram
+    that ends in it, and only where training saw that: the arcs stand with the
+    token, the longest state's first, and none has to be looked up.
     """
 
     def __init__(self, grams: list[np.ndarray], first: list[np.ndarray], counts: list[np.ndarray], offsets: np.ndarray, n_tokens: int, starts: float, unknown: float, mass: tuple[float, ...] = MASS):
@@ -125,20 +129,22 @@ class Automaton:
         begins = np.zeros(len(grams[0]), dtype=bool)
         begins[offsets[:-1]] = True
         # states: the root, the starts of a text (one for each length), then the known n-grams by length
-        self.width, self.unknown, self.start = len(counts[0]), float(np.log10(unknown)), order - 1
+        self.unknown, self.start = float(np.log10(unknown)), order - 1
         state = [np.zeros(1, np.int64)]
-        lost, failure, made = [np.zeros(1)], [np.zeros(1, np.int64)], order
+        lost, failure, length, made = [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], order
         for n in range(1, order):
             lost.append(np.array([np.log10(mass[n] / (starts + mass[n]))]))
             failure.append(np.array([n - 1]))
+            length.append(np.array([n]))
         for n in range(1, order):
             known = counts[n - 1] > 0
             state.append(np.where(known, made + np.cumsum(known) - 1, 0))
             shorter = np.zeros(len(known), np.int64) if n == 1 else state[n - 1][grams[n - 2][first[n - 1]]]
             lost.append(np.log10(mass[n] / (counts[n - 1][known] + mass[n])))
             failure.append(shorter[known])
+            length.append(np.full(int(known.sum()), n))
             made += int(known.sum())
-        keys, target, weight, shorter_p = [], [], [], None
+        arcs, shorter_p = [], None
         for n in range(1, order + 1):
             at, seen = first[n - 1], counts[n - 1] > 0
             if n == 1:
@@ -149,30 +155,33 @@ class Automaton:
                 source = np.where(begins[at], n - 1, state[n - 1][history])
                 left = np.where(begins[at], starts, counts[n - 2][history])
                 p = (counts[n - 1] + mass[n - 1] * shorter_p[grams[n - 2][at]]) / (left + mass[n - 1])
-            to = state[n] if n < order else state[n - 1][grams[n - 2][at]] if n > 1 else np.zeros(len(at), np.int64)
-            keys.append((source * self.width + grams[0][at])[seen])
-            target.append(to[seen])
-            weight.append(np.log10(p[seen]))
+            target = state[n] if n < order else state[n - 1][grams[n - 2][at]] if n > 1 else np.zeros(len(at), np.int64)
+            weight = np.log10(p, out=np.zeros(len(p)), where=seen)
+            own = grams[n - 1]
+            arcs.append([np.where(seen, source, -1)[own].tolist(), weight[own].tolist(), target[own].tolist()])
             shorter_p = p
-        self.lost, self.failure = np.concatenate(lost).tolist(), np.concatenate(failure).tolist()
-        self.target, self.weight = np.concatenate(target).tolist(), np.concatenate(weight).tolist()
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.target)), strict=True))
-
-    def score(self, tokens: list[int]) -> float:
-        """The log10 probability of a text, by one pass from its start."""
-        arc_of, width, lost, failure, target, weight = self.arcs.get, self.width, self.lost, self.failure, self.target, self.weight
+        self.arcs = list(zip(*(column for columns in reversed(arcs) for column in columns), strict=True))
+        #: the length of the states that the arcs at each place of a token's arcs leave
+        self.leaves = [n for n in reversed(range(order)) for _ in range(3)]
+        self.lost, self.failure, self.length = (np.concatenate(x).tolist() for x in (lost, failure, length))
+
+    def score(self, begin: int, end: int) -> float:
+        """The log10 probability of the text from one token to another, by one pass from its start."""
+        lost, failure, length, leaves = self.lost, self.failure, self.length, self.leaves
         state, total = self.start, 0.0
-        for token in tokens:
-            arc = arc_of(state * width + token)
-            while arc is None and state:
-                total += lost[state]
-                state = failure[state]
-                arc = arc_of(state * width + token)
-            if arc is None:
-                total += self.unknown
+        for arcs in self.arcs[begin:end]:
+            at = 0
+            while arcs[at] != state:
+                if length[state] == leaves[at]:  # this token has no arc from here: the failure arc leads to a shorter state
+                    if not state:
+                        total += self.unknown
+                        break
+                    total += lost[state]
+                    state = failure[state]
+                at += 3
             else:
-                total += weight[arc]
-                state = target[arc]
+                total += arcs[at + 1]
+                state = arcs[at + 2]
         return total
 
 
@@ -286,8 +295,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fol
             lo, hi = offsets[row], offsets[end]
             some = [np.unique(at[lo:hi], return_index=True, return_inverse=True) for at in grams]
             automaton = Automaton([at for _, _, at in some], [at for _, at, _ in some], [c[x] for c, (x, _, _) in zip(counts, some, strict=True)], offsets[row : end + 1] - lo, n_tokens, starts, unknown)
-            ids = some[0][2].tolist()
-            scores += [automaton.score(ids[a - lo : b - lo]) for a, b in zip(offsets[row:end], offsets[row + 1 : end + 1], strict=True)]
+            scores += [automaton.score(a, b) for a, b in zip((offsets[row:end] - lo).tolist(), (offsets[row + 1 : end + 1] - lo).tolist(), strict=True)]
             row = end
         return {
             "n_tokens": np.diff(offsets),

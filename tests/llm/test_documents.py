@@ -321,13 +321,14 @@ def test_the_automaton_is_a_distribution_from_every_state():
     model = lm.Automaton(grams, first, counts, offsets, len(tokens), 4.0, 0.1)
     assert len(model.lost) == 1 + 2 + len(counts[0]) + len(counts[1]) and model.failure[model.start] == 1
     ends = {grams[n - 1][at] for n in (1, 2) for at in offsets[1:] - 1}
+    weight = {(arcs[i], token): arcs[i + 1] for token, arcs in zip(grams[0].tolist(), model.arcs, strict=True) for i in (0, 3, 6) if arcs[i] >= 0}
     for state in range(len(model.lost)):
         total = 0.0
-        for token in [*range(model.width), -1]:
+        for token in [*range(len(counts[0])), -1]:
             at, lost = state, 0.0
-            while (arc := model.arcs.get(at * model.width + token) if token >= 0 else None) is None and at:
+            while (at, token) not in weight and at:
                 lost, at = lost + model.lost[at], model.failure[at]
-            total += 10 ** (lost + (model.unknown if arc is None else model.weight[arc]))
+            total += 10 ** (lost + weight.get((at, token), model.unknown))
         # nothing follows an end, so what training saw after such a state does not add up to its count
         assert abs(total - 1) < 1e-9 or (state > 2 and total < 1 and ends)
 
