@@ -246,3 +246,54 @@ def test_commands_from_questions_to_a_release(spark, tmp_path, capsys):
     assert kept["rows"] == 2 and kept["validator_passed"] and spark.read.text(out + ".manifest").count() > 0
     (tmp_path / "bad.csv").write_text("question_id,answer\na,-5\nb,50\n")
     assert main(["freeze", str(questions), str(tmp_path / "bad.csv")], spark) == 1
+
+
+def plain_similarity(a, b):
+    """The token-set ratio from its definition, with the longest common subsequence by the whole table."""
+
+    def ratio(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for i, d in enumerate(y, 1):
+                last, row[i] = row[i], last + 1 if c == d else max(row[i], row[i - 1])
+        return 200.0 * row[-1] / (len(x) + len(y)) if x or y else 100.0
+
+    one, two = set(a.split()), set(b.split())
+    if not one or not two:
+        return 0.0
+    both = " ".join(sorted(one & two))
+    if both and (one <= two or two <= one):
+        return 100.0
+    left, right = ((both + " " + " ".join(sorted(x))).strip() for x in (one - two, two - one))
+    return max([ratio(left, right)] + ([ratio(both, left), ratio(both, right)] if both else []))
+
+
+def test_resolution_is_that_of_comparing_everything(spark):
+    """Every mention against every entity, layer by layer, without joins."""
+    import re
+
+    from sheafline.functions.names import COMMON
+
+    random.seed(9)
+    words = ["harbour", "water", "roads", "board", "trust", "north", "south", "department", "council", "zone", "bridge"]
+    typo = lambda w: w if random.random() < 0.6 else w[: random.randint(4, len(w))] + random.choice(["x", "", "er"])
+    entities = sorted({" ".join(random.sample(words, random.randint(2, 3))) for _ in range(25)})
+    mentions = [(str(i), " ".join(typo(w) for w in random.choice(entities).split()) + random.choice(["", " works", " in 2020"])) for i in range(60)] + [("n", None), ("e", ""), ("t", "nothing")]
+    telling = lambda t: set(re.findall(r"\b[a-z]{3,}\b", t)) - set(COMMON)
+    want = {}
+    for qid, text in mentions:
+        text = text or ""
+        held = sorted((e for e in entities if e in text), key=lambda e: (-len(e), e))
+        scored = sorted((-(plain_similarity(e, text) + 5 * len(telling(e) & telling(text))), e) for e in entities if telling(e) & telling(text) and plain_similarity(e, text) >= 60)
+        if held:
+            want[qid] = (held[0], 1)
+        elif scored and -scored[0][0] >= 78 and (len(scored) == 1 or scored[1][0] - scored[0][0] >= 5):
+            want[qid] = (scored[0][1], 2)
+        elif scored and -scored[0][0] >= 65:
+            want[qid] = (scored[0][1], 5)
+        else:
+            want[qid] = (None, None)
+    got = resolve.resolve(spark.createDataFrame(mentions, "qid string, text string"), spark.createDataFrame([(e,) for e in entities], "entity string")).collect()
+    assert {r["qid"]: (r["entity"], r["layer"]) for r in got} == want and len(got) == len(mentions)
+    assert {layer for _, layer in want.values()} == {1, 2, 5, None}
