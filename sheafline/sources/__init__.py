@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.extract import kind_of_file
 from .csv_text import submission as submission
+from .workbook import column_letters
 
 INDEX = "doc_id string, doc_type string, filename string, size_bytes bigint"
 ENVELOPE = "doc_id string, doc_type string, filename string, size_bytes bigint, char_count bigint, page_count bigint, extraction_warnings array<string>, extracted_data string, _corrupt_record string"
@@ -96,9 +97,8 @@ def sheet_rows(sheets: DataFrame, most: int = 500) -> DataFrame:
 
 
 def column_letter(at):
-    """A spreadsheet column's letters from its place, counted from 0 (up to ZZ)."""
-    last = F.char(65 + at % 26)
-    return F.when(at < 26, last).otherwise(F.concat(F.char(64 + F.floor(at / 26)), last))
+    """A spreadsheet column's letters from its place, counted from 0."""
+    return column_letters(at + 1)
 
 
 def receivables(rows: DataFrame) -> DataFrame:

@@ -130,4 +130,4 @@ def test_records_by_lines(spark):
 
 
 def test_column_letters(spark):
-    assert results(spark, [0, 25, 26, 701], column_letter, "int") == ["A", "Z", "AA", "ZZ"]
+    assert results(spark, [0, 25, 26, 701, 702, 16383], column_letter, "int") == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
