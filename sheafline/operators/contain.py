@@ -10,9 +10,9 @@ PART = 4
 
 
 def _parts(text: Column, size: int) -> Column:
-    """All parts of the text with so many characters."""
+    """Hashes of all parts of the text with so many characters; pairs are verified, so a hash that parts share does no harm."""
     ends = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.transform(ends, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= size, F.transform(ends, lambda i: F.xxhash64(F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def contained_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def contained_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
     if not sizes:
         return texts.select("id", F.lit(None).cast("string").alias("name")).limit(0)
     own = names.withColumn("n", F.least(F.length("name"), F.lit(PART)))
-    own = own.select("name", F.explode(F.array_distinct(F.when(F.col("n") < PART, F.array("name")).otherwise(_parts(F.col("name"), PART)))).alias("part"))
+    own = own.select("name", F.explode(F.array_distinct(F.when(F.col("n") < PART, F.array(F.xxhash64("name"))).otherwise(_parts(F.col("name"), PART)))).alias("part"))
     of_text = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_parts(F.col("text"), n) for n in sizes])))).alias("part"))
     of_text = of_text.join(own.select("part").distinct(), "part", "left_semi")
     counts = of_text.groupBy("part").agg(F.count("*").alias("n"))

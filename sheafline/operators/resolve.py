@@ -51,9 +51,14 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _normalized(mentions: DataFrame) -> DataFrame:
+    """qid and the normalized text, which ``resolve`` has worked out already."""
+    return mentions.select("qid", "_text") if "_text" in mentions.columns else mentions.select("qid", normalize_mention(F.col("text")).alias("_text"))
+
+
 def contained(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Layer 1: qid and the longest entity whose normalized name is part of the normalized text."""
-    m = mentions.select("qid", normalize_mention(F.col("text")).alias("_text"))
+    m = _normalized(mentions)
     e = entities.select("entity", normalize_mention(F.col("entity")).alias("_name")).where("_name <> ''").distinct()
     pairs = contained_pairs(m.select(F.col("qid").alias("id"), F.col("_text").alias("text")), e.select(F.col("_name").alias("name")))
     hits = pairs.select(F.col("id").alias("qid"), F.col("name").alias("_name")).join(e, "_name")
@@ -62,7 +67,7 @@ def contained(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def fuzzy(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Layer 2 candidates: qid, entity, score. Only pairs with a telling word in common are compared (an equi-join on words)."""
-    m = mentions.select("qid", normalize_mention(F.col("text")).alias("_text"))
+    m = _normalized(mentions)
     e = entities.select("entity", normalize_mention(F.col("entity")).alias("_name")).where("_name <> ''").distinct()
     words_m = m.select("qid", F.explode(telling_words(F.col("_text"))).alias("w"))
     words_e = e.select("entity", F.explode(telling_words(F.col("_name"))).alias("w"))
@@ -140,7 +145,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, certs: DataFrame | None =
     if choices is not None:
         layers.append((4, lambda left: choices.join(left, "qid", "left_semi").join(entities.select("entity").distinct(), "entity").groupBy("qid").agg(F.min("entity").alias("entity"))))
     layers.append((5, lambda left: top_row(scored(left).where(F.col("score") >= LAST_RESORT), ["qid"], [F.col("score").desc(), F.col("entity")]).select("qid", "entity")))
-    left, every = mentions.select("qid", "text"), None
+    left, every = cut(mentions.select("qid", "text", normalize_mention(F.col("text")).alias("_text"))), None
     for number, layer in layers:
         hits = cut(layer(left).select("qid", "entity", F.lit(number).alias("layer")))
         every = hits if every is None else every.unionByName(hits)
