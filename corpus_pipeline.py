@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafline.llm import langid, mixing, packing, simhash, substring
-from sheafline.llm.common import known_id, saved, whole_row
+from sheafline.llm.common import known_id, saved, shuffled, whole_row
 
 #: A document is rejected if its language is predicted with less than this score.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -45,7 +45,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     kept = simhash.first_of_groups(docs).select(F.col("doc").alias("kept_id"), F.col("th").alias("kept_text"))
     rows = docs.select(known_id("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.to_json(whole_row(docs, ("doc_id", "text")), {"ignoreNullFields": "false"}).alias("others"), whole_row(docs).alias("row"))
-    stay = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("th") == F.col("kept_text")), "left_semi")
+    stay = rows.join(shuffled(kept), (F.col("id") == F.col("kept_id")) & (F.col("th") == F.col("kept_text")), "left_semi")
     alike = Window.partitionBy("id", "th").orderBy("others")
     return _unpacked(stay.withColumn("nth", F.row_number().over(alike)).where("nth = 1"), docs)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import known_id, null_id_back, saved
+from .common import known_id, null_id_back, saved, shuffled
 from .components import connected
 
 SHINGLE = 3
@@ -86,7 +86,8 @@ def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """Links a, b between fingerprints of ``distinct`` (column fp) that join just those that chains of close ones join.
 
     Every pair that differs in at most 3 bits is linked, or both of it are linked
-    to one more fingerprint that is as close to each.
+    to one more fingerprint that is as close to each. No table is broadcast: the
+    probes are many times the file that they come from, by which Spark judges.
     """
     low = F.col("fp").bitwiseAND(F.lit(2**SEGMENT - 1))
     high = F.shiftrightunsigned("fp", SEGMENT)
@@ -97,7 +98,7 @@ def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     ball = F.expr(f"concat(array(struct(key, 0 as off)), transform(filter(sequence(0, {SEGMENT - 1}), i -> (shiftrightunsigned(key, i) & 1) = 1), i -> struct(key ^ shiftleft(1L, i) as key, 1 as off)))")
     probes = index.select("fp", "seg", F.col("key").alias("own"), F.explode(ball).alias("p")).select("fp", "seg", "own", "p.key", "p.off")
 
-    few = probes.alias("a").join(index.join(sizes.where(F.col("n") <= pairs_up_to), ["seg", "key"]).alias("b"), ["seg", "key"])
+    few = probes.alias("a").join(shuffled(index.join(shuffled(sizes.where(F.col("n") <= pairs_up_to)), ["seg", "key"])).alias("b"), ["seg", "key"])
     far = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     few = few.where((F.col("a.fp") != F.col("b.fp")) & (far <= MOST_BITS)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -108,13 +109,13 @@ def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     one = f"transform(sequence(0, {SEGMENT - 1}), i -> shiftleft(1L, i))"
     within1 = f"concat(array(0L), {one})"
     within2 = f"concat(array(0L), {one}, flatten(transform(sequence(1, {SEGMENT - 1}), i -> transform(sequence(0, i - 1), j -> shiftleft(1L, i) | shiftleft(1L, j)))))"
-    standing = index.join(large, ["seg", "key"]).select("fp", "seg", "key", "other", F.explode(F.expr(within1)).alias("flip"))
+    standing = index.join(shuffled(large), ["seg", "key"]).select("fp", "seg", "key", "other", F.explode(F.expr(within1)).alias("flip"))
     standing = standing.groupBy("seg", "key", F.col("other").bitwiseXOR(F.col("flip")).alias("value")).agg(F.min("fp").alias("b"))
     other = F.when(F.col("seg") == 0, high).otherwise(low)
     flips = F.when(F.col("off") == 0, F.expr(within2)).otherwise(F.expr(within1))
-    asked = probes.join(large, ["seg", "key"]).select("fp", "seg", "key", other.alias("other"), F.explode(flips).alias("flip"))
+    asked = probes.join(shuffled(large), ["seg", "key"]).select("fp", "seg", "key", other.alias("other"), F.explode(flips).alias("flip"))
     asked = asked.select(F.col("fp").alias("a"), "seg", "key", F.col("other").bitwiseXOR(F.col("flip")).alias("value"))
-    many = asked.join(standing, ["seg", "key", "value"]).where("a <> b").select("a", "b")
+    many = asked.join(shuffled(standing), ["seg", "key", "value"]).where("a <> b").select("a", "b")
     return few.unionByName(many).distinct()
 
 
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = saved(fingerprints(docs).select(known_id("doc_id").alias("doc_id"), "fp"))
     first = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(first.select(F.col("fp").alias("node"), "least"), links(first.select("fp")))
-    out = prints.join(labels.withColumnRenamed("node", "fp"), "fp")
+    out = prints.join(shuffled(labels.withColumnRenamed("node", "fp")), "fp")
     return out.select(null_id_back("doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id_back("least").alias("component_id"))
 
 

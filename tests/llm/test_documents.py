@@ -185,6 +185,18 @@ def test_simhash_groups(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_links_and_components_broadcast_nothing(spark):
+    """A table of fingerprints is small as a file, but its probes are not: nothing of it may pass through the driver."""
+    from sheafline.llm import components, simhash
+
+    prints = simhash.saved(spark.createDataFrame([(x, x) for x in (1, 3, 7, 255 << 40)], "fp long, least long"))
+    links = simhash.links(prints.select("fp"))
+    labels = components.connected(prints.withColumnRenamed("fp", "node"), links)
+    for rows in (links, labels):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in labels.collect()} == {(1, 1), (3, 1), (7, 1), (255 << 40, 255 << 40)}
+
+
 @pytest.mark.parametrize("pairs_up_to", [64, 2, 0])
 def test_links_join_what_chains_of_close_fingerprints_join(spark, pairs_up_to):
     """Large buckets, which get no pairs, link the same fingerprints."""
