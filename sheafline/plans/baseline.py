@@ -11,6 +11,7 @@ from ..functions.dates import question_date
 from ..functions.money import money_mentions
 from ..functions.names import category_before_dash
 from ..operators.contain import contained_pairs
+from ..operators.lineage import shuffled
 from ..operators.works import engineer_works, first_certification, largest_gap, portfolio_baseline, top_row
 
 # Shapes by keywords, in their order.
@@ -68,7 +69,7 @@ def named_entity(questions: DataFrame, names: DataFrame, parts: bool) -> DataFra
     keys = names.select("name", F.col("low").alias("key"), F.lit(True).alias("_whole"))
     keys = keys.unionByName(names.where("start <> '' and start <> low").select("name", F.col("start").alias("key"), F.lit(False).alias("_whole"))) if parts else keys
     pairs = contained_pairs(questions.select(F.col("qid").alias("id"), F.lower("question").alias("text")), keys.select(F.col("key").alias("name")))
-    hits = pairs.select(F.col("id").alias("qid"), F.col("name").alias("key")).join(keys, "key")
+    hits = pairs.select(F.col("id").alias("qid"), F.col("name").alias("key")).join(shuffled(keys), "key")
     return top_row(hits, ["qid"], [F.col("_whole").desc(), F.when(F.col("_whole"), F.length("name")).desc_nulls_last(), F.col("name")]).select("qid", "name")
 
 
@@ -80,25 +81,25 @@ def _exact(value: str) -> Column:
 def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel: DataFrame) -> DataFrame:
     """qid, shape, answer (within its bounds) of every question; tables as for the primary solver, certs with doc_type.
 
-    A null question gets the stock answer of its shape.
+    A null question gets the stock answer of its shape. No table is sent through the driver whole.
     """
     clients = named_entity(questions, certs.select(F.col("client_name").alias("name")), True).withColumnRenamed("name", "_client")
     engineers = named_entity(questions, personnel.select(F.col("engineer_name").alias("name")), False).withColumnRenamed("name", "_engineer")
     shape = F.coalesce("shape", infer_shape(F.col("question"), F.col("answer_type"))) if "shape" in questions.columns else infer_shape(F.col("question"), F.col("answer_type"))
     q = questions.withColumn("_shape", shape).select("qid", "question", "answer_type", F.col("_shape").alias("shape"))
-    q = q.join(clients, "qid", "left").join(engineers, "qid", "left")
+    q = q.join(shuffled(clients), "qid", "left").join(shuffled(engineers), "qid", "left")
     mentions = money_mentions(F.col("question"))
     q = q.withColumns({"asked_date": question_date(F.col("question")), "first_amount": F.try_element_at(mentions, F.lit(1))["value"], "term": F.lower(F.trim(found(F.col("question"), r"(?i)excluding\s+([a-zA-Z\s]+?)(?:[,;—–-]|\s+what|\s+before)")))})
     led = engineer_works(certs.where("project_lead is not null")).withColumn("_lead", F.lower("project_lead"))
     first_led = top_row(led, ["_lead"], [F.col("completion_date").asc_nulls_first(), F.col("doc_id")]).select("_lead", F.col("client_name").alias("_led_client"))
-    q = q.join(first_led, F.lower("_engineer") == F.col("_lead"), "left").drop("_lead")
+    q = q.join(shuffled(first_led), F.lower("_engineer") == F.col("_lead"), "left").drop("_lead")
     certified = first_certification(personnel).select(F.lower("engineer_name").alias("_certified"), F.col("issue_date").alias("_issued"))
-    q = q.join(certified, F.lower("_engineer") == F.col("_certified"), "left").withColumn("since", F.coalesce("asked_date", "_issued"))
+    q = q.join(shuffled(certified), F.lower("_engineer") == F.col("_certified"), "left").withColumn("since", F.coalesce("asked_date", "_issued"))
 
     works = portfolio_baseline(certs.where("client_name is not null")).select(F.lower("client_name").alias("_of"), _exact("contract_value").alias("v"), F.lower(F.coalesce("project_name", F.lit(""))).alias("_name"))
     value = F.col("v")
     nothing = F.lit(0).cast("decimal(18,2)")
-    joined = q.join(works, F.lower("_client") == F.col("_of"))
+    joined = q.join(shuffled(works), F.lower("_client") == F.col("_of"))
     of_client = joined.groupBy("qid").agg(
         F.count("*").alias("works"),
         F.sum(value).alias("sum"),
@@ -106,11 +107,11 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel:
         F.sum(F.when(value >= F.coalesce("first_amount", F.lit(THRESHOLD)), value).otherwise(nothing)).alias("sum_above"),
         F.max("v").alias("top"),
     )
-    of_client = of_client.join(largest_gap(joined, ["qid"], "v", "top_gap"), "qid", "left")
-    averages = q.select("qid", F.coalesce("_client", "_led_client").alias("_for")).join(works, F.lower("_for") == F.col("_of")).groupBy("qid").agg(F.avg(F.nullif(value, nothing)).alias("mean"))
+    of_client = of_client.join(shuffled(largest_gap(joined, ["qid"], "v", "top_gap")), "qid", "left")
+    averages = q.select("qid", F.coalesce("_client", "_led_client").alias("_for")).join(shuffled(works), F.lower("_for") == F.col("_of")).groupBy("qid").agg(F.avg(F.nullif(value, nothing)).alias("mean"))
     letter_counts = letters.groupBy(F.lower("issuing_client").alias("_issuer")).agg(F.count_distinct("project_name").alias("letters"))
     led_values = led.select("_lead", F.lower("client_name").alias("_led_for"), _exact("contract_value").alias("v"), "completion_date", F.lower(category_before_dash(F.col("project_name"))).alias("_kind"))
-    of_lead = q.join(led_values, F.lower("_engineer") == F.col("_lead")).groupBy("qid").agg(
+    of_lead = q.join(shuffled(led_values), F.lower("_engineer") == F.col("_lead")).groupBy("qid").agg(
         F.count("*").alias("led"),
         F.sum("v").alias("led_sum"),
         F.count_if(F.contains("_led_for", F.lower("_client"))).alias("both"),
@@ -121,8 +122,8 @@ def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, personnel:
     projects = certs.where("completion_date is not null and nullif(trim(project_name), '') is not null").select("doc_id", "completion_date", F.explode(F.array_distinct(F.concat(F.array("project_name"), F.split("project_name", "—")))).alias("_part"))
     dated = q.where("answer_type = 'days'").select(F.col("qid").alias("id"), F.lower("question").alias("text"))
     named = contained_pairs(dated, projects.select(F.lower("_part").alias("name"))).select(F.col("id").alias("qid"), F.col("name").alias("_low"))
-    ends = named.join(projects.withColumn("_low", F.lower("_part")), "_low").groupBy("qid").agg(F.min_by("completion_date", "doc_id").alias("_end"))
-    q = q.join(of_client, "qid", "left").join(averages, "qid", "left").join(of_lead, "qid", "left").join(ends, "qid", "left").join(letter_counts, F.lower("_client") == F.col("_issuer"), "left")
+    ends = named.join(shuffled(projects.withColumn("_low", F.lower("_part"))), "_low").groupBy("qid").agg(F.min_by("completion_date", "doc_id").alias("_end"))
+    q = q.join(shuffled(of_client), "qid", "left").join(shuffled(averages), "qid", "left").join(shuffled(of_lead), "qid", "left").join(shuffled(ends), "qid", "left").join(shuffled(letter_counts), F.lower("_client") == F.col("_issuer"), "left")
 
     has_client, has_engineer = F.col("_client").isNotNull(), F.col("_engineer").isNotNull()
     zero = F.lit(0.0)
