@@ -176,3 +176,44 @@ def test_whole_files_of_answers(spark):
     assert issues([]) == issues(["", "  "]) == [("HEADER", "EMPTY_FILE", "ERROR")]
     assert issues(['"QID" , answer', "a,1"]) == issues(["", "x,question_id", "1,a"]) == []
     assert issues(["a,1"]) == [("HEADER", "MISSING_STANDARD_HEADER", "WARNING")]
+
+
+def test_numbers_count_up_whatever_the_bounds_of_the_ranges(spark):
+    """Bounds that come from small samples differ each time that they are drawn."""
+    from sheafline.operators.entities import numbered
+
+    keys = spark.range(0, 20000, 1, 8).select(F.format_string("k%020d", F.xxhash64("id")).alias("key"), F.repeat(F.lit("x"), 40).alias("name")).dropDuplicates(["key"])
+    settings = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "2", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = [r["n"] for r in numbered(keys, "key", "%d", "n").orderBy("key").select("n").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [str(i + 1) for i in range(len(got))]
+
+
+def test_names_alike_but_for_their_ends_make_few_candidates(spark):
+    from sheafline.operators import contain
+
+    names = spark.range(3000).select(F.format_string("customer#%09d", "id").alias("name"), F.lit(16).alias("n"))
+    texts = names.select(F.concat(F.lit("total of the works of "), "name", F.lit("?")).alias("text"))
+    begins = contain._begins(names)
+    assert contain.candidates(texts, names, begins).count() <= 2 * 3000
+    got = contain.contained_pairs(texts.withColumn("id", F.col("text")), names.select("name")).collect()
+    assert sorted(tuple(r) for r in got) == [(f"total of the works of customer#{i:09d}?", f"customer#{i:09d}") for i in range(3000)]
+
+
+@pytest.mark.parametrize("characters", [0, 10**6])
+def test_names_of_any_length_are_found_with_and_without_a_broadcast(spark, monkeypatch, characters):
+    from sheafline.operators import contain
+
+    monkeypatch.setattr(contain, "BROADCAST_CHARACTERS", characters)
+    long = "abcdefghijklmnopqrstuvwxyz" * 3
+    texts = [(1, long), (2, "x" + long[:40] + "y"), (3, "é" + long[5:9]), (3, "road é"), (4, ""), (5, None), (6, long)]
+    needles = [long[i : i + n] for i, n in ((0, 1), (1, 2), (2, 3), (5, 4), (7, 9), (3, 15), (1, 33), (0, 78), (0, 50))] + ["é", "road", "roads", "", None]
+    got = contain.contained_pairs(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in needles], "name string")).collect()
+    want = {(i, n) for i, t in texts for n in needles if t and n and n in t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
