@@ -121,3 +121,10 @@ def test_near_duplicates_that_differ_in_other_columns_go_by_those(spark):
     for rows in (made, made[::-1]):
         out = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
         assert [(r["source"], r["extra"]) for r in out] == [("a", "x")]
+
+
+def test_near_dedup_broadcasts_nothing(spark):
+    """What is kept is small as a file, but the driver has no room for it at size."""
+    docs = simhash.saved(documents(spark))
+    rows = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "")
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
