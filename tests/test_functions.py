@@ -84,6 +84,14 @@ def test_fields_of_a_text(spark):
     assert results(spark, [" a \n\n\t b\n"], basic.lines) == [["a", "b"]]
 
 
+def test_a_condition_on_a_map_of_labels_does_not_read_the_text_again_for_each_label(spark):
+    rows = spark.createDataFrame([(1, "|Client|PWD|\n**Value:** INR 5 Cr\nDate: 2021\nnote\nlast")], "i int, text string")
+    rows = text.with_key_values(rows).select("i", F.explode("kv").alias("k", "v"))
+    assert {(r["k"], r["v"]) for r in rows.collect()} >= {("client", "PWD"), ("value", "INR 5 Cr"), ("date", "2021"), ("note", "last")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 3 * 6  # once for the map, twice for the conditions that Spark adds
+
+
 def test_typed_records(spark):
     docs = [
         ("D1", "completion_certificate", "Roads Authority\nThis is to certify that the work of 'Bridge Pkg-7', awarded to X for INR 12.5 Cr, was completed on 2020-05-06. It was supervised by Asha Rao. The work was graded Good by us."),
