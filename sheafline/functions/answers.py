@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import plain_number
+from .basic import once
+from .money import number_once
 
 # Bounds and defaults of answers by type.
 MAX_DAYS = 18_250
@@ -23,12 +24,12 @@ def finite(value: Column) -> Column:
 
 def valid_number(text: Column) -> Column:
     """The number of an answer, without commas, rupee sign, INR and percent sign; null if it is none. Unit words make it invalid."""
-    return finite(plain_number(F.regexp_replace(text.cast("string"), "[,₹%]|INR", "")))
+    return once(number_once(F.regexp_replace(text.cast("string"), "[,₹%]|INR", "")), finite)
 
 
 def submitted_number(text: Column) -> Column:
     """Like ``valid_number``, but a percent sign makes it invalid."""
-    return finite(plain_number(F.regexp_replace(text.cast("string"), "[,₹]|INR", "")))
+    return once(number_once(F.regexp_replace(text.cast("string"), "[,₹]|INR", "")), finite)
 
 
 def is_fraction(value: Column) -> Column:

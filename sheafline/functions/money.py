@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basic import strip
+from .basic import once, strip
 
 # Unit words with their factors.
 UNITS = {"crore": 10_000_000, "crores": 10_000_000, "cr": 10_000_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "thousand": 1_000, "k": 1_000}
@@ -29,13 +29,25 @@ def _factor(unit: Column) -> Column:
     return chosen
 
 
-def plain_number(text: Column) -> Column:
-    """A number as a program writes it (sign, point, exponent, nan, inf), else null."""
-    digits = F.regexp_replace(strip(text), r"(?<=\d)_(?=\d)", "")
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(strip(text), r"(?<=\d)_(?=\d)", "")
+
+
+def _number(digits: Column) -> Column:
     shaped = digits.rlike(r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:nan|inf|infinity))$")
     return F.when(shaped, F.regexp_replace(digits, "^[+]", "").try_cast("double"))
 
 
+def plain_number(text: Column) -> Column:
+    """A number as a program writes it (sign, point, exponent, nan, inf), else null."""
+    return _number(_digits(text))
+
+
+def number_once(text: Column) -> Column:
+    """The same with the text read once a row. Not for bodies of SQL functions, whose text cannot hold what ``once`` makes."""
+    return once(_digits(text), _number)
+
+
 def parse_money(text: Column) -> Column:
     """Rupees of one amount, with or without currency, unit and closing ``/-``; null if it is none.
 

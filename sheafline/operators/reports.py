@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import implausible, valid_number
+from .lineage import cut
 from .quality import upper_median
 from .works import last_write_wins
 
@@ -39,7 +40,8 @@ def canaries(questions: DataFrame, answers: DataFrame, watched: DataFrame) -> Da
 
 def distribution_of_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """answer_type, n, low, median (the upper one), high, zeros of the numbers answered."""
-    rows = _answered(questions, answers).where("v is not null")
+    # three passes follow; the joins and the last answers are worked out for the first alone
+    rows = cut(_answered(questions, answers).where("v is not null").select("answer_type", "v"))
     counts = rows.groupBy("answer_type").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.count_if(F.col("v") == 0).alias("zeros"))
     return counts.join(upper_median(rows, "answer_type", "v"), "answer_type").select("answer_type", "n", "low", F.col("upper_median").alias("median"), "high", "zeros")
 

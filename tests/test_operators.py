@@ -169,6 +169,16 @@ def test_upper_median_of_keys_of_any_size(spark):
     assert got == {k: v[len(v) // 2] for k, v in want.items()}
 
 
+def test_the_distribution_of_answers_works_out_the_last_answers_once(spark):
+    from sheafline.operators import reports
+
+    questions = spark.createDataFrame([(1, "money"), (2, "money"), (3, "days"), (4, "days")], "qid int, answer_type string")
+    answers = spark.createDataFrame([(1, "7", 1), (1, "5", 2), (2, "0", 3), (3, "x", 4), (9, "1", 5)], "qid int, raw_answer string, row_num int")
+    got = reports.distribution_of_answers(questions, answers)
+    assert [tuple(r) for r in got.collect()] == [("money", 2, 0.0, 5.0, 5.0, 1)]
+    assert "row_num" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_whole_files_of_answers(spark):
     from sheafline.operators import quality
 
