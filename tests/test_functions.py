@@ -75,6 +75,20 @@ def test_names(spark):
     assert results(spark, ["Road — north", "Bridge-2"], names.category_before_dash) == ["Road", "Bridge"]
 
 
+def test_texts_without_short_forms_are_not_searched_for_each(spark):
+    import re
+
+    texts = ["Govt. of U.P.x, PWD-pw!", "up the coast", "UP u.p.mp m p", "nothing at all, Upper coast", "Ünder  co\u00a0é", "", None]
+    want = []
+    for t in texts:
+        t = (t or "").lower()
+        for short, long in (*names.ABBREVIATIONS.items(), *names.STATES.items()):
+            t = re.sub(rf"\b{re.escape(short)}\b", long, t, flags=re.ASCII)
+        want.append(re.sub(r"^[ \t\n]+|[ \t\n]+$", "", re.sub(r"[ \t\n]+", " ", re.sub(r"[^\w\s]", " ", t))))
+    assert results(spark, texts, names.normalize_mention) == want
+    assert "CASE WHEN" in str(names.normalize_mention(F.col("t")))
+
+
 def test_fields_of_a_text(spark):
     doc = "|Client|PWD|\n|---|---|\n**Client:** Roads Board\nClient: third\nDate: 2021-01-02\nManager\nA. Person"
     kv = text.with_key_values(spark.createDataFrame([(doc,), (None,)], "text string")).collect()
