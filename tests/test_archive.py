@@ -175,6 +175,20 @@ def test_objects_of_any_shape_become_plain_json(spark):
     assert objects.clean_json(rows.where("false"), "k", "v").count() == 0
 
 
+def test_objects_are_cleaned_within_their_rows_unless_they_are_very_deep(spark, monkeypatch):
+    import json
+
+    from sheafline.functions import objects
+
+    monkeypatch.setattr(objects, "LEVELS", 2)
+    texts = ['{"t":["x"]}', '{"t":[{"t":["x"]}]}', "[[[1]]]", "[[]]", "[[{}]]", '{"t":[2,1,2]}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.parse_json("t").alias("v"))
+    got = {r["k"]: r["json"] for r in objects.clean_json(rows, "k", "v", sets=("t",)).collect()}
+    assert got == {i: t.replace("[2,1,2]", "[1,2]") for i, t in enumerate(texts)} and all(json.loads(t) for t in got.values())
+    flat = objects.clean_json(rows.where("k in (0, 3, 5)"), "k", "v", sets=("t",))
+    assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql_text_can_use_the_functions(spark):
     from sheafline.functions import text as T
     from sheafline.functions.sql import register
