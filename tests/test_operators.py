@@ -227,3 +227,18 @@ def test_names_of_any_length_are_found_with_and_without_a_broadcast(spark, monke
     got = contain.contained_pairs(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in needles], "name string")).collect()
     want = {(i, n) for i, t in texts for n in needles if t and n and n in t}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_pairs_of_frequent_names_are_made_block_by_block(spark):
+    """Every pair of rows, against comparing all of them; words are compared by groups of names, never pair by pair."""
+    names = [(i, ["large ring", "Large Ring", "ring large old", "ring of brass", "the ring, (large) dept", "brass old", None][i * i % 7]) for i in range(90)]
+    names += [(3, "ring large old"), (3, "brass old"), (None, "large ring"), (200, ""), (201, "lone odd"), (202, "lone odd"), (203, "lone odd thing")]
+    words = lambda n: {w for w in n.lower().replace(",", " ").replace("(", " ").replace(")", " ").split() if w not in ("the", "of", "dept")}
+    known = [(i, n) for i, n in names if i is not None and n is not None]
+    want = sorted((a, b, len(words(m) & words(n)), m, n) for a, m in known for b, n in known if a < b and len(words(m) & words(n)) >= 2)
+    table = spark.createDataFrame(names, "id int, n string")
+    made = entities.ambiguous_pairs(table, "id", "n", carry=("n",), block=8)
+    assert sorted(tuple(r) for r in made.collect()) == want and len(want) > 500
+    plain = entities.ambiguous_pairs(table, "id", "n")
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(w[:3] for w in want)
+    assert "array_intersect" not in plain._jdf.queryExecution().optimizedPlan().toString()
