@@ -48,18 +48,34 @@ def number_once(text: Column) -> Column:
     return once(_digits(text), _number)
 
 
+def bare_amount(text: Column) -> Column:
+    """An amount without its currency and closing ``/-``: the first step of ``parse_money``."""
+    bare = strip(F.regexp_replace(strip(text.cast("string")), "/-?$", ""))
+    return strip(F.regexp_replace(bare, rf"(?i)^{CURRENCY}\s*", ""))
+
+
+#: Digits and unit of a bare amount.
+SHAPE = rf"(?i)^({AMOUNT})\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})?$"
+
+
+def unit_of(bare: Column) -> Column:
+    return F.lower(F.regexp_extract(bare, SHAPE, 2))
+
+
+def amount_of(bare: Column, unit: Column) -> Column:
+    """Rupees of a bare amount with its unit: the last step of ``parse_money``."""
+    digits = F.replace(F.regexp_extract(bare, SHAPE, 1), F.lit(","), F.lit(""))
+    exact = (digits.try_cast("decimal(26,6)") * _factor(unit)).cast("double")
+    return F.when(bare.rlike(SHAPE), F.when(digits != "", exact)).otherwise(plain_number(F.replace(bare, F.lit(","), F.lit(""))))
+
+
 def parse_money(text: Column) -> Column:
     """Rupees of one amount, with or without currency, unit and closing ``/-``; null if it is none.
 
     The arithmetic is exact (decimal) up to the last step, so 10.13 Cr is 101300000.
     """
-    bare = strip(F.regexp_replace(strip(text.cast("string")), "/-?$", ""))
-    bare = strip(F.regexp_replace(bare, rf"(?i)^{CURRENCY}\s*", ""))
-    shape = rf"(?i)^({AMOUNT})\s*({'|'.join(sorted(UNITS, key=len, reverse=True))})?$"
-    digits = F.replace(F.regexp_extract(bare, shape, 1), F.lit(","), F.lit(""))
-    unit = F.lower(F.regexp_extract(bare, shape, 2))
-    exact = (digits.try_cast("decimal(26,6)") * _factor(unit)).cast("double")
-    return F.when(bare.rlike(shape), F.when(digits != "", exact)).otherwise(plain_number(F.replace(bare, F.lit(","), F.lit(""))))
+    bare = bare_amount(text)
+    return amount_of(bare, unit_of(bare))
 
 
 def money_mentions(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .answers import score_one
-from .money import MENTION, parse_money
+from .money import MENTION, amount_of, bare_amount, unit_of
 from .names import normalize_mention
 from .text import BOLD, CELLS, PLAIN
 
@@ -28,7 +28,9 @@ def register(spark: SparkSession) -> None:
     money_mentions(text) an array of (raw, value), and label_pairs(text) a table of kind, place, label and value: what stands in
     table cells (1), after bold labels (2), after plain ones (3) and on the line after another (4).
     """
-    money = body_of(spark, parse_money(F.col("m")), "m string")
+    # parse_money with its steps bound by name, so that each is worked out once; the text of a lambda of a Column cannot be had
+    bare, unit, amount = body_of(spark, bare_amount(F.col("m")), "m string"), body_of(spark, unit_of(F.col("b")), "b string"), body_of(spark, amount_of(F.col("b"), F.col("u")), "b string, u string")
+    money = f"transform(array({bare}), b -> transform(array({unit}), u -> {amount})[0])[0]"
     scalar = {
         "parse_money(m STRING) RETURNS DOUBLE": money,
         "normalize_mention(m STRING) RETURNS STRING": body_of(spark, normalize_mention(F.col("m")), "m string"),
@@ -37,13 +39,13 @@ def register(spark: SparkSession) -> None:
     }
     for head, body in scalar.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    bare = lambda c: f"regexp_replace(regexp_replace({c}, '[*_]', ''), '^\\\\s+|\\\\s+$', '')"
+    plain = lambda c: f"regexp_replace(regexp_replace({c}, '[*_]', ''), '^\\\\s+|\\\\s+$', '')"
     parts = []
     for kind, pattern in ((1, CELLS), (2, BOLD), (3, PLAIN)):
         zipped = f"arrays_zip(regexp_extract_all(t, {_literal(pattern)}, 1), regexp_extract_all(t, {_literal(pattern)}, 2))"
         rule = " AND NOT startswith(label, '---')" if kind == 1 else ""
-        parts.append(f"SELECT kind, place, label, value FROM (SELECT {kind} AS kind, pos AS place, lower({bare('col.`0`')}) AS label, {bare('col.`1`')} AS value FROM posexplode({zipped})) WHERE label <> '' AND value <> ''{rule}")
+        parts.append(f"SELECT kind, place, label, value FROM (SELECT {kind} AS kind, pos AS place, lower({plain('col.`0`')}) AS label, {plain('col.`1`')} AS value FROM posexplode({zipped})) WHERE label <> '' AND value <> ''{rule}")
     lines = "filter(transform(split(t, '\\n'), l -> regexp_replace(l, '^\\\\s+|\\\\s+$', '')), l -> l <> '')"
-    following = f"SELECT 4 AS kind, pos AS place, lower({bare('col.`0`')}) AS label, {bare('col.`1`')} AS value FROM posexplode(arrays_zip({lines}, slice({lines}, 2, size({lines}))))"
+    following = f"SELECT 4 AS kind, pos AS place, lower({plain('col.`0`')}) AS label, {plain('col.`1`')} AS value FROM posexplode(arrays_zip({lines}, slice({lines}, 2, size({lines}))))"
     parts.append(f"SELECT kind, place, label, value FROM ({following}) WHERE value IS NOT NULL AND length(label) < 50")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION label_pairs(t STRING) RETURNS TABLE (kind INT, place INT, label STRING, value STRING) RETURN {' UNION ALL '.join(parts)}")

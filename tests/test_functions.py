@@ -153,3 +153,14 @@ def test_records_by_lines(spark):
 
 def test_column_letters(spark):
     assert results(spark, [0, 25, 26, 701, 702, 16383], column_letter, "int") == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
+
+
+def test_sql_money_works_each_step_out_once(spark):
+    from sheafline.functions.sql import register
+
+    register(spark)
+    rows = spark.createDataFrame([("Rs. 10.13 Cr /-",), ("5 lakhs",), ("7",), ("-1e3",), ("2,500 k",), ("x",), ("",), (None,)], "t string")
+    rows.createOrReplaceTempView("amounts_as_text")
+    got = spark.sql("SELECT t, parse_money(t) AS v FROM amounts_as_text")
+    assert {r["t"]: r["v"] for r in got.collect()} == {r["t"]: r["v"] for r in rows.select("t", money.parse_money(F.col("t")).alias("v")).collect()}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 12
