@@ -242,3 +242,10 @@ def test_pairs_of_frequent_names_are_made_block_by_block(spark):
     plain = entities.ambiguous_pairs(table, "id", "n")
     assert sorted(tuple(r) for r in plain.collect()) == sorted(w[:3] for w in want)
     assert "array_intersect" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resolution_broadcasts_no_mentions(spark):
+    mentions = spark.createDataFrame([("1", "the harbour trust works"), ("2", "nothing")], "qid string, text string")
+    found = resolve.resolve(mentions, spark.createDataFrame([("Harbour Trust",)], "entity string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("1", "Harbour Trust", 1), ("2", None, None)}
