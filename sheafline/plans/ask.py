@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import package_code
-from ..operators.lineage import cut
-from ..operators.resolve import resolve
+from ..operators.lineage import cut, shuffled
+from ..operators.resolve import found_entities, normalized, resolve
 from . import primary
 
 
+def _clients(certs: DataFrame) -> DataFrame:
+    return certs.where("client_name is not null and client_name <> ''").select(F.col("client_name").alias("entity")).distinct()
+
+
+def _engineers(certs: DataFrame, personnel: DataFrame) -> DataFrame:
+    leads, holders = (rows.select(F.col(name).alias("entity")) for rows, name in ((certs, "project_lead"), (personnel, "engineer_name")))
+    return leads.unionByName(holders).where("entity is not null and entity <> ''").distinct()
+
+
 def clients_of(questions: DataFrame, certs: DataFrame, choices: DataFrame | None = None) -> DataFrame:
     """qid, entity, layer: the client that a question is about; packages and first names of leads help."""
-    known = certs.where("client_name is not null and client_name <> ''").select(F.col("client_name").alias("entity")).distinct()
-    return resolve(questions.select("qid", F.col("question").alias("text")), known, certs, choices)
+    return resolve(questions.select("qid", F.col("question").alias("text")), _clients(certs), certs, choices)
 
 
 def engineers_of(questions: DataFrame, certs: DataFrame, personnel: DataFrame, choices: DataFrame | None = None) -> DataFrame:
     """qid, entity, layer: the engineer that a question is about, of all who lead a project or hold a certificate."""
-    leads, holders = (rows.select(F.col(name).alias("entity")) for rows, name in ((certs, "project_lead"), (personnel, "engineer_name")))
-    known = leads.unionByName(holders).where("entity is not null and entity <> ''").distinct()
-    return resolve(questions.select("qid", F.col("question").alias("text")), known, None, choices)
+    return resolve(questions.select("qid", F.col("question").alias("text")), _engineers(certs, personnel), None, choices)
 
 
 def answer(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivables: DataFrame, personnel: DataFrame, client_choices: DataFrame | None = None, engineer_choices: DataFrame | None = None) -> DataFrame:
@@ -30,8 +36,8 @@ def answer(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivabl
     The other tables are as for ``primary.solve``. Where a name is not found the shapes that need it do not apply, and
     the default of the answer's type stands. A null question names nothing. Each qid is one question.
     """
-    client = clients_of(questions, certs, client_choices).select("qid", F.col("entity").alias("client"))
-    engineer = engineers_of(questions, certs, personnel, engineer_choices).select("qid", F.col("entity").alias("engineer"))
-    named = questions.select("qid", "question", "answer_type").join(client, "qid", "left").join(engineer, "qid", "left").withColumn("package", package_code(F.col("question")))
-    named = cut(named)
-    return named.select("qid", "client", "engineer", "package").join(primary.solve(named, certs, letters, receivables, personnel), "qid")
+    texts = cut(normalized(questions.select("qid", F.col("question").alias("text"), "answer_type")))
+    client = found_entities(texts, _clients(certs), certs, client_choices).select("qid", F.col("entity").alias("client"))
+    engineer = found_entities(texts, _engineers(certs, personnel), None, engineer_choices).select("qid", F.col("entity").alias("engineer"))
+    named = texts.select("qid", F.col("text").alias("question"), "answer_type").join(shuffled(client), "qid", "left").join(shuffled(engineer), "qid", "left").withColumn("package", package_code(F.col("question")))
+    return primary.solved(named, certs, letters, receivables, personnel).select("qid", "client", "engineer", "package", "shape", "answer")
