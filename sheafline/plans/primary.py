@@ -193,7 +193,7 @@ def solved(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivabl
         "referenced_share": F.round((F.col("with_letter") * 100 / F.nullif("works", F.lit(0))).cast("decimal(20,8)"), 2).cast("double"),
         "absence": F.when(has_client, (F.coalesce(F.col("works") - F.col("with_letter"), F.lit(0))).cast("double")),
         "billing_gap": F.when(has_client, whole(F.abs(F.coalesce("sum", zero) - F.coalesce(F.col("invoiced").cast("decimal(28,2)"), zero)))),
-        "year_gap": F.when(has_client & F.col("year2").isNotNull(), whole(F.abs(F.coalesce("sum1", F.lit(0.0)) - F.coalesce("sum2", F.lit(0.0))))),
+        "year_gap": F.when(has_client & F.col("year2").isNotNull(), whole(F.abs(F.coalesce("sum1", zero) - F.coalesce("sum2", zero)))),
         "mean_median_gap": whole(F.col("mean") - F.col("median")),
         "threshold_aggregate": F.when(has_client & F.col("threshold").isNotNull(), whole(F.coalesce("sum_above", F.lit(0.0)))),
         "date_span": F.abs(F.datediff("end", F.to_date(F.lit(ANCHOR)))).cast("double"),
