@@ -7,7 +7,7 @@ another, and the first shape, in order, whose gate fits and whose answer is know
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import found, has_any, once
@@ -109,13 +109,26 @@ def _first(condition: Column, value: str) -> Column:
     return F.min(F.when(condition, F.struct("doc_id", value)))[value]
 
 
+def _after(since: DataFrame, works: DataFrame) -> DataFrame:
+    """_lead, after_sum: the values v of works (_lead, day, v), each as often as a day of ``since`` (_lead, day) lies before its own.
+
+    Both meet day by day, one row for each: people who share a name do not meet every work under it.
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+    told = since.select("_lead", "day", F.lit(1).alias("n"), zero.alias("v")).unionByName(works.select("_lead", "day", F.lit(0).alias("n"), F.coalesce("v", zero).alias("v")))
+    days = told.groupBy("_lead", "day").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_lead").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return days.withColumn("before", before.cast("decimal(10,0)")).groupBy("_lead").agg(F.sum(F.col("v") * F.col("before")).alias("after_sum"))
+
+
 def solve(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivables: DataFrame, personnel: DataFrame) -> DataFrame:
     """qid, shape and answer of every question.
 
     questions: qid, question, answer_type, client, engineer, package (as resolved; may be null). certs: doc_id,
     client_name, package_code, project_name, category, contract_value, completion_date (a date), project_lead.
-    letters: package_code, issuing_client, contract_value. receivables: client_name, invoiced, received. personnel:
-    doc_id, engineer_name, issue_date.
+    letters: package_code, issuing_client, contract_value. receivables: client_name, invoiced, received; those of one
+    client add up. personnel: doc_id, engineer_name, issue_date and, where people share a name, employee_id: such a name
+    stands for each of them, so what was completed after the certificates of several counts for each.
     """
     return solved(questions, certs, letters, receivables, personnel).select("qid", "shape", "answer")
 
@@ -163,7 +176,8 @@ def solved(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivabl
     about = about.join(shuffled(gaps), F.col("_asked") == F.col("_works_of"), "left").drop("_works_of")
     finished = certs.where("client_name is not null").groupBy(F.lower("client_name").alias("_c")).agg(_first(dated, "completion_date").alias("_c_date"))
     about = about.join(shuffled(finished), F.col("_asked") == F.col("_c"), "left").drop("_c", "_asked")
-    about = about.join(shuffled(receivables.select(F.col("client_name").alias("_billed"), "invoiced", "received")), F.col("target") == F.col("_billed"), "left").drop("_billed")
+    owed = receivables.groupBy(F.col("client_name").alias("_billed")).agg(F.sum("invoiced").alias("invoiced"), F.sum("received").alias("received"))
+    about = about.join(shuffled(owed), F.col("target") == F.col("_billed"), "left").drop("_billed")
     about = cut(about.select(*[F.col(c).alias(f"_{c}" if c in ("target", *parameters) else c) for c in about.columns]))
 
     engineers = asked.where("engineer is not null").select(F.lower("engineer").alias("_engineer")).distinct()
@@ -173,10 +187,11 @@ def solved(questions: DataFrame, certs: DataFrame, letters: DataFrame, receivabl
     led = led.join(shuffled(engineers), F.col("_lead") == F.col("_engineer"), "left_semi")
     facts = led.groupBy("_lead").agg(F.count_distinct("c").alias("categories"))
     ends = led.groupBy("_lead").agg(_first(dated, "completion_date").alias("_l_date"))
-    issued = personnel.where("issue_date is not null and engineer_name is not null").groupBy(F.lower("engineer_name").alias("_lead")).agg(F.min(F.struct("doc_id", "issue_date"))["issue_date"].alias("issued"))
-    largest = package_maxima(led, ["_lead"]).select("_lead", F.col("contract_value").cast("decimal(18,2)").alias("v"), "completion_date")
-    by_engineer = engineers.withColumnRenamed("_engineer", "_lead").join(shuffled(issued), "_lead", "left").withColumn("since", F.coalesce("issued", F.to_date(F.lit(ANCHOR))))
-    by_engineer = by_engineer.join(shuffled(largest), "_lead", "left").groupBy("_lead").agg(F.sum(F.when(F.col("completion_date") > F.col("since"), F.col("v")).otherwise(zero)).alias("after_sum"))
+    people = personnel if "employee_id" in personnel.columns else personnel.withColumn("employee_id", F.lit(None).cast("string"))
+    issued = people.where("issue_date is not null and engineer_name is not null").groupBy(F.lower("engineer_name").alias("_lead"), "employee_id").agg(F.min(F.struct("doc_id", "issue_date"))["issue_date"].alias("issued"))
+    since = engineers.select(F.col("_engineer").alias("_lead")).join(shuffled(issued), "_lead", "left").select("_lead", F.coalesce("issued", F.to_date(F.lit(ANCHOR))).alias("day"))
+    after_sum = _after(since, package_maxima(led, ["_lead"]).select("_lead", F.col("completion_date").alias("day"), F.col("contract_value").cast("decimal(18,2)").alias("v")))
+    by_engineer = engineers.withColumnRenamed("_engineer", "_lead").join(shuffled(after_sum), "_lead", "left")
     by_engineer = by_engineer.join(shuffled(facts), "_lead", "left").join(shuffled(ends), "_lead", "left")
 
     q = _looked_up(q, F.col("engineer"), by_engineer, F.lower("engineer") == F.col("_lead"))
