@@ -52,12 +52,16 @@ TARGET = r"(?i)(?:target of|target|bar|hit the|reach the)\s*(?:INR|Rs\.?)?\s*([\
 
 def gate(question: Column, kind: Column, name: str) -> Column:
     """Whether a question can have a shape."""
+    return _passes(F.lower(question), kind, name)
+
+
+def _passes(low: Column, kind: Column, name: str) -> Column:
+    """``gate`` of a question in lower case; the type comes first, for it spares the words of most gates."""
     _, of_kind, words, absent = next(g for g in GATES if g[0] == name)
-    text = F.lower(question)
-    fits = has_any(text, words) if words else F.lit(True)
-    if absent:
-        fits = fits & ~has_any(text, absent)
-    return fits & (F.coalesce(kind == of_kind, F.lit(False)) if of_kind else F.lit(True))
+    fits = F.coalesce(kind == of_kind, F.lit(False)) if of_kind else F.lit(True)
+    if words:
+        fits = fits & has_any(low, words)
+    return fits & ~has_any(low, absent) if absent else fits
 
 
 def excluded_term(question: Column) -> Column:
@@ -91,7 +95,7 @@ def _parameters(questions: DataFrame) -> DataFrame:
     """What the solver takes from a question's text, in its place: the gates that it passes as bits, and what only a gate's own shape reads."""
     text, kind = F.col("question"), F.col("answer_type")
     # bound as a pair, so that the many tests of words stay out of the generated code, which would be too long to be compiled
-    bits = once(F.struct(text.alias("text"), kind.alias("kind")), lambda x: sum((F.when(gate(x["text"], x["kind"], name), F.lit(1 << i)).otherwise(0) for i, (name, *_) in enumerate(GATES)), F.lit(0)))
+    bits = once(F.struct(F.lower(text).alias("low"), kind.alias("kind")), lambda x: sum((F.when(_passes(x["low"], x["kind"], name), F.lit(1 << i)).otherwise(0) for i, (name, *_) in enumerate(GATES)), F.lit(0)))
     questions = questions.withColumn("gates", bits)
     fits = {name: F.col("gates").bitwiseAND(F.lit(1 << i)) != 0 for i, (name, *_) in enumerate(GATES)}
     years = years_named(text)
